@@ -155,3 +155,82 @@ FROM (
   FROM kept GROUP BY client) a
 JOIN clabels c ON a.client = c.client""",
 }
+
+
+# ---- co-purchase graph: explicit pairs ----------------------------------
+
+def _graph_ctes(link: str) -> tuple:
+    mem = f"""mem AS MATERIALIZED (SELECT DISTINCT prodName AS v, {link} AS link FROM lines)"""
+    edges = """edges AS MATERIALIZED (
+  SELECT a.v AS orig, b.v AS dest, count(*) AS linkWeight
+  FROM mem a JOIN mem b ON a.link = b.link AND a.v <> b.v
+  GROUP BY a.v, b.v
+)"""
+    return (LINES, mem, edges)
+
+
+def _f(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def lazy_walk_sql(damping: float = S.LAZY_WALK_DAMPING, tolerance: float = S.LAZY_WALK_TOLERANCE,
+                  max_iter: int = S.LAZY_WALK_MAX_ITER) -> str:
+    ctes = list(_graph_ctes("transac"))
+    ctes.append("w AS MATERIALIZED (SELECT orig AS v, CAST(sum(linkWeight) AS DOUBLE) AS w FROM edges GROUP BY orig)")
+    ctes.append("r0 AS MATERIALIZED (SELECT v, CAST(1.0 AS DOUBLE) AS rank FROM w)")
+    ctes.append("g0 AS MATERIALIZED (SELECT TRUE AS go)")
+    d = _f(damping)
+    for i in range(1, max_iter + 1):
+        ctes.append(f"""c{i} AS MATERIALIZED (
+  SELECT e.dest AS v, sum(((e.linkWeight * (1.0 - {d})) / w.w) * r.rank) AS add
+  FROM edges e JOIN r{i-1} r ON e.orig = r.v JOIN w ON w.v = e.orig GROUP BY e.dest)""")
+        ctes.append(f"""n{i} AS MATERIALIZED (
+  SELECT r.v, r.rank * {d} + c.add AS rank, r.rank AS old FROM r{i-1} r JOIN c{i} c ON r.v = c.v)""")
+        ctes.append(f"""r{i} AS MATERIALIZED (
+  SELECT n.v, CASE WHEN g.go THEN n.rank ELSE n.old END AS rank FROM n{i} n CROSS JOIN g{i-1} g)""")
+        ctes.append(f"""g{i} AS MATERIALIZED (
+  SELECT g.go AND (SELECT max(abs(old - rank)) FROM n{i}) > {_f(tolerance)} AS go FROM g{i-1} g)""")
+    return with_(*ctes) + f"SELECT v AS orig, {R('rank', 6)} AS rank FROM r{max_iter}"
+
+
+def pagerank_sql(damping: float = S.PAGERANK_DAMPING, tolerance: float = S.PAGERANK_TOLERANCE,
+                 steps: int = 40) -> str:
+    reset = 1.0 - damping
+    keep = 1.0 - reset
+    start = 0.0 + keep * (reset / (1.0 - reset))
+    ctes = list(_graph_ctes("transac"))
+    ctes.append("w AS MATERIALIZED (SELECT orig AS v, CAST(sum(linkWeight) AS DOUBLE) AS w FROM edges GROUP BY orig)")
+    ctes.append(f"""p0 AS MATERIALIZED (
+  SELECT DISTINCT prodName AS v, {_f(start)} AS pr, {_f(start - 0.0)} AS delta, TRUE AS active FROM lines)""")
+    for i in range(1, steps + 1):
+        ctes.append(f"""m{i} AS MATERIALIZED (
+  SELECT e.dest AS v, sum(p.delta * (1.0 / w.w) * e.linkWeight) AS msg
+  FROM edges e JOIN p{i-1} p ON e.orig = p.v JOIN w ON w.v = e.orig
+  WHERE p.active AND p.delta > {_f(tolerance)} GROUP BY e.dest)""")
+        ctes.append(f"""p{i} AS MATERIALIZED (
+  SELECT p.v,
+         CASE WHEN m.v IS NULL THEN p.pr ELSE p.pr + m.msg * {_f(keep)} END AS pr,
+         CASE WHEN m.v IS NULL THEN p.delta ELSE (p.pr + m.msg * {_f(keep)}) - p.pr END AS delta,
+         m.v IS NOT NULL AS active
+  FROM p{i-1} p LEFT JOIN m{i} m ON p.v = m.v)""")
+    return with_(*ctes) + (f"SELECT v AS prodName, {R('pr * (CAST(t.n AS DOUBLE) / t.s)', 6)} AS rank "
+                           f"FROM p{steps} CROSS JOIN (SELECT count(*) AS n, sum(pr) AS s FROM p{steps}) t")
+
+
+ORACLES.update({
+    "cooccurrence_edges_transac": with_(*_graph_ctes("transac")) + "SELECT orig, dest, linkWeight FROM edges",
+    "cooccurrence_edges_client": with_(*_graph_ctes("client")) + "SELECT orig, dest, linkWeight FROM edges",
+    "strongest_links": with_(*_graph_ctes("transac")) + "SELECT orig, dest, linkWeight FROM edges WHERE orig < dest",
+    "vertex_neighbours": with_(*_graph_ctes("transac")) + "SELECT orig, count(*) AS neighbours FROM edges GROUP BY orig",
+    "vertex_out_links": with_(*_graph_ctes("transac"))
+    + "SELECT orig, CAST(sum(linkWeight) AS BIGINT) AS linksOfVertex FROM edges GROUP BY orig",
+    "graph_summary": with_(*_graph_ctes("transac"))
+    + "SELECT (SELECT count(DISTINCT prodName) FROM lines) AS num_vertices, "
+      "CAST((SELECT coalesce(sum(linkWeight), 0) FROM edges) AS BIGINT) AS num_edges",
+    "strongest_links_directed": with_(*_graph_ctes("transac"))
+    + "SELECT orig AS prodName_orig, dest AS prodName_dest, CAST(linkWeight AS BIGINT) AS num_of_transac FROM edges",
+    "vertex_out_degree": with_(*_graph_ctes("transac"))
+    + "SELECT orig AS prodName, CAST(sum(linkWeight) AS BIGINT) AS outDegree FROM edges GROUP BY orig",
+    "lazy_walk_rank": lazy_walk_sql(),
+    "pagerank": pagerank_sql(),
+})

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens import schemas as S
+from basketlens.functions.columns import round_half_even
 from basketlens.operators import explore as X
+from basketlens.operators import graph as G
 from basketlens.operators import indexing as I
+from basketlens.operators import rank as RK
 from basketlens.sources.star import baskets_from_star
 
 TOP_CLIENTS = 15
@@ -157,3 +160,72 @@ def top_n_totals_by_client(spark, sf_dir):
     clients, products = _client_labels(lines), _product_labels(lines)
     kept = I.keep_top(I.keep_top(lines, clients, S.CLIENT, TOP_CLIENTS), products, S.PRODUCT, TOP_PRODUCTS)
     return X.totals_by_client(kept, clients)
+
+
+# ---- co-purchase graph ---------------------------------------------------
+# DataFrame-graph form: vertex = product name, link = ticket (or client).
+# Multigraph form: vertex = product index, property = product name, link = ticket.
+
+def _indexed_products(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return I.index_labels(lines, _product_labels(lines), S.PRODUCT)
+
+
+@query
+def cooccurrence_edges_transac(spark, sf_dir):
+    return G.cooccurrence_edges(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+
+
+@query
+def cooccurrence_edges_client(spark, sf_dir):
+    return G.cooccurrence_edges(_lines(spark, sf_dir), S.PRODUCT, S.CLIENT)
+
+
+@query
+def strongest_links(spark, sf_dir):
+    return G.strongest_links(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+
+
+@query
+def vertex_neighbours(spark, sf_dir):
+    return G.vertex_neighbours(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+
+
+@query
+def vertex_out_links(spark, sf_dir):
+    return G.vertex_out_links(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+
+
+@query
+def graph_summary(spark, sf_dir):
+    return G.graph_summary(_indexed_products(spark, sf_dir), "prodNameIndex", S.TRANSAC)
+
+
+@query
+def strongest_links_directed(spark, sf_dir):
+    return G.strongest_links_directed(_indexed_products(spark, sf_dir), "prodNameIndex", S.PRODUCT, S.TRANSAC)
+
+
+@query
+def vertex_out_degree(spark, sf_dir):
+    return G.vertex_out_degree(_indexed_products(spark, sf_dir), "prodNameIndex", S.PRODUCT, S.TRANSAC)
+
+
+@query
+def lazy_walk_rank(spark, sf_dir):
+    ms = G.with_link_sizes(G.memberships(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC))
+    run = RK.lazy_walk_rank(ms, S.LAZY_WALK_DAMPING, S.LAZY_WALK_TOLERANCE, S.LAZY_WALK_MAX_ITER)
+    return (run.ranks.select(F.col("v").alias("orig"), round_half_even("rank", 6).alias("rank"))
+            .orderBy(F.col("rank").desc(), "orig"))
+
+
+@query
+def pagerank(spark, sf_dir):
+    df = _indexed_products(spark, sf_dir)
+    ms = G.with_link_sizes(G.memberships(df, "prodNameIndex", S.TRANSAC))
+    vertices = df.select(F.col("prodNameIndex").alias("v"))
+    run = RK.pagerank(ms, vertices, S.PAGERANK_DAMPING, S.PAGERANK_TOLERANCE)
+    props = G.vertex_properties(df, "prodNameIndex", S.PRODUCT)
+    return (run.ranks.join(props, "v")
+            .select(S.PRODUCT, round_half_even("rank", 6).alias("rank"))
+            .orderBy(F.col("rank").desc(), S.PRODUCT))
