@@ -5,12 +5,12 @@ this version keeps the work spread over all partitions:
 
 1. ``orderBy`` range-partitions and sorts the rows (partition ``i`` holds
    the ``i``-th slice of the order);
-2. a reliable ``checkpoint`` freezes that layout, so recomputation after an
-   executor loss cannot move rows between partitions;
-3. each row gets its position inside its partition
-   (``monotonically_increasing_id`` minus the partition base), each partition
-   the number of rows before it (a running sum over one row per partition,
-   a table whose size is the partition count);
+2. in the same pass each row records its partition and its position inside
+   it (``monotonically_increasing_id`` minus the partition base), and the
+   rows are written as a table to the shared checkpoint folder, so the
+   numbering is fixed once and cannot shift on recomputation;
+3. each partition gets the number of rows before it (a running sum over one
+   row per partition, a table whose size is the partition count);
 4. index = partition offset + position.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.session import ensure_checkpoint_dir
+from basketlens.session import ensure_checkpoint_dir, materialize
 
 _PID = "_rowidx_pid"
 _POS = "_rowidx_pos"
@@ -34,10 +34,11 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "index", start: in
     to be deterministic.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*order_by).checkpoint(eager=True)
-    tagged = (ordered
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_POS, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33)))
+    tagged = materialize(
+        df.orderBy(*order_by)
+        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_POS, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33)),
+        "row-index")
     running = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N))
                .select(_PID, F.coalesce(F.sum(_N).over(running), F.lit(0)).alias(_OFF)))

@@ -10,8 +10,8 @@ over the senders, a vertex receives
 so one step is two aggregations over the membership table - members to
 links, links back to members - and never touches the (quadratic) pair set.
 A link held by a third of all rows costs a third of the membership rows, not
-the square of it. The per-vertex state is written to the reliable checkpoint
-directory after every step: the plan stays one step long, and a lost
+the square of it. The per-vertex state is written as a table to the shared
+checkpoint folder after every step: the plan stays one step long, and a lost
 executor recomputes at most one step.
 
 * ``lazy_walk_rank`` - each step ``r'(v) = d*r(v) + (1-d) * sum_u r(u) w(u,v)/W(u)``,
@@ -29,11 +29,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.operators.graph import K, L, V
-from basketlens.session import ensure_checkpoint_dir
+from basketlens.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
@@ -44,20 +45,47 @@ class RankRun:
 
 
 def _freeze(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    """Write the step's state to the shared checkpoint folder and read it back:
+    one job, lineage cut, survives executor loss."""
+    return materialize(df, "rank-state")
 
 
-def _links_of_vertices(ms: DataFrame):
-    """Membership in links of 2+ members (the only ones carrying rank), stored
-    once hash-partitioned by vertex and once by link, plus ``(v, W, n)``:
-    out-weight and number of such links per vertex."""
-    ensure_checkpoint_dir(ms.sparkSession)
-    multi = ms.where(F.col(K) > 1)
-    by_vertex = _freeze(multi.select(V, L).repartition(V))
-    by_link = _freeze(by_vertex.repartition(L))
+@dataclass
+class Memberships:
+    """Membership in links of 2+ members (the only ones carrying rank), kept
+    hash-partitioned and sorted once by vertex and once by link so that the
+    per-step joins with vertex-keyed and link-keyed frames neither shuffle nor
+    sort these rows, plus
+    ``base = (v, W, n)``: out-weight and number of such links per vertex.
+
+    The two copies are persisted (memory, spilling to disk); a lost block is
+    rebuilt from their short, fixed lineage (scan, distinct, link sizes).
+    """
+    by_vertex: DataFrame
+    by_link: DataFrame
+    base: DataFrame
+    multi: DataFrame
+
+    def release(self):
+        for df in (self.by_vertex, self.by_link, self.multi):
+            df.unpersist()
+
+
+def _links_of_vertices(ms: DataFrame) -> Memberships:
+    spark = ms.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    multi = ms.where(F.col(K) > 1).select(V, L, K).persist(StorageLevel.MEMORY_AND_DISK)
+    # partitioned and sorted once: later sort-merge joins neither shuffle nor sort them
+    by_vertex = (multi.select(V, L).repartition(parts, V).sortWithinPartitions(V)
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    by_link = (multi.select(V, L).repartition(parts, L).sortWithinPartitions(L)
+               .persist(StorageLevel.MEMORY_AND_DISK))
     base = _freeze(multi.groupBy(V).agg(F.sum(F.col(K) - 1).cast("double").alias("W"),
                                         F.count(F.lit(1)).alias("n")))
-    return by_vertex, by_link, base
+    by_vertex.count()
+    by_link.count()
+    return Memberships(by_vertex, by_link, base, multi)
 
 
 def _gather(by_vertex: DataFrame, by_link: DataFrame, sent: DataFrame) -> DataFrame:
@@ -72,8 +100,9 @@ def _gather(by_vertex: DataFrame, by_link: DataFrame, sent: DataFrame) -> DataFr
 def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01,
                    max_iter: int = 10) -> RankRun:
     """G6 on sized memberships ``(v, link, k)``; returns ``(v, rank)``."""
-    by_vertex, by_link, base = _links_of_vertices(ms)
-    state = _freeze(base.select(V, "W", "n", F.lit(1.0).alias("rank")))
+    mem = _links_of_vertices(ms)
+    by_vertex, by_link = mem.by_vertex, mem.by_link
+    state = _freeze(mem.base.select(V, "W", "n", F.lit(1.0).alias("rank")))
     run = RankRun(ranks=state)
     tol, step = 1.0, 0
     while tol > tolerance and step < max_iter:
@@ -90,6 +119,7 @@ def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01
         run.trace.append(tol)
     run.steps = step
     run.ranks = state.select(V, "rank")
+    mem.release()
     return run
 
 
@@ -99,8 +129,9 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
     reset = 1.0 - damping
     keep = 1.0 - reset
     start = 0.0 + keep * (reset / (1.0 - reset))
-    by_vertex, by_link, base = _links_of_vertices(ms)
-    state = _freeze(vertices.select(V).distinct().join(base, V, "left")
+    mem = _links_of_vertices(ms)
+    by_vertex, by_link = mem.by_vertex, mem.by_link
+    state = _freeze(vertices.select(V).distinct().join(mem.base, V, "left")
                     .select(V, "W", "n", F.lit(start).alias("pr"), F.lit(start - 0.0).alias("delta"),
                             F.lit(True).alias("active")))
     run = RankRun(ranks=state)
@@ -130,4 +161,5 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
     total = state.agg(F.sum("pr").alias("s"), F.count(F.lit(1)).alias("n")).select(
         (F.col("n").cast("double") / F.col("s")).alias("f")).scalar()
     run.ranks = state.select(V, (F.col("pr") * total).alias("rank"))
+    mem.release()
     return run

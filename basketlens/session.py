@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,10 @@ def get_spark(master: str | None = None, app_name: str = "basketlens",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # No broadcast from file-size estimates (compressed sizes say little about
+        # rows); AQE broadcasts a join side only after measuring its shuffle output.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -60,10 +65,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df, name: str = "state"):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back (explicit schema: no inference job).
+
+    Cuts the lineage like a reliable checkpoint, in a single job, and the
+    result survives executor loss. Used for iterative state and for frames
+    whose row placement must not change on recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for derived tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{base}/basketlens/{_RUN}/{name}-{next(_counter)}"
 
 
 def _count():
@@ -74,3 +93,4 @@ def _count():
 
 
 _counter = _count()
+_RUN = f"{os.getpid()}-{uuid.uuid4().hex[:12]}"
