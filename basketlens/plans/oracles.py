@@ -234,3 +234,14 @@ ORACLES.update({
     "lazy_walk_rank": lazy_walk_sql(),
     "pagerank": pagerank_sql(),
 })
+
+
+ORACLES.update({
+    "ratings": with_(LINES, CLABELS, PLABELS) + """
+SELECT p.prodNameIndex, c.clientIndex, r.prodUds
+FROM (SELECT prodName, client, sum(prodUds) AS prodUds FROM lines GROUP BY prodName, client) r
+JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName""",
+    "restore_labels": with_(LINES) + "SELECT prodName, client, sum(prodUds) AS prodUds FROM lines GROUP BY prodName, client",
+    "tickets_json_lines": ORACLES["basket_lines"],
+    "tickets_shell_export": ORACLES["basket_lines"],
+})

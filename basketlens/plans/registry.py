@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from basketlens import schemas as S
 from basketlens.functions.columns import round_half_even
+from basketlens.operators import als as A
 from basketlens.operators import explore as X
 from basketlens.operators import graph as G
 from basketlens.operators import indexing as I
 from basketlens.operators import rank as RK
+from basketlens.session import scratch_path
+from basketlens.sources import tickets as T
 from basketlens.sources.star import baskets_from_star
 
 TOP_CLIENTS = 15
 TOP_PRODUCTS = 15
+ALS_SEED = 42
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -229,3 +233,88 @@ def pagerank(spark, sf_dir):
     return (run.ranks.join(props, "v")
             .select(S.PRODUCT, round_half_even("rank", 6).alias("rank"))
             .orderBy(F.col("rank").desc(), S.PRODUCT))
+
+
+# ---- ratings, label decoding, ALS ---------------------------------------
+
+def _ratings_by_label(lines):
+    """(prodName, client, prodUds) summed per pair - aggregated before any index lookup."""
+    return A.ratings(lines, S.PRODUCT, S.CLIENT, S.UNITS)
+
+
+@query
+def ratings(spark, sf_dir):
+    """A5 in index space: (prodNameIndex, clientIndex, prodUds)."""
+    lines = _lines(spark, sf_dir)
+    pairs = _ratings_by_label(lines)
+    return (I.index_baskets(pairs, _client_labels(lines), _product_labels(lines))
+            .select("prodNameIndex", "clientIndex", S.UNITS))
+
+
+@query
+def restore_labels(spark, sf_dir):
+    """index-space ratings decoded back to their labels (original types kept)."""
+    lines = _lines(spark, sf_dir)
+    clients, products = _client_labels(lines), _product_labels(lines)
+    indexed = I.index_baskets(_ratings_by_label(lines), clients, products).select(
+        "prodNameIndex", "clientIndex", S.UNITS)
+    decoded = I.restore_labels(I.restore_labels(indexed, products, S.PRODUCT), clients, S.CLIENT)
+    return decoded.select(S.PRODUCT, S.CLIENT, S.UNITS)
+
+
+def _als_fit(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    clients, products = _client_labels(lines), _product_labels(lines)
+    triples = I.index_baskets(_ratings_by_label(lines), clients, products)
+    fit = A.fit_als(triples, "clientIndex", "prodNameIndex", S.UNITS, seed=ALS_SEED)
+    return fit, clients, products
+
+
+@query
+def als_users_for_items(spark, sf_dir):
+    """M1-M7, the source's orientation: the 10 likeliest clients of every product."""
+    fit, clients, products = _als_fit(spark, sf_dir)
+    return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, "users_for_items",
+                             products, S.PRODUCT, clients, S.CLIENT)
+
+
+@query
+def als_items_for_users(spark, sf_dir):
+    """M6-M7 the other way: the 10 best products for every client."""
+    fit, clients, products = _als_fit(spark, sf_dir)
+    return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, "items_for_users",
+                             clients, S.CLIENT, products, S.PRODUCT)
+
+
+@query
+def als_rmse(spark, sf_dir):
+    """M4-M5: held-out RMSE with train/test sizes (one row)."""
+    fit, _, _ = _als_fit(spark, sf_dir)
+    return A.rmse(fit)
+
+
+# ---- ticket documents derived from the tables, read back ----------------
+
+def _written_tickets(spark, sf_dir, fmt):
+    lines = _lines(spark, sf_dir, with_mall=True)
+    tickets = T.tickets_from_baskets(lines)
+    path = scratch_path(spark, f"tickets-{fmt}")
+    if fmt == "json":
+        tickets.write.mode("overwrite").json(path)
+        return T.read_tickets(spark, path)
+    T.shell_export_text(tickets).write.mode("overwrite").text(path)
+    return T.read_shell_export(spark, path)
+
+
+@query
+def tickets_json_lines(spark, sf_dir):
+    """S1 + P1-P4: tickets written as JSON lines, scanned with the ticket schema and flattened."""
+    lines = T.flatten_baskets(_written_tickets(spark, sf_dir, "json"))
+    return lines.withColumn(S.DATE, F.date_format(S.DATE, "yyyy-MM-dd"))
+
+
+@query
+def tickets_shell_export(spark, sf_dir):
+    """S2 + P1-P4: tickets written in the shell export dialect, parsed in parallel and flattened."""
+    lines = T.flatten_baskets(_written_tickets(spark, sf_dir, "shell"))
+    return lines.withColumn(S.DATE, F.date_format(S.DATE, "yyyy-MM-dd"))

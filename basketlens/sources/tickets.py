@@ -50,7 +50,7 @@ def read_shell_export(spark: SparkSession, path: str) -> DataFrame:
     Documents that do not parse are dropped, as with ``read_tickets``.
     """
     raw = spark.read.option("lineSep", DOCUMENT_END).text(path)
-    body = F.trim(F.col("value"), " \r\n\t")
+    body = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
     docs = (raw.select(body.alias("body"))
             .where(F.col("body") != "")
             .select(F.concat(unwrap_shell_values(F.col("body")), F.lit("\n}")).alias("json")))
