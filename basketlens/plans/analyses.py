@@ -98,14 +98,15 @@ def recommender_graph_x(config: dict, df: DataFrame) -> dict[str, DataFrame]:
 
 def run_analyses(spark: SparkSession, lines: DataFrame, configs: list[dict], out_dir: str,
                  run_id: str | None = None) -> dict[str, str | None]:
-    """Run each configuration over ``lines``; returns ``result name -> path``."""
+    """Run each configuration over ``lines``; returns ``cfg<i>/<result name> -> path``
+    (results go to ``<out_dir>/<run_id>/cfg<i>/<result name>``)."""
     run_id = run_id or new_run_id()
     client_labels = I.frequency_index(lines, S.CLIENT)
     product_labels = I.frequency_index(lines, S.PRODUCT)
     indexed = I.index_baskets(lines, client_labels, product_labels).persist(StorageLevel.MEMORY_AND_DISK)
     written: dict[str, str | None] = {}
     try:
-        for config in configs or [{}]:
+        for i, config in enumerate(configs or [{}]):
             app = config.get("appName", "DataExplorer")
             if app not in APPS:
                 raise ValueError(f"unknown appName {app!r}; expected one of {APPS}")
@@ -125,8 +126,9 @@ def run_analyses(spark: SparkSession, lines: DataFrame, configs: list[dict], out
                 results = recommender_graph_x(config, df)
             params = {"numClients": n_clients, "numProds": n_prods}
             for name, result in results.items():
-                written[name] = write_result(result, out_dir, run_id, name,
-                                             config.get("outputMode", "parallelWriteJSON"), params)
+                # one folder per configuration: runs of the same analysis never mix
+                written[f"cfg{i}/{name}"] = write_result(result, out_dir, f"{run_id}/cfg{i}", name,
+                                                         config.get("outputMode", "parallelWriteJSON"), params)
     finally:
         indexed.unpersist()
     return written
