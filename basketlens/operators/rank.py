@@ -50,67 +50,111 @@ def _freeze(df: DataFrame) -> DataFrame:
     return materialize(df, "rank-state")
 
 
+# Vertices (links) with more memberships than this are split into sub-keys.
+HOT_KEY_SIZE = 100_000
+
+
 @dataclass
 class Memberships:
     """Membership in links of 2+ members (the only ones carrying rank), kept
-    hash-partitioned and sorted once by vertex and once by link so that the
-    per-step joins with vertex-keyed and link-keyed frames neither shuffle nor
-    sort these rows, plus
-    ``base = (v, W, n)``: out-weight and number of such links per vertex.
-
-    The two copies are persisted (memory, spilling to disk); a lost block is
-    rebuilt from their short, fixed lineage (scan, distinct, link sizes).
+    in two persisted copies, partitioned and sorted once so the per-step
+    joins neither shuffle nor sort them again:
+
+    * ``by_vertex`` on ``v`` - or, when some vertex has more than
+      ``hot_key_size`` links, on ``(v, vs)``: such a vertex is split into
+      ``cv = ceil(n / hot_key_size)`` sub-vertices by a hash of the link;
+    * ``by_link`` on ``link`` - or, when some link has more than
+      ``hot_key_size`` members, on ``(link, ls)``: such a link is split into
+      ``cl = ceil(k / hot_key_size)`` sub-links by a hash of the vertex.
+
+    With a split, the per-step frames (one row per vertex, one row per link)
+    are replicated over the sub-keys before the join, so no task holds more
+    than about ``hot_key_size`` memberships of one key. Whether to split is
+    decided from the exact largest degree and link size, measured once.
+    ``base = (v, W, n, cv)``: out-weight, number of multi-member links and
+    split factor per vertex. A lost cached block is rebuilt from the copies'
+    short, fixed lineage.
     """
     by_vertex: DataFrame
     by_link: DataFrame
     base: DataFrame
     multi: DataFrame
+    split_vertices: bool
+    split_links: bool
 
     def release(self):
         for df in (self.by_vertex, self.by_link, self.multi):
             df.unpersist()
 
 
-def _links_of_vertices(ms: DataFrame) -> Memberships:
+def _split(size_col: str, hot_key_size: int):
+    return F.greatest(F.lit(1), F.ceil(F.col(size_col) / F.lit(hot_key_size))).cast("int")
+
+
+def _links_of_vertices(ms: DataFrame, hot_key_size: int = HOT_KEY_SIZE) -> Memberships:
     spark = ms.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     multi = ms.where(F.col(K) > 1).select(V, L, K).persist(StorageLevel.MEMORY_AND_DISK)
-    # partitioned and sorted once: later sort-merge joins neither shuffle nor sort them
-    by_vertex = (multi.select(V, L).repartition(parts, V).sortWithinPartitions(V)
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    by_link = (multi.select(V, L).repartition(parts, L).sortWithinPartitions(L)
-               .persist(StorageLevel.MEMORY_AND_DISK))
     base = _freeze(multi.groupBy(V).agg(F.sum(F.col(K) - 1).cast("double").alias("W"),
-                                        F.count(F.lit(1)).alias("n")))
+                                        F.count(F.lit(1)).alias("n"))
+                   .withColumn("cv", _split("n", hot_key_size)))
+    max_n = base.agg(F.max("n")).first()[0] or 0
+    max_k = multi.agg(F.max(K)).first()[0] or 0
+    split_vertices, split_links = max_n > hot_key_size, max_k > hot_key_size
+    cl = _split(K, hot_key_size).alias("cl")
+    if split_vertices:
+        by_vertex = (multi.join(base.select(V, "cv"), V)
+                     .select(V, F.pmod(F.xxhash64(L), F.col("cv")).cast("int").alias("vs"), L, cl)
+                     .repartition(parts, V, "vs").sortWithinPartitions(V, "vs"))
+    else:
+        by_vertex = multi.select(V, L, cl).repartition(parts, V).sortWithinPartitions(V)
+    if split_links:
+        by_link = (multi.select(L, F.pmod(F.xxhash64(V), _split(K, hot_key_size)).cast("int").alias("ls"), V)
+                   .repartition(parts, L, "ls").sortWithinPartitions(L, "ls"))
+    else:
+        by_link = multi.select(L, V).repartition(parts, L).sortWithinPartitions(L)
+    by_vertex = by_vertex.persist(StorageLevel.MEMORY_AND_DISK)
+    by_link = by_link.persist(StorageLevel.MEMORY_AND_DISK)
     by_vertex.count()
     by_link.count()
-    return Memberships(by_vertex, by_link, base, multi)
+    return Memberships(by_vertex, by_link, base, multi, split_vertices, split_links)
+
+
+def _replicate(df: DataFrame, count_col: str, name: str) -> DataFrame:
+    """One copy of each row per sub-key ``0 .. count-1``."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(count_col) - 1))).drop(count_col)
 
 
-def _gather(by_vertex: DataFrame, by_link: DataFrame, sent: DataFrame) -> DataFrame:
-    """``(v, T, A)``: per vertex, the sum over its links of the link totals of
-    ``sent.x`` and of the number of senders. ``sent``: ``(v, x)`` of senders."""
-    per_link = (by_vertex.join(sent, V)
-                .groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A")))
-    return (by_link.join(per_link, L)
-            .groupBy(V).agg(F.sum("S").alias("T"), F.sum("A").alias("AA")))
+def _gather(mem: Memberships, sent: DataFrame) -> DataFrame:
+    """``(v, T, AA)``: per vertex, the sum over its links of the link totals of
+    ``sent.x`` and of the number of senders. ``sent``: ``(v, x, cv)`` of senders."""
+    if mem.split_vertices:
+        reached = mem.by_vertex.join(_replicate(sent, "cv", "vs"), [V, "vs"])
+    else:
+        reached = mem.by_vertex.join(sent.drop("cv"), V)
+    per_link = reached.groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A"),
+                                      F.max("cl").alias("cl"))
+    if mem.split_links:
+        back = mem.by_link.join(_replicate(per_link, "cl", "ls"), [L, "ls"])
+    else:
+        back = mem.by_link.join(per_link.drop("cl"), L)
+    return back.groupBy(V).agg(F.sum("S").alias("T"), F.sum("A").alias("AA"))
 
 
 def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01,
-                   max_iter: int = 10) -> RankRun:
+                   max_iter: int = 10, hot_key_size: int = HOT_KEY_SIZE) -> RankRun:
     """G6 on sized memberships ``(v, link, k)``; returns ``(v, rank)``."""
-    mem = _links_of_vertices(ms)
-    by_vertex, by_link = mem.by_vertex, mem.by_link
-    state = _freeze(mem.base.select(V, "W", "n", F.lit(1.0).alias("rank")))
+    mem = _links_of_vertices(ms, hot_key_size)
+    state = _freeze(mem.base.select(V, "W", "n", "cv", F.lit(1.0).alias("rank")))
     run = RankRun(ranks=state)
     tol, step = 1.0, 0
     while tol > tolerance and step < max_iter:
-        sent = state.select(V, (F.col("rank") / F.col("W")).alias("x"))
-        got = _gather(by_vertex, by_link, sent)
+        sent = state.select(V, (F.col("rank") / F.col("W")).alias("x"), "cv")
+        got = _gather(mem, sent)
         own = F.col("n") * (F.col("rank") / F.col("W"))
         new = (state.join(got, V)
-               .select(V, "W", "n", F.col("rank").alias("old"),
+               .select(V, "W", "n", "cv", F.col("rank").alias("old"),
                        (F.col("rank") * damping + (F.col("T") - own) * (1.0 - damping)).alias("rank")))
         new = _freeze(new)
         tol = new.agg(F.max(F.abs(F.col("old") - F.col("rank")))).first()[0] or 0.0
@@ -124,22 +168,21 @@ def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01
 
 
 def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, tolerance: float = 0.01,
-             max_iter: int | None = None) -> RankRun:
+             max_iter: int | None = None, hot_key_size: int = HOT_KEY_SIZE) -> RankRun:
     """G9 on sized memberships ``(v, link, k)`` and the vertex set ``(v)``; returns ``(v, rank)``."""
     reset = 1.0 - damping
     keep = 1.0 - reset
     start = 0.0 + keep * (reset / (1.0 - reset))
-    mem = _links_of_vertices(ms)
-    by_vertex, by_link = mem.by_vertex, mem.by_link
+    mem = _links_of_vertices(ms, hot_key_size)
     state = _freeze(vertices.select(V).distinct().join(mem.base, V, "left")
-                    .select(V, "W", "n", F.lit(start).alias("pr"), F.lit(start - 0.0).alias("delta"),
+                    .select(V, "W", "n", "cv", F.lit(start).alias("pr"), F.lit(start - 0.0).alias("delta"),
                             F.lit(True).alias("active")))
     run = RankRun(ranks=state)
     step = 0
     while max_iter is None or step < max_iter:
         is_sender = F.col("active") & (F.col("delta") > tolerance) & F.col("W").isNotNull()
-        sent = state.where(is_sender).select(V, (F.col("delta") * (1.0 / F.col("W"))).alias("x"))
-        got = _gather(by_vertex, by_link, sent)
+        sent = state.where(is_sender).select(V, (F.col("delta") * (1.0 / F.col("W"))).alias("x"), "cv")
+        got = _gather(mem, sent)
         y = F.when(is_sender, F.col("delta") * (1.0 / F.col("W"))).otherwise(F.lit(0.0))
         s = F.when(is_sender, F.lit(1)).otherwise(F.lit(0))
         joined = state.join(got, V, "left")
@@ -147,7 +190,7 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
         msg = F.col("T") - F.col("n") * y
         new_pr = F.col("pr") + msg * keep
         new = joined.select(
-            V, "W", "n",
+            V, "W", "n", "cv",
             F.when(receives, new_pr).otherwise(F.col("pr")).alias("pr"),
             F.when(receives, new_pr - F.col("pr")).otherwise(F.col("delta")).alias("delta"),
             receives.alias("active"))
