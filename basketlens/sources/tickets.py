@@ -81,15 +81,27 @@ def flatten_baskets(tickets: DataFrame, excluded=S.EXCLUDED_PRODUCTS) -> DataFra
     return exclude_products(lines, excluded)
 
 
-def tickets_from_baskets(lines: DataFrame) -> DataFrame:
-    """Nest basket lines back into ticket documents (one row per ticket).
+# Largest number of items written into one ticket document.
+MAX_ITEMS_PER_DOCUMENT = 10_000
 
-    Used to write ticket files derived from a basket table; every ticket's
-    items form one document by definition of the format.
+
+def tickets_from_baskets(lines: DataFrame, max_items: int = MAX_ITEMS_PER_DOCUMENT) -> DataFrame:
+    """Nest basket lines back into ticket documents.
+
+    A ticket with more than ``max_items`` lines is written as several
+    documents with the same id (items spread at random over
+    ``ceil(n / max_items)`` parts of about ``max_items`` items each), so no
+    document - and no task building one - grows with the largest ticket;
+    flattening the parts gives back the same lines.
     """
+    sizes = lines.groupBy(S.TRANSAC).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_items)))
+    keyed = (lines.join(sizes, S.TRANSAC)
+             .withColumn("_part", F.when(F.col("_n") > max_items, F.floor(F.rand(17) * parts))
+                         .otherwise(F.lit(0)).cast("int")))
     item = F.struct(F.col(S.PRODUCT).alias("desc"), F.col(S.UNITS).alias("n_unit"),
                     F.col(S.COST).alias("net_am"))
-    return (lines.groupBy(S.TRANSAC)
+    return (keyed.groupBy(S.TRANSAC, "_part")
             .agg(F.first(S.CLIENT).alias("client"), F.first(S.DATE).alias("date"),
                  F.first(S.MALL).alias("mall"), F.collect_list(item).alias("items"))
             .select(F.col(S.TRANSAC).alias("_id"), "client", "date", "items", "mall"))

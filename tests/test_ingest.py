@@ -64,3 +64,12 @@ def test_ticket_roundtrip_through_both_formats(spark, tmp_path):
     back = T.flatten_baskets(T.read_shell_export(spark, str(tmp_path / "sh")))
     assert _rows(back) == EXPECTED_LINES
     assert back.where(F.col("transac") == 1).first()["date"] == dt.date(2016, 1, 14)
+
+
+def test_large_tickets_split_into_bounded_documents(spark, tmp_path):
+    lines = T.flatten_baskets(T.read_shell_export(spark, _write(tmp_path, "e.json", export_text())))
+    docs = T.tickets_from_baskets(lines, max_items=1).collect()
+    assert len(docs) > 4 and len({r["_id"] for r in docs}) == 4
+    assert max(len(r["items"]) for r in docs) < 3
+    docs = spark.createDataFrame(docs, T.tickets_from_baskets(lines).schema)
+    assert _rows(T.flatten_baskets(docs)) == EXPECTED_LINES
