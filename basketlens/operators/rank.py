@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.operators.graph import K, L, V
-from basketlens.session import ensure_checkpoint_dir, materialize
+from basketlens.session import drop_scratch, ensure_checkpoint_dir, materialize, materialized_path
 
 
 @dataclass
@@ -50,6 +50,15 @@ def _freeze(df: DataFrame) -> DataFrame:
     return materialize(df, "rank-state")
 
 
+def _advance(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Freeze the next state and delete the previous state's table."""
+    frozen = _freeze(new)
+    path = materialized_path(old)
+    if path:
+        drop_scratch(old.sparkSession, path)
+    return frozen
+
+
 # Vertices (links) with more memberships than this are split into sub-keys.
 HOT_KEY_SIZE = 100_000
 
@@ -156,7 +165,7 @@ def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01
         new = (state.join(got, V)
                .select(V, "W", "n", "cv", F.col("rank").alias("old"),
                        (F.col("rank") * damping + (F.col("T") - own) * (1.0 - damping)).alias("rank")))
-        new = _freeze(new)
+        new = _advance(state, new)
         tol = new.agg(F.max(F.abs(F.col("old") - F.col("rank")))).first()[0] or 0.0
         state = new.drop("old")
         step += 1
@@ -194,7 +203,7 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
             F.when(receives, new_pr).otherwise(F.col("pr")).alias("pr"),
             F.when(receives, new_pr - F.col("pr")).otherwise(F.col("delta")).alias("delta"),
             receives.alias("active"))
-        state = _freeze(new)
+        state = _advance(state, new)
         received = state.where("active").count()
         step += 1
         run.trace.append(received)

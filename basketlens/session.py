@@ -79,6 +79,19 @@ def materialize(df, name: str = "state"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table written by ``materialize`` once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def materialized_path(df) -> str | None:
+    """The folder a ``materialize``d frame reads from (``None`` otherwise)."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for derived tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
