@@ -11,7 +11,10 @@ Plan shape, chosen for large inputs:
 * shares of a total read the total as a scalar subquery (one value computed
   once, no driver round trip and no join);
 * every figure is rounded like the source (half-even) and ratios are taken
-  from already rounded figures, in the same order as the source.
+  from already rounded figures, in the same order as the source;
+* ``all_reports`` aggregates the line table three times in all (totals, per
+  product, per client), writes those small frames once and derives the
+  twelve results from them.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from basketlens import schemas as S
 from basketlens.functions.columns import money_sum, percent_of, ratio, round_half_even
+from basketlens.session import materialize
 
 CLIENT_INDEX = S.index_column(S.CLIENT)
 
@@ -170,10 +174,16 @@ REPORTS = (
 
 def all_reports(lines: DataFrame, client_labels: DataFrame | None = None,
                 buy_more_denominator: str = "units") -> dict[str, DataFrame]:
-    """The twelve exploration results by name, sharing the totals and per-key frames."""
-    tot = totals(lines)
-    by_product = totals_by_product(lines)
-    by_client = totals_by_client(lines, client_labels)
+    """The twelve exploration results by name.
+
+    The three shared inputs - totals (one row), per-product and per-client
+    figures (one row per key) - are aggregated once and written to the
+    checkpoint folder; the twelve results are projections and sorts of them,
+    so the line table is aggregated three times in all, not once per result.
+    """
+    tot = materialize(totals(lines), "totals")
+    by_product = materialize(totals_by_product(lines), "by-product")
+    by_client = materialize(totals_by_client(lines, client_labels), "by-client")
     return {
         "totals": tot,
         "totalsByProd": by_product,
