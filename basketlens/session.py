@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, app_name: str = "basketlens",
         # rows); AQE broadcasts a join side only after measuring its shuffle output.
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+        # Small shuffles are not merged into a single task (at scale every
+        # partition is far above this floor, so it changes nothing there).
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
