@@ -43,17 +43,23 @@ def with_link_sizes(m: DataFrame) -> DataFrame:
     return m.join(sizes, L)
 
 
-def half_edges(ms: DataFrame, hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
-    """Undirected weighted edges ``(orig < dest, linkWeight)`` from sized memberships."""
+def half_edges(ms: DataFrame, hot_link_size: int = HOT_LINK_SIZE, weight: str | None = None) -> DataFrame:
+    """Undirected weighted edges ``(orig < dest, linkWeight)`` from sized memberships.
+
+    With ``weight``, each membership stands for that many parallel members and a
+    pair adds the product of both weights instead of 1.
+    """
     multi = ms.where(F.col(K) > 1)
     buckets = F.greatest(F.lit(1), F.ceil(F.col(K) / F.lit(hot_link_size))).cast("int")
     sized = (multi.withColumn("_c", buckets)
              .withColumn("_b", F.pmod(F.xxhash64(V), F.col("_c")).cast("int")))
     spread = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
-    left = sized.select(L, F.col(V).alias("orig"), F.col("_b").alias("_x"), spread.alias("_y"))
-    right = sized.select(L, F.col(V).alias("dest"), spread.alias("_x"), F.col("_b").alias("_y"))
+    w = F.col(weight) if weight else F.lit(1)
+    left = sized.select(L, F.col(V).alias("orig"), F.col("_b").alias("_x"), spread.alias("_y"), w.alias("_lw"))
+    right = sized.select(L, F.col(V).alias("dest"), spread.alias("_x"), F.col("_b").alias("_y"), w.alias("_rw"))
     pairs = left.join(right, [L, "_x", "_y"]).where(F.col("orig") < F.col("dest"))
-    return pairs.groupBy("orig", "dest").agg(F.count(F.lit(1)).alias("linkWeight"))
+    total = F.sum(F.col("_lw") * F.col("_rw")) if weight else F.count(F.lit(1))
+    return pairs.groupBy("orig", "dest").agg(total.cast("long").alias("linkWeight"))
 
 
 def mirror(half: DataFrame, weight: str = "linkWeight") -> DataFrame:
@@ -110,15 +116,25 @@ def graph_summary(df: DataFrame, vertex: str, link: str) -> DataFrame:
 def strongest_links_directed(df: DataFrame, vertex: str, prop: str, link: str,
                              hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
     """Directed edge weights between vertex properties
-    (``<prop>_orig, <prop>_dest, num_of_<link>``), both senses."""
-    half = half_edges(with_link_sizes(memberships(df, vertex, link)), hot_link_size)
+    (``<prop>_orig, <prop>_dest, num_of_<link>``), both senses.
+
+    Vertex pairs are merged by their properties, so the property is attached
+    to the memberships first (``c`` = vertices of that property on the link)
+    and pairs are built between properties: ``weight(a, b) = sum of c_a*c_b``
+    over shared links, and two different vertices with the same property give
+    ``weight(a, a) = sum of c_a*(c_a - 1)``. The property joins run on the
+    membership table, not on the (larger) pair table.
+    """
     props = vertex_properties(df, vertex, prop)
+    named = (memberships(df, vertex, link).join(props, V)
+             .groupBy(F.col(prop).alias(V), L).agg(F.count(F.lit(1)).alias("c")))
+    half = half_edges(with_link_sizes(named), hot_link_size, weight="c")
+    same = (named.where(F.col("c") > 1)
+            .groupBy(V).agg(F.sum(F.col("c") * (F.col("c") - 1)).cast("long").alias("linkWeight"))
+            .select(F.col(V).alias("orig"), F.col(V).alias("dest"), "linkWeight"))
     src, dst, weight = f"{prop}_orig", f"{prop}_dest", f"num_of_{link}"
-    named = (half.join(props.select(F.col(V).alias("orig"), F.col(prop).alias(src)), "orig")
-             .join(props.select(F.col(V).alias("dest"), F.col(prop).alias(dst)), "dest")
-             .select(src, dst, "linkWeight"))
-    both = named.unionByName(named.select(F.col(dst).alias(src), F.col(src).alias(dst), "linkWeight"))
-    return both.groupBy(src, dst).agg(F.sum("linkWeight").cast("long").alias(weight))
+    return (mirror(half).unionByName(same)
+            .select(F.col("orig").alias(src), F.col("dest").alias(dst), F.col("linkWeight").alias(weight)))
 
 
 def vertex_out_degree(df: DataFrame, vertex: str, prop: str, link: str) -> DataFrame:

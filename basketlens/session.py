@@ -27,7 +27,7 @@ def get_spark(master: str | None = None, app_name: str = "basketlens",
         # No broadcast from file-size estimates (compressed sizes say little about
         # rows); AQE broadcasts a join side only after measuring its shuffle output.
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
         # Small shuffles are not merged into a single task (at scale every
         # partition is far above this floor, so it changes nothing there).
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
