@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.row_index import with_row_index
+from basketlens.session import materialize
 from basketlens.schemas import index_column
 
 # Label sets up to this many rows are broadcast for the top-N semi-join;
@@ -18,6 +19,12 @@ from basketlens.schemas import index_column
 TOP_BROADCAST_MAX = 1_000_000
 
 
+def _index_from_counts(counts: DataFrame, column: str, index_col: str) -> DataFrame:
+    order = [F.col("frequency").desc(), F.col(column).cast("string").asc()]
+    return (with_row_index(counts, order, index_col)
+            .select(column, F.col(index_col).cast("int").alias(index_col), "frequency"))
+
+
 def frequency_index(df: DataFrame, column: str, index_col: str | None = None) -> DataFrame:
     """Label table ``(column, <column>Index, frequency)`` fitted on ``df``.
 
@@ -28,9 +35,30 @@ def frequency_index(df: DataFrame, column: str, index_col: str | None = None) ->
     index_col = index_col or index_column(column)
     counts = (df.where(F.col(column).isNotNull())
               .groupBy(column).agg(F.count(F.lit(1)).alias("frequency")))
-    order = [F.col("frequency").desc(), F.col(column).cast("string").asc()]
-    return (with_row_index(counts, order, index_col)
-            .select(column, F.col(index_col).cast("int").alias(index_col), "frequency"))
+    return _index_from_counts(counts, column, index_col)
+
+
+def frequency_indexes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """Label tables of several columns fitted in one pass over ``df``.
+
+    One grouping-sets aggregation counts every column's labels together
+    (each row is expanded once per column and combined map-side); the small
+    result is written once and each index is built from its part.
+    """
+    if len(columns) == 1:
+        return {columns[0]: frequency_index(df, columns[0])}
+    n = len(columns)
+    counts = materialize(
+        df.select(*columns)
+        .groupingSets([[c] for c in columns], *columns)
+        .agg(F.count(F.lit(1)).alias("frequency"), F.grouping_id().alias("_gid")),
+        "label-counts")
+    out = {}
+    for i, c in enumerate(columns):
+        only_c = (1 << n) - 1 - (1 << (n - 1 - i))
+        part = counts.where((F.col("_gid") == only_c) & F.col(c).isNotNull()).select(c, "frequency")
+        out[c] = _index_from_counts(part, c, index_column(c))
+    return out
 
 
 def index_labels(df: DataFrame, labels: DataFrame, column: str, index_col: str | None = None) -> DataFrame:

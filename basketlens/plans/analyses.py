@@ -101,8 +101,8 @@ def run_analyses(spark: SparkSession, lines: DataFrame, configs: list[dict], out
     """Run each configuration over ``lines``; returns ``cfg<i>/<result name> -> path``
     (results go to ``<out_dir>/<run_id>/cfg<i>/<result name>``)."""
     run_id = run_id or new_run_id()
-    client_labels = I.frequency_index(lines, S.CLIENT)
-    product_labels = I.frequency_index(lines, S.PRODUCT)
+    labels = I.frequency_indexes(lines, [S.CLIENT, S.PRODUCT])
+    client_labels, product_labels = labels[S.CLIENT], labels[S.PRODUCT]
     indexed = I.index_baskets(lines, client_labels, product_labels).persist(StorageLevel.MEMORY_AND_DISK)
     written: dict[str, str | None] = {}
     try:

@@ -47,6 +47,12 @@ def _product_labels(lines):
     return I.frequency_index(lines, S.PRODUCT)
 
 
+def _both_labels(lines):
+    """Client and product label tables from one pass over the lines."""
+    labels = I.frequency_indexes(lines, [S.CLIENT, S.PRODUCT])
+    return labels[S.CLIENT], labels[S.PRODUCT]
+
+
 # ---- ingest and indexing -------------------------------------------------
 
 @query
@@ -69,14 +75,14 @@ def frequency_index_client(spark, sf_dir):
 @query
 def indexed_baskets(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return I.index_baskets(lines, _client_labels(lines), _product_labels(lines)).select(
+    return I.index_baskets(lines, *_both_labels(lines)).select(
         S.TRANSAC, S.CLIENT, S.PRODUCT, S.UNITS, S.COST, "clientIndex", "prodNameIndex")
 
 
 @query
 def top_n_baskets(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    clients, products = _client_labels(lines), _product_labels(lines)
+    clients, products = _both_labels(lines)
     kept = I.keep_top(I.keep_top(lines, clients, S.CLIENT, TOP_CLIENTS), products, S.PRODUCT, TOP_PRODUCTS)
     return I.index_baskets(kept, clients, products).select(
         S.TRANSAC, S.CLIENT, S.PRODUCT, S.UNITS, S.COST, "clientIndex", "prodNameIndex")
@@ -161,7 +167,7 @@ def clients_variety(spark, sf_dir):
 def top_n_totals_by_client(spark, sf_dir):
     """R6 on the top-(15,15) selection, as the exploration example configures it."""
     lines = _lines(spark, sf_dir)
-    clients, products = _client_labels(lines), _product_labels(lines)
+    clients, products = _both_labels(lines)
     kept = I.keep_top(I.keep_top(lines, clients, S.CLIENT, TOP_CLIENTS), products, S.PRODUCT, TOP_PRODUCTS)
     return X.totals_by_client(kept, clients)
 
@@ -247,7 +253,7 @@ def ratings(spark, sf_dir):
     """A5 in index space: (prodNameIndex, clientIndex, prodUds)."""
     lines = _lines(spark, sf_dir)
     pairs = _ratings_by_label(lines)
-    return (I.index_baskets(pairs, _client_labels(lines), _product_labels(lines))
+    return (I.index_baskets(pairs, *_both_labels(lines))
             .select("prodNameIndex", "clientIndex", S.UNITS))
 
 
@@ -255,7 +261,7 @@ def ratings(spark, sf_dir):
 def restore_labels(spark, sf_dir):
     """index-space ratings decoded back to their labels (original types kept)."""
     lines = _lines(spark, sf_dir)
-    clients, products = _client_labels(lines), _product_labels(lines)
+    clients, products = _both_labels(lines)
     indexed = I.index_baskets(_ratings_by_label(lines), clients, products).select(
         "prodNameIndex", "clientIndex", S.UNITS)
     decoded = I.restore_labels(I.restore_labels(indexed, products, S.PRODUCT), clients, S.CLIENT)
@@ -264,7 +270,7 @@ def restore_labels(spark, sf_dir):
 
 def _als_fit(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    clients, products = _client_labels(lines), _product_labels(lines)
+    clients, products = _both_labels(lines)
     triples = I.index_baskets(_ratings_by_label(lines), clients, products)
     fit = A.fit_als(triples, "clientIndex", "prodNameIndex", S.UNITS, seed=ALS_SEED)
     return fit, clients, products

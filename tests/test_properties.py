@@ -70,3 +70,10 @@ def test_lazy_walk_tends_to_weighted_degree_share(spark):
     assert ranks[0] == pytest.approx(4 * 3 / 6, abs=1e-5)
     for leaf in (1, 2, 3):
         assert ranks[leaf] == pytest.approx(4 * 1 / 6, abs=1e-5)
+
+
+def test_one_pass_indexes_equal_single_ones(lines):
+    both = I.frequency_indexes(lines, ["client", "prodName"])
+    for col in ("client", "prodName"):
+        single = I.frequency_index(lines, col)
+        assert sorted(tuple(r) for r in both[col].collect()) == sorted(tuple(r) for r in single.collect())
