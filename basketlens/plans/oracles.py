@@ -174,8 +174,8 @@ def _f(x: float) -> str:
 
 
 def lazy_walk_sql(damping: float = S.LAZY_WALK_DAMPING, tolerance: float = S.LAZY_WALK_TOLERANCE,
-                  max_iter: int = S.LAZY_WALK_MAX_ITER) -> str:
-    ctes = list(_graph_ctes("transac"))
+                  max_iter: int = S.LAZY_WALK_MAX_ITER, link: str = "transac") -> str:
+    ctes = list(_graph_ctes(link))
     ctes.append("w AS MATERIALIZED (SELECT orig AS v, CAST(sum(linkWeight) AS DOUBLE) AS w FROM edges GROUP BY orig)")
     ctes.append("r0 AS MATERIALIZED (SELECT v, CAST(1.0 AS DOUBLE) AS rank FROM w)")
     ctes.append("g0 AS MATERIALIZED (SELECT TRUE AS go)")
@@ -232,6 +232,7 @@ ORACLES.update({
     "vertex_out_degree": with_(*_graph_ctes("transac"))
     + "SELECT orig AS prodName, CAST(sum(linkWeight) AS BIGINT) AS outDegree FROM edges GROUP BY orig",
     "lazy_walk_rank": lazy_walk_sql(),
+    "lazy_walk_rank_client": lazy_walk_sql(link="client"),
     "pagerank": pagerank_sql(),
 })
 
