@@ -211,32 +211,32 @@ def merge(runs: list[Run]) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]
         losers[0] = at
 
 
-def longest_shared(entries: Iterator[tuple[bytes, int, np.ndarray, np.ndarray]], ends: list) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Per string: (ids, positions, longest prefix shared with any other, edge).
+def longest_shared(entries: Iterator[tuple[bytes, int, np.ndarray, np.ndarray]], ends: list) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
+    """Per string: (ids, positions, longest prefix shared with any other, edge, number of the string).
 
     edge is 1 for the range's first string, 2 for its last, 3 for both; ``ends``
     gets those two strings. A string found twice is given out as it comes, so
     the positions of a frequent string are never held together.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    string, best, seen, first = b"", 0, 0, True
+    string, best, seen, number = b"", 0, 0, 0
 
     def flush(edge):
         for ids, positions in held:
-            yield ids, positions, best, edge
+            yield ids, positions, best, edge, number
         held.clear()
 
     for s, p, ids, positions in entries:
         if seen and p == len(s) == len(string):
             best = len(s)
             yield from flush(0)
-            yield ids, positions, best, 0
+            yield ids, positions, best, 0, number
             seen += len(ids)
             continue
         if seen:
             best = max(best, p)
-            yield from flush(1 if first else 0)
-            first = False
+            yield from flush(0 if number else 1)
+            number += 1
         else:
             ends.append(s)
         string, seen = s, len(ids)
@@ -244,13 +244,15 @@ def longest_shared(entries: Iterator[tuple[bytes, int, np.ndarray, np.ndarray]],
         held.append((ids, positions))
     if seen:
         ends.append(string)
-        yield from flush(3 if first else 2)
+        yield from flush(2 if number else 3)
 
 
 # ---------------------------------------------------------------- the distributed sort
 
 def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expected: int) -> DataFrame:
-    """``(text_id, pos, best)``: for each string of ``rows``, the longest prefix shared with any other.
+    """``(text_id, pos, best, string_id)``: for each string of ``rows``, the longest prefix shared with any other.
+
+    Equal strings have equal ``string_id``.
 
     ``strings`` makes the strings of one row (a dict of its columns);
     ``expected`` is about how many there are in all.
@@ -321,9 +323,9 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
                     got, n = [], 0
             if got:
                 yield result(dest, got)
-            yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([dest, dest], pa.int32()), pa.array(ends, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([dest, dest], pa.int32()), pa.array([0, 0], pa.int64()), pa.array(ends, pa.binary())], names)
 
-        names = ["text_id", "pos", "best", "edge", "dest", "string"]
+        names = ["text_id", "pos", "best", "edge", "dest", "string_id", "string"]
 
         def result(dest, got):
             sizes = [len(g[0]) for g in got]
@@ -331,7 +333,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
             return pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got])),
                 pa.array(np.repeat(np.array([g[2] for g in got], np.int32), sizes)), pa.array(np.repeat(np.array([g[3] for g in got], np.int32), sizes)),
-                pa.array(np.full(n, dest, np.int32)), pa.nulls(n, pa.binary())], names)
+                pa.array(np.full(n, dest, np.int32)), pa.array(np.repeat(np.array([(dest << 32) + g[4] for g in got], np.int64), sizes)), pa.nulls(n, pa.binary())], names)
 
         now, run, blocks = None, None, []
         for batch in batches:
@@ -349,7 +351,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
 
     exchanged = (rows.mapInArrow(runs, "dest int, run long, seq int, block binary")
                  .repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest", "run", "seq"))
-    found = materialize(exchanged.mapInArrow(merged, "text_id long, pos int, best int, edge int, dest int, string binary"), "shared")
+    found = materialize(exchanged.mapInArrow(merged, "text_id long, pos int, best int, edge int, dest int, string_id long, string binary"), "shared")
     ends = sorted((r["dest"], r["edge"], bytes(r["string"])) for r in found.filter("string is not null").select("dest", "edge", "string").collect())
     across = []  # two strings per range
     for (d1, _, last), (d2, _, first) in zip(ends[1::2], ends[2::2]):
@@ -361,7 +363,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
             F.max(F.expr("if(e = 1, p, 0)")).alias("before"), F.max(F.expr("if(e = 2, p, 0)")).alias("after"))
         rows_out = rows_out.join(edges, "dest", "left").withColumn("best", F.greatest(
             "best", F.expr("if(edge in (1, 3), before, 0)"), F.expr("if(edge in (2, 3), after, 0)")))
-    return rows_out.select("text_id", "pos", "best")
+    return rows_out.select("text_id", "pos", "best", "string_id")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -436,9 +438,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
             yield (left + text[a:a + length] if len(left) == reach else left), row["text_id"], a
 
     by_right = shared_prefixes(texts.select("text_id", "text", "pos"), right_first, expected).withColumnRenamed("best", "r")
-    by_left = shared_prefixes(texts.select("text_id", "text", "pos"), left_first, expected).withColumnRenamed("best", "l")
+    by_left = shared_prefixes(texts.select("text_id", "text", "pos"), left_first, expected).select("text_id", "pos", F.col("best").alias("l"))
     both = materialize(by_right.join(by_left, ["text_id", "pos"]).select(
-        "text_id", "pos",
+        "text_id", "pos", "string_id",
         F.expr(f"least(r, {length})").alias("right"), F.expr(f"least(l, {reach})").alias("left"),
         F.expr(f"r - {length}").alias("near"),  # offsets up to this are repeated
         F.expr(f"if(l >= {reach} + {gram}, {2 * length - gram} - l, {reach} + 1)").alias("far"),  # and from this up to reach
@@ -446,15 +448,19 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     spans = both.filter("near >= 0").select("text_id", (F.col("pos") - F.col("near")).alias("lo"), F.col("pos").alias("hi")).union(
         both.filter(f"far <= {reach}").select("text_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") - F.col("far")).alias("hi")))
 
-    # Offsets from length - right to left that neither sort has decided, and all possible partners of their anchors.
-    open_ = f"greatest({length} - right, near + 1) <= least(left, far - 1)"
-    possible = both.filter(f"{length} - right <= left")
-    if not both.filter(open_).isEmpty():
-        grams = each.join(repeated, "gram")
-        members = possible.join(grams, ["text_id", "pos"])
-        asked = members.filter(open_).select("gram").distinct()
-        windows = (members.join(asked, "gram").groupBy("text_id")
-                   .agg(F.collect_list(F.struct(F.expr(f"pos - left").alias("lo"), F.expr(f"pos - {length} + right").alias("hi"))).alias("w")))
+    # Offsets that neither sort has decided; their possible partners are the anchors with the same gram.
+    # Anchors with equal bytes all around have equal windows: one of them stands for all (the others are decided).
+    lo, hi = f"greatest({length} - right, near + 1)", "least(left, far - 1)"
+    undecided = both.filter(f"{lo} <= {hi}")
+    if not undecided.isEmpty():
+        grams = materialize(each.join(repeated, "gram"), "grams")
+        asked = undecided.join(grams, ["text_id", "pos"]).groupBy("gram").agg(F.min(F.expr(lo)).alias("lo"), F.max(F.expr(hi)).alias("hi"))
+        alike = [F.expr(f"if(right >= {length}, {a}, {b})") for a, b in (("string_id", "-1L"), ("0L", "text_id"), ("0", "pos"))]  # at a text's end only the right side is compared
+        stand_ins = (both.filter(f"{length} - right <= left").groupBy(*alike)
+                     .agg(F.min(F.struct("text_id", "pos", "left", "right")).alias("m")).select("m.*"))
+        windows = (stand_ins.join(grams, ["text_id", "pos"]).join(asked, "gram")
+                   .select("text_id", "pos", F.expr(f"greatest(lo, {length} - right)").alias("lo"), F.expr("least(hi, left)").alias("hi")).filter("lo <= hi")
+                   .groupBy("text_id").agg(F.collect_list(F.struct(F.expr("pos - hi").alias("lo"), F.expr("pos - lo").alias("hi"))).alias("w")))
         asked_texts = materialize(texts.select("text_id", "text").join(windows.hint("shuffle_hash"), "text_id"), "open")
         n_windows = asked_texts.agg(F.sum(F.expr("aggregate(w, 0L, (s, x) -> s + x.hi - x.lo + 1)"))).first()[0] or 0
 
