@@ -30,6 +30,11 @@ SHARD_ROOT = 32
 WEIGHTS = (3, 1, 2)
 
 
+def _digest(seed: int, *columns: str) -> F.Column:
+    """A seeded hash of columns, as hex digits (md5: the same in any engine)."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
 def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: str) -> DataFrame:
     """Give each group's ``seats`` to its parties by the highest quotients votes / 1, / 3, / 5, ...
 
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialize(sizes.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SHARD_ROOT))), "sources")
     placed = counted.join(sources, counted["source"].eqNullSafe(sources["source"])).select(
         counted["doc_id"], counted["source"], "size", "source_size", "target",
-        F.expr(f"pmod(xxhash64(doc_id, {seed}), shards)").alias("shard"))
+        (F.conv(F.substring(_digest(seed, "doc_id"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
     shards = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
                          .withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)), "shards")
     # a source's votes are its target in blocks of its own mean size (about BLOCK words)
@@ -112,10 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source", "shard", "blocks", "given").filter("blocks > 0 and given > 0")
     by_shard = Window.partitionBy("source", "shard")
     taken = (quotas.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-             .withColumn("rank", F.row_number().over(by_shard.orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block")))
+             .withColumn("rank", F.row_number().over(by_shard.orderBy(_digest(seed, "source", "shard", "block"), "block")))
              .select("source", "shard", "block", F.expr(f"least({int(most)}, given div blocks + if(rank <= given % blocks, 1, 0))").alias("copies"))
              .filter("copies > 0"))
-    order = by_shard.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = by_shard.orderBy(_digest(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("shard_size", F.sum("size").over(by_shard)).withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)).withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size")).withColumn("row", F.monotonically_increasing_id())
     laid = materialize(laid, "laid")
     parts = laid.filter("size > 0").select("row", "source", "shard", "start", "end", "shard_size", "blocks", F.explode(F.expr("sequence(start * blocks div shard_size, (end - 1) * blocks div shard_size)")).alias("block"))
@@ -125,3 +130,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = cut.groupBy("row").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
     documents = laid.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
     return documents, cut
+
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 2.0, **options) -> DataFrame:
+    """The mix as rows of ``docs``: one row per copy of a document, its text the words of the blocks taken.
+
+    Ids (unique, not null) join the pieces to their texts. A copy that takes
+    all words has the text as it is; otherwise the words taken keep the white
+    space behind them, but for the last. Documents of which nothing is taken go.
+    """
+    documents, cut = mix(docs, id_col, text_col, source_col, most=most, **options)
+    pieces = cut.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "copies"))).alias("__pieces")).join(
+        documents.select("row", F.col("doc_id").alias("__id"), "size"), "row").select("__id", "size", "__pieces")
+    joined = docs.join(pieces, F.col(id_col) == F.col("__id"))
+    spaced = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    copies = joined.withColumn("__tokens", spaced).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(int(most)))))
+    taken = copies.withColumn("__mine", F.expr("filter(__pieces, p -> p.copies >= __copy)")).filter("size(__mine) > 0")
+    part = F.rtrim(F.array_join(F.flatten(F.expr("transform(__mine, p -> slice(__tokens, cast(p.first + 1 as int), cast(p.words as int)))")), ""))
+    whole = F.expr("aggregate(__mine, 0L, (s, p) -> s + p.words) = size")
+    return taken.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(docs.columns)

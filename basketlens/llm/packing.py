@@ -17,6 +17,7 @@ window has any padding.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,43 +31,76 @@ from basketlens.session import materialize
 
 #: Tokens aimed at per shard (a shard is packed in one task: 2 bytes a token).
 SHARD_TOKENS = 1 << 21
-#: Words whose ids a tokenizing task remembers from one batch to the next.
-CACHE_WORDS = 1 << 18
-
-
-def token_bytes(texts: list[str], tokenizer, cache: dict[str, bytes]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 16-bit numbers, without an end id.
-
-    For a tokenizer whose words never cross a blank or line feed, whatever
-    stands around it: a text's ids are then its words' ids in a row, and each
-    word is tokenised once.
+#: Words, and parts of words, whose ids a tokenizing task remembers from one batch to the next.
+CACHE_WORDS = 1 << 19
+#: A word of Latin letters (lower case, composed) with punctuation around: its parts are tokens apart from each other.
+#: (An apostrophe before letters can be part of a token.)
+PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zà-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+#: Stands between words that are tokenised together; a word that holds it is tokenised alone.
+MARK = "\U0001f384"
+
+
+class WordTokenizer:
+    """Ids of texts under a tokenizer of words.
+
+    For a tokenizer that lower-cases, never joins what a blank or line feed
+    separates, and cuts a word between letters and punctuation: a text's ids
+    are then its words' ids in a row, and each word is tokenised once, whatever
+    its case or punctuation.
     """
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = np.array(e.ids, "<u2").tobytes()
-    for words in split:
-        yield b"".join([cache[w] for w in words])
+
+    def __init__(self, path: str):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit numbers."""
+        for cache in (self.words, self.parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+                cache[""] = b""
+        words, parts = self.words, self.parts
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new: dict[str, tuple[str, ...]] = {}
+        for w in {w for ws in split for w in ws if w not in words}:
+            m = PARTS.fullmatch(w.lower()) if "<|" not in w else None  # may hold a special token
+            new[w] = m.groups() if m else (w,)
+        wanted = list({p for ps in new.values() for p in ps if p not in parts})
+        for at in range(0, len(wanted), 2000):
+            chunk = wanted[at:at + 2000]
+            parts.update(zip(chunk, self._encode(chunk)))
+        for w, ps in new.items():
+            words[w] = b"".join([parts[p] for p in ps])
+        return [b"".join([words[w] for w in ws]) for ws in split]
+
+    def _encode(self, chunk: list[str]) -> list[bytes]:
+        plain = [p for p in chunk if MARK not in p and "<|" not in p] if self.mark is not None else []
+        known: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, "<u2")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw = ids.tobytes()
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            if len(ends) == len(plain):
+                known = dict(zip(plain, [raw[2 * a:2 * b] for a, b in zip(starts, ends)]))
+        return [known[p] if p in known else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in chunk]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, n_tokens, ids)``: ids are 16-bit, with the end id (a null text has the end id only)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        tokenizer, cache = Tokenizer.from_file(tokenizer_path), {}
-        end = np.array([end_id], "<u2").tobytes()
+        tokenizer, end = WordTokenizer(tokenizer_path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            ids = [b + end for b in token_bytes(texts, tokenizer, cache)]
+            ids = [b + end for b in tokenizer.texts([t or "" for t in batch.column(2).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, source string, n_tokens long, ids binary")
+        run, "doc_id long, document long, source string, n_tokens long, ids binary")
 
 
 def window_sizes(tokens: int, window: int) -> list[int]:
@@ -120,9 +154,9 @@ def _serve(k: int, tokens: int, queues, left, at, done, deficits) -> Iterator[tu
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None,
          seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pieces ``(doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)``.
+    """Pieces ``(doc_id, document, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)``.
 
-    ``weights``: target token proportions by source (unnamed sources share
+    ``document`` numbers the rows. ``weights``: target token proportions by source (unnamed sources share
     what their tokens call for); by default all sources drain together, in
     proportion to their tokens. Every token of every row lies in one piece. A
     null or empty text is its end id alone; a null source is a source; rows
@@ -159,10 +193,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         doc, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces))
         wide = [np.frombuffer(ids[d], "<u2")[s:s + n] for d, s, n in zip(doc, start, length)]
         return pd.DataFrame({
-            "doc_id": left["doc_id"].array[doc], "source": left["source"].array[doc], "start": start, "length": length,
+            "doc_id": left["doc_id"].array[doc], "document": left["row"].to_numpy()[doc], "source": left["source"].array[doc], "start": start, "length": length,
             "ids_crc32": [zlib.crc32(w.astype("<u4").tobytes()) for w in wide], "doc_tokens": left["n_tokens"].to_numpy()[doc],
             "sequence_id": (shard << 32) + seq, "offset": offset, "ids": [w.tobytes() for w in wide]})
 
     left = dealt.select("shard", F.xxhash64("doc_id", F.lit(seed + 1)).alias("place"), "row", "doc_id", "source", "n_tokens", "ids")
     return left.groupBy("shard").cogroup(owed.groupBy("shard")).applyInPandas(
-        run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+        run, "doc_id long, document long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

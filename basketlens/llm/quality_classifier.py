@@ -199,6 +199,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return co_train(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0], rounds)
 
 
+def _scores(model: Model | None, rows: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both views' scores, the score and the decision for ``(text, source, lang)`` rows."""
+    texts = [(t or "").encode() for t, _, _ in rows]
+    some = np.array([bool(t.strip()) for t in texts], bool)
+    a = b = s = np.ones(len(rows))
+    if model is not None and len(rows):
+        x, m = np.stack([text_features(t) for t in texts]), np.stack([meta_features(r[1], r[2], t) for r, t in zip(rows, texts)])
+        a, b = map(sigmoid, model.views(x, m))
+        s = model.score(x, m)
+    a, b, s = (np.where(some, v, 0.0) for v in (a, b, s))
+    return a, b, s, (s >= threshold) & some
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, text_score, meta_score, score, kept)`` for every row.
 
@@ -209,14 +222,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            texts = [(t or "").encode() for _, t, _, _ in rows]
-            some = np.array([bool(t.strip()) for t in texts], bool)
-            a = b = s = np.ones(len(rows))
-            if model is not None and len(rows):
-                x, m = np.stack([text_features(t) for t in texts]), np.stack([meta_features(r[2], r[3], t) for r, t in zip(rows, texts)])
-                a, b = map(sigmoid, model.views(x, m))
-                s = model.score(x, m)
-            a, b, s = (np.where(some, v, 0.0) for v in (a, b, s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(s), pa.array((s >= threshold) & some)], ["doc_id", "text_score", "meta_score", "score", "kept"])
+            a, b, s, kept = _scores(model, list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(s), pa.array(kept)], ["doc_id", "text_score", "meta_score", "score", "kept"])
     return docs.select(*_columns(docs, id_col, text_col, source_col, lang_col)).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`score` keeps, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in (text_col, source_col, lang_col))))
+            yield batch.filter(pa.array(_scores(model, rows, threshold)[3]))
+    return docs.mapInArrow(run, docs.schema)

@@ -496,6 +496,30 @@ def removed_runs(starts: list, length: int) -> list[tuple[int, int]]:
     return [(lo, hi + 1) for lo, hi in merged_ranges([(s["lo"], s["hi"] + length - 1) for s in starts])]
 
 
+def _changes(spans: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Per distinct text with repeats: ``(sha, kept, kept_text, kept_sha, removed, runs)``; removed is -1 where all of it goes."""
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                text = row["text"]
+                runs = removed_runs(row["starts"], length)
+                parts, at = [], 0
+                for lo, hi in runs:
+                    parts.append(text[at:lo])
+                    at = hi
+                kept = b"".join([*parts, text[at:]])
+                out.append((row["sha"], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest(), len(text) - len(kept), len(runs)))
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["sha", "kept", "kept_text", "kept_sha", "removed", "runs"])
+
+    schema = "sha string, kept binary, kept_text string, kept_sha string, removed long, runs long"
+    partly = texts.join(spans.filter("starts is not null").hint("shuffle_hash"), "sha").select("sha", "text", "starts").mapInArrow(cut, schema)
+    nothing = F.lit(b"")
+    whole = spans.filter("starts is null").select("sha", nothing.alias("kept"), F.lit("").alias("kept_text"), F.sha2(nothing, 256).alias("kept_sha"), F.lit(-1).cast("long").alias("removed"), F.lit(1).cast("long").alias("runs"))
+    return partly.union(whole)
+
+
 def dedup_texts(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
     """``docs`` without its text, with ``n_bytes, n_removed, n_spans, kept`` (binary; null: nothing removed) and ``kept_sha256``.
 
@@ -508,31 +532,15 @@ def dedup_texts(docs: DataFrame, text_col: str = "text", length: int = 400, gram
     names = [c for c in docs.columns if c != text_col]
     clash = {c: f"__in_{k}" for k, c in enumerate(names)}
     digests, spans, texts = repeated_spans(docs.select(*[F.col(c).alias(clash[c]) for c in names], F.col(text_col).alias("text")), "text", length, gram)
-
-    def cut(batches):
-        for batch in batches:
-            shas, kepts, hashes, removed, counts = [], [], [], [], []
-            for row in _rows(batch):
-                text = row["text"]
-                runs = removed_runs(row["starts"], length)
-                kept, at = [], 0
-                for lo, hi in runs:
-                    kept.append(text[at:lo])
-                    at = hi
-                kept = b"".join([*kept, text[at:]])
-                shas.append(row["sha"])
-                kepts.append(kept)
-                hashes.append(hashlib.sha256(kept).hexdigest())
-                removed.append(len(text) - len(kept))
-                counts.append(len(runs))
-            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(kepts, pa.binary()), pa.array(hashes, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], ["sha", "kept", "kept_sha", "removed", "runs"])
-
-    partly = texts.join(spans.filter("starts is not null").hint("shuffle_hash"), "sha").select("sha", "text", "starts").mapInArrow(
-        cut, "sha string, kept binary, kept_sha string, removed long, runs long")
-    nothing = F.lit(b"")
-    whole = spans.filter("starts is null").select("sha", nothing.alias("kept"), F.sha2(nothing, 256).alias("kept_sha"), F.lit(-1).cast("long").alias("removed"), F.lit(1).cast("long").alias("runs"))
-    changed = partly.union(whole)
-    return digests.join(changed, "sha", "left").select(
+    return digests.join(_changes(spans, texts, length), "sha", "left").select(
         *[F.col(clash[c]).alias(c) for c in names], "n_bytes",
         F.expr("case when removed is null then 0L when removed < 0 then n_bytes else removed end").alias("n_removed"),
         F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), "kept")
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of its text (a character of which a part goes, goes)."""
+    _, spans, texts = repeated_spans(docs.select(F.col(text_col).alias("text")), "text", length, gram)
+    changed = _changes(spans, texts, length).select(F.col("sha").alias("__sha"), F.col("kept_text").alias("__kept"))
+    shas = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    return docs.withColumn("__sha", shas).join(changed, "__sha", "left").withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(docs.columns)
