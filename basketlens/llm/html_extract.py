@@ -24,6 +24,8 @@ RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "ca
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 VOID = {"hr"}
 ENDS_P = BLOCK - {"html", "body", "head"}
+LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd tr figcaption caption legend summary pre address".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GAP = {"br", "td", "th", "img", "option"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "search"}
 CONTENT = {"article", "main"}
@@ -43,15 +45,15 @@ TOKEN = re.compile(
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: Strength of evidence (log-odds) and of smoothness.
-STRUCTURE, MARK, IN_CONTENT, LINKS, LENGTH, BASE = 12.0, 9.0, 3.0, 4.0, 0.6, -2.2
+STRUCTURE, MARK, IN_CONTENT, LINKS, LENGTH, SENTENCE, HEADING, BASE = 12.0, 9.0, 3.0, 4.0, 1.0, 0.8, 0.7, -1.7
 ADJACENT, SIBLING = 0.9, 0.6
 
 
 class Block:
-    __slots__ = ("text", "links", "parent", "score")
+    __slots__ = ("text", "links", "parent", "score", "heading")
 
-    def __init__(self, text: str, links: int, parent: int, score: float):
-        self.text, self.links, self.parent, self.score = text, links, parent, score
+    def __init__(self, text: str, links: int, parent: int, score: float, heading: bool):
+        self.text, self.links, self.parent, self.score, self.heading = text, links, parent, score, heading
 
 
 def element_score(tag: str, attrs: str, inherited: float) -> float:
@@ -83,7 +85,7 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, links, stack[-1][1], stack[-1][2]))
+                out.append(Block(text, links, stack[-2][1] if stack[-1][0] in LEAF else stack[-1][1], stack[-1][2], stack[-1][0] in HEADINGS))
             parts.clear()
         links = 0
 
@@ -130,7 +132,8 @@ def block_odds(block: Block) -> float:
     if block.score <= -MARK:
         return block.score
     share = min(1.0, block.links / max(1, len(block.text)))
-    return BASE + block.score + LENGTH * math.log1p(len(block.text) / 10) - LINKS * share
+    sentence = SENTENCE if block.text[-1] in ".!?…:;\"”»" else 0.0
+    return BASE + block.score + LENGTH * math.log1p(len(block.text) / 10) + sentence + HEADING * block.heading - LINKS * share
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -202,7 +205,7 @@ def main_blocks(page: str) -> list[str]:
     edges, last = [], {}
     for k, b in enumerate(blocks):
         if k:
-            same = b.score == blocks[k - 1].score
+            same = b.score == blocks[k - 1].score and b.parent == blocks[k - 1].parent
             edges.append((k - 1, k, ADJACENT if same else ADJACENT / 4))
         if b.parent in last and last[b.parent] != k - 1:
             edges.append((last[b.parent], k, SIBLING))

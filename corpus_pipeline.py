@@ -1,28 +1,70 @@
-"""Corpus preparation: the stages that turn ``documents`` into packed sequences."""
+"""Corpus preparation: the stages that turn ``documents`` into packed training sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import simhash
-from basketlens.llm.common import bounded_batches
-from basketlens.session import scratch_path
+from basketlens.llm import mixing, packing, quality_classifier, simhash, suffix_dedup
+from basketlens.llm.common import bounded_batches, table
+from basketlens.llm.queries import tokenizer_path
+from basketlens.session import ensure_checkpoint_dir, scratch_path
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier keeps (a text without a word goes)."""
+    ensure_checkpoint_dir(spark)
+    bounded_batches(spark)
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(docs, model)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: the id, or for a row without one a negative hash of its text."""
+    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % 2 ** 62) - 1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash class: the row of its smallest id (of rows with that id, one)."""
+    """One document of each SimHash class, that of the smallest id (rows that share an id: one)."""
+    ensure_checkpoint_dir(spark)
+    bounded_batches(spark)
+    keyed = _keyed(docs)
+    classes = simhash.near_duplicate_classes(keyed, id_col="__key", shingle=3, max_bits=3)
+    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+
+
+def suffix_dedup_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings of 400 bytes that also start elsewhere."""
+    ensure_checkpoint_dir(spark)
+    bounded_batches(spark)
+    return suffix_dedup.remove_repeats(docs, length=400).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: the words that each document gives, once or twice (a row per copy)."""
+    ensure_checkpoint_dir(spark)
+    keyed = _keyed(docs)
+    mixed = mixing.mixed_texts(keyed, id_col="__key").select(docs.columns)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of at most 2,048 tokens."""
+    ensure_checkpoint_dir(spark)
     bounded_batches(spark)
-    classes = simhash.near_duplicate_classes(docs, shingle=3, max_bits=3)
-    keep = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return packing.pack(docs, tokenizer_path(), window=2048, end_id=1)
 
 
 STAGES = [
+    ("quality classifier", good_documents),
     ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup_texts),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
 ]
 
-#: SQL cannot express the stages; tests/llm/ holds them against brute force.
+#: SQL cannot express the classifier, the fingerprints or the tokenizer; tests/llm/ holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,110 @@
+"""Packing: token ids, gapless sequences, mixture control."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from basketlens.llm import packing
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def reference_ids(texts):
+    from tokenizers import Tokenizer
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_word_ids_are_text_ids():
+    rng = random.Random(0)
+    bits = list("aB'sStéÉßΣσİıǅ²½٣ \n\t\r.,!-_<|>一é́\x1c 　Ａ🎄") + ["<|endoftext|>", "<|startoftext|>", "'s", "n't", "!!", "***", "re", "'ll "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 25))) for _ in range(5000)]
+    got = packing.WordTokenizer(PATH).texts(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == reference_ids(texts)
+
+
+def check(rows, docs):
+    """``rows``: pieces of ``docs`` = {id: text} with unique ids."""
+    want = {i: ids + [1] for i, ids in zip(docs, reference_ids(docs.values()))}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+        assert r.doc_tokens == len(want[r.doc_id]) and r.length > 0
+    for i, ids in want.items():
+        at = 0
+        for start, length, crc in sorted(pieces[i]):
+            assert start == at and crc == zlib.crc32(np.array(ids[at:at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+
+
+def test_documents(spark, sf_small, monkeypatch):
+    from basketlens.llm.queries import op9_packing
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 40_000)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    check(op9_packing(spark, sf_small).collect(), docs)
+
+
+def test_nulls_repeats_and_empty_table(spark):
+    rows = [(1, None, "s", 1), (2, "", None, 2), (3, "hello world " * 3000, "s", 3), (4, "x", "t", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, length int")
+    check(packing.pack(frame, PATH).collect(), {i: t for i, t, _, _ in rows})
+    twice = packing.pack(frame.union(frame).union(spark.createDataFrame([(None, "null id", "s", 0)], frame.schema)), PATH)
+    assert twice.select("document").distinct().count() == 9
+    assert packing.pack(frame.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 400), max_size=12), min_size=1, max_size=6), st.data())
+def test_round_robin_serves_everything(queues, data):
+    shares = [data.draw(st.floats(0, 1)) for _ in queues]
+    owed = [data.draw(st.floats(-300, 300)) for _ in queues]
+    total = sum(map(sum, queues))
+    numbered, k = [], 0
+    for q in queues:
+        numbered.append([(k + j, n) for j, n in enumerate(q)])
+        k += len(q)
+    pieces = list(packing.deficit_round_robin(numbered, shares, owed, 64))
+    assert sum(p[2] for p in pieces) == total
+    fill = defaultdict(int)
+    done = defaultdict(int)
+    for doc, start, length, number, offset in pieces:
+        assert done[doc] == start and fill[number] == offset
+        done[doc] += length
+        fill[number] += length
+    assert sorted(fill.values(), reverse=True) == packing.window_sizes(total, 64)
+
+
+def test_windows_hold_target_proportions():
+    rng = random.Random(1)
+    queues = [[(k * 1000 + j, rng.randrange(1, 900)) for j in range(n)] for k, n in enumerate((400, 200, 50))]
+    totals = [sum(n for _, n in q) for q in queues]
+    shares = [t / sum(totals) for t in totals]
+    per = defaultdict(lambda: [0, 0, 0])
+    for doc, _, length, number, _ in packing.deficit_round_robin(queues, shares, [0.0] * 3, 2048):
+        per[number][doc // 1000] += length
+    full = [w for w in per.values() if sum(w) == 2048][:-3]
+    for w in full:
+        assert all(abs(got - 2048 * s) <= 4 for got, s in zip(w, shares))
+
+
+def test_weights_lead_the_mix(spark):
+    rows = [(i, "word " * 500, "a" if i % 2 else "b") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per = defaultdict(lambda: defaultdict(int))
+    for r in packing.pack(frame, PATH, weights={"a": 3.0, "b": 1.0}).collect():
+        per[r.sequence_id][r.source] += r.length
+    first = [per[k] for k in sorted(per)][:20]
+    assert all(abs(w["a"] - 1536) <= 8 for w in first)
