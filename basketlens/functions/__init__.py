@@ -1,7 +1,6 @@
 """Column helpers shared by the operators."""
 
 from basketlens.functions.columns import (
-    canonical_pair,
     money_sum,
     percent_of,
     ratio,
@@ -9,4 +8,4 @@ from basketlens.functions.columns import (
 )
 from basketlens.functions.row_index import with_row_index
 
-__all__ = ["canonical_pair", "money_sum", "percent_of", "ratio", "round_half_even", "with_row_index"]
+__all__ = ["money_sum", "percent_of", "ratio", "round_half_even", "with_row_index"]

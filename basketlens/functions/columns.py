@@ -1,4 +1,4 @@
-"""Scalar column expressions: rounding, ratios, shares, canonical pairs.
+"""Scalar column expressions: rounding, ratios, shares.
 
 All stay JVM-side (built-in functions), so they run inside whole-stage codegen.
 """
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 # Fixed value: every rounded figure goes through this exact decimal type before
 # half-even rounding, so results do not depend on binary float noise.
 ROUNDING_DECIMAL = "decimal(38,6)"
-# Fixed value: money is summed exactly as decimals of two places.
-MONEY_DECIMAL = "decimal(18,2)"
 
 
 def _col(c) -> Column:
@@ -25,8 +23,8 @@ def round_half_even(c, digits: int = 0) -> Column:
 
 
 def money_sum(c) -> Column:
-    """Exact sum of a money column (order of addition is irrelevant)."""
-    return F.sum(_col(c).cast(MONEY_DECIMAL))
+    """Exact sum of a money column, unrounded (order of addition is irrelevant)."""
+    return F.sum(_col(c).cast(ROUNDING_DECIMAL))
 
 
 def ratio(num, den) -> Column:
@@ -37,8 +35,3 @@ def ratio(num, den) -> Column:
 def percent_of(value, total, digits: int = 2) -> Column:
     """Share of a total in percent, rounded half-even: ``bround(value*100/total, 2)``."""
     return round_half_even(ratio(_col(value).cast("double") * F.lit(100.0), total), digits)
-
-
-def canonical_pair(a, b) -> tuple[Column, Column]:
-    """Unordered pair (smaller, larger) of two non-null columns."""
-    return F.least(_col(a), _col(b)), F.greatest(_col(a), _col(b))

@@ -14,10 +14,6 @@ from basketlens.functions.row_index import with_row_index
 from basketlens.session import materialize
 from basketlens.schemas import index_column
 
-# Label sets up to this many rows are broadcast for the top-N semi-join;
-# larger ones take a shuffle join instead.
-TOP_BROADCAST_MAX = 1_000_000
-
 
 def _index_from_counts(counts: DataFrame, column: str, index_col: str) -> DataFrame:
     order = [F.col("frequency").desc(), F.col(column).cast("string").asc()]
@@ -83,15 +79,12 @@ def top_labels(labels: DataFrame, column: str, n: int, index_col: str | None = N
 def keep_top(df: DataFrame, labels: DataFrame, column: str, n: int, index_col: str | None = None) -> DataFrame:
     """Keep rows whose label is among the ``n`` most frequent (``n == 0``: no filter).
 
-    A left-semi join with the ``n`` selected labels; broadcast when ``n`` is
-    small enough (the side has at most ``n`` rows), shuffled otherwise.
+    A left-semi join with the ``n`` selected labels; whether it is broadcast is
+    decided at run time from their measured size.
     """
     if not column or n == 0:
         return df
-    top = top_labels(labels, column, n, index_col)
-    if n <= TOP_BROADCAST_MAX:
-        top = F.broadcast(top)
-    return df.join(top, column, "left_semi")
+    return df.join(top_labels(labels, column, n, index_col), column, "left_semi")
 
 
 def index_baskets(lines: DataFrame, client_labels: DataFrame, product_labels: DataFrame,

@@ -16,7 +16,7 @@ def R(expr: str, digits: int) -> str:
 
 
 def MONEY(expr: str) -> str:
-    return f"sum(CAST({expr} AS DECIMAL(18,2)))"
+    return f"sum(CAST({expr} AS DECIMAL(38,6)))"
 
 
 def DIV(num: str, den: str) -> str:

@@ -5,9 +5,8 @@ belong to a result (top-N sizes, total units, RMSE, damping, ...) are added
 as columns instead of being encoded in the path text.
 
 * ``parallelWriteJSON`` - every task writes its own JSON-lines part (append)
-* ``oneJSON``           - one JSON-lines part (overwrite), for small results:
-  refused above ``max_single_file_rows`` (counted with an early-stopping limit)
-  because a single file is written by a single task
+* ``oneJSON``           - one result folder that replaces the one before
+  (overwrite); an ordered result is written as ordered parts, in parallel
 * ``standarOutput``     - print the first rows
 """
 
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 
 from basketlens import schemas as S
 
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
 
 def new_run_id(now: _dt.datetime | None = None) -> str:
     return (now or _dt.datetime.now()).strftime("%Y-%m-%d_%H.%M.%S")
@@ -34,20 +31,17 @@ def with_params(df: DataFrame, params: dict | None) -> DataFrame:
 
 
 def write_result(df: DataFrame, base_dir: str, run_id: str, name: str, mode: str = "parallelWriteJSON",
-                 params: dict | None = None, max_single_file_rows: int = SINGLE_FILE_MAX_ROWS) -> str | None:
+                 params: dict | None = None) -> str | None:
     """Write one named result; returns its path (``None`` for console output)."""
     if mode not in S.OUTPUT_MODES:
-        raise ValueError(f'Please type the right outputMode: {" / ".join(S.OUTPUT_MODES)}')
+        raise ValueError(f"unknown output mode {mode!r}; known modes: {', '.join(S.OUTPUT_MODES)}")
     out = with_params(df, params)
     path = f"{base_dir.rstrip('/')}/{run_id}/{name}"
     if mode == "parallelWriteJSON":
         out.write.mode("append").json(path)
         return path
     if mode == "oneJSON":
-        rows = out.limit(max_single_file_rows + 1).count()
-        if rows > max_single_file_rows:
-            raise ValueError(f"{name}: {rows}+ rows is too large for a single file; use parallelWriteJSON")
-        out.coalesce(1).write.mode("overwrite").json(path)
+        out.write.mode("overwrite").json(path)
         return path
     out.show(S.PREVIEW_ROWS, truncate=False)
     return None

@@ -40,12 +40,11 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
                       F.col("o_custkey").alias(S.CLIENT),
                       F.to_date("o_orderdate").alias(S.DATE)))
     if with_mall:
-        # nation has one row per nation (25 in the spec): a fixed, proven size.
         nation = read_table(spark, sf_dir, "nation").select(
             F.col("n_nationkey").alias("_nationkey"), F.col("n_regionkey").cast("int").alias(S.MALL))
         client_mall = (read_table(spark, sf_dir, "customer")
                        .select(F.col("c_custkey").alias(S.CLIENT), F.col("c_nationkey").alias("_nationkey"))
-                       .join(F.broadcast(nation), "_nationkey", "left")
+                       .join(nation, "_nationkey", "left")
                        .select(S.CLIENT, S.MALL))
         orders = orders.join(client_mall, S.CLIENT, "left")
     else:

@@ -1,11 +1,12 @@
 """Ticket document scans and flattening to the basket table.
 
 * ``read_tickets``      - JSON lines with the ticket schema, malformed lines dropped
-* ``read_shell_export`` - the document-database shell dialect: pretty-printed
-  documents back to back, numbers wrapped as ``NumberInt(..)``, ``NumberLong(..)``,
-  dates as ``ISODate("..")``. Parsed in parallel: the text source splits on the
-  top-level closing brace (a ``}`` at the start of a line), so one file is cut
-  into splits like any text file and no document passes through the driver.
+* ``read_shell_export`` - the document-database shell dialect: documents one
+  after another in any layout (pretty-printed, one per line, back to back, as
+  an array), numbers wrapped as ``NumberInt(..)``, ``NumberLong(..)``, dates as
+  ``ISODate("..")``. Parsed in parallel: the text source splits on the key
+  ``"_id"`` that opens every document, so one file is cut into splits like any
+  text file and no document passes through the driver.
 * ``flatten_baskets``   - drop anonymous tickets, one row per item, rename,
   drop excluded products
 """
@@ -14,20 +15,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens import schemas as S
 
-# Wrappers of the shell dialect and what replaces them. Only
-# wrappers in value position (after ':', '[' or ',') are rewritten, so text
-# inside product descriptions is kept as it is.
-SHELL_WRAPPERS = (
-    (r'([:\[,]\s*)NumberLong\(\s*"?(-?[0-9]+)"?\s*\)', "$1$2"),
-    (r'([:\[,]\s*)NumberInt\(\s*"?(-?[0-9]+)"?\s*\)', "$1$2"),
-    (r'([:\[,]\s*)NumberDecimal\(\s*"(-?[0-9.eE+-]+)"\s*\)', "$1$2"),
-    (r'([:\[,]\s*)ISODate\(\s*("[^"]*")\s*\)', "$1$2"),
-)
-# record separator: the top-level closing brace of a pretty-printed document
-DOCUMENT_END = "\n}"
+# The wrappers of the shell dialect. JSON strings are matched first
+# and copied whole, so text inside product descriptions stays as it is.
+SHELL_VALUES = (r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+                r'|Number(?:Long|Int)\(\s*"?(-?[0-9]+)"?\s*\)'
+                r'|NumberDecimal\(\s*"(-?[0-9.eE+-]+)"\s*\)'
+                r'|ISODate\(\s*("[^"]*")\s*\)')
+# The key that opens every document. As text of a string it could only be a
+# whole string (quotes inside strings are escaped), which the reader refuses.
+DOCUMENT_KEY = '"_id"'
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
@@ -38,24 +38,28 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unwrap_shell_values(text: Column) -> Column:
-    for pattern, replacement in SHELL_WRAPPERS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    return F.regexp_replace(text, SHELL_VALUES, "$1$2$3$4")
 
 
 def read_shell_export(spark: SparkSession, path: str) -> DataFrame:
     """Documents in the shell export dialect, parsed to the ticket schema.
 
-    Handles CRLF line ends, a missing final newline and negative numbers.
-    Documents that do not parse are dropped, as with ``read_tickets``.
+    Any layout and line ends; documents must begin with ``_id``. A document that
+    does not parse, or holds a value of the wrong kind, is dropped as by
+    ``read_tickets``. Input that cannot be cut into documents fails: text before
+    the first document, or a product whose whole name is ``_id``.
     """
-    raw = spark.read.option("lineSep", DOCUMENT_END).text(path)
-    body = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
-    docs = (raw.select(body.alias("body"))
-            .where(F.col("body") != "")
-            .select(F.concat(unwrap_shell_values(F.col("body")), F.lit("\n}")).alias("json")))
-    parsed = docs.select(F.from_json("json", S.TICKET, {"mode": "PERMISSIVE"}).alias("t"))
-    return parsed.where(F.col("t").isNotNull() & F.col("t._id").isNotNull()).select("t.*")
+    raw = spark.read.option("lineSep", DOCUMENT_KEY).text(path)
+    piece = F.regexp_replace(F.col("value"), r"^[\s﻿]+|[\s,\[\]{]+$", "")
+    # what stands before a file's first document is blank, or opens it
+    body = raw.select(piece.alias("body"))
+    checked = (F.when(F.col("body").startswith(":"), F.col("body"))
+               .when(F.regexp_replace("body", r"[\[{,]+", "") == "", F.lit(None).cast("string"))
+               .otherwise(F.raise_error(F.concat(F.lit("not a document after the key _id: "), F.substring("body", 1, 80)))))
+    docs = body.select(F.concat(F.lit("{" + DOCUMENT_KEY), unwrap_shell_values(checked)).alias("json"))
+    schema = T.StructType([*S.TICKET.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = docs.select(F.from_json("json", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("t"))
+    return parsed.where(F.col("t").isNotNull() & F.col("t._corrupt").isNull()).select("t.*").drop("_corrupt")
 
 
 def exclude_products(df: DataFrame, excluded=S.EXCLUDED_PRODUCTS, column: str = S.PRODUCT) -> DataFrame:
@@ -81,42 +85,44 @@ def flatten_baskets(tickets: DataFrame, excluded=S.EXCLUDED_PRODUCTS) -> DataFra
     return exclude_products(lines, excluded)
 
 
-# Largest number of items written into one ticket document.
-MAX_ITEMS_PER_DOCUMENT = 10_000
+# The writer's format: items of one ticket document (about).
+ITEMS_PER_DOCUMENT = 10_000
 
 
-def tickets_from_baskets(lines: DataFrame, max_items: int = MAX_ITEMS_PER_DOCUMENT) -> DataFrame:
+def tickets_from_baskets(lines: DataFrame, max_items: int = ITEMS_PER_DOCUMENT) -> DataFrame:
     """Nest basket lines back into ticket documents.
 
-    A ticket with more than ``max_items`` lines is written as several
-    documents with the same id (items spread at random over
-    ``ceil(n / max_items)`` parts of about ``max_items`` items each), so no
-    document - and no task building one - grows with the largest ticket;
-    flattening the parts gives back the same lines.
+    A ticket of n lines is written as ``ceil(n / max_items)`` documents with its
+    id, of about ``max_items`` items each, so no document - and no task building
+    one - grows with the largest ticket; flattening gives back the same lines.
+    An item's document is a hash of its columns and of its number among equal
+    items, so a repeated task places every item as before.
     """
-    sizes = lines.groupBy(S.TRANSAC).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_items)))
-    keyed = (lines.join(sizes, S.TRANSAC)
-             .withColumn("_part", F.when(F.col("_n") > max_items, F.floor(F.rand(17) * parts))
-                         .otherwise(F.lit(0)).cast("int")))
+    head = [S.TRANSAC, S.CLIENT, S.DATE, S.MALL]
+    equal = lines.groupBy(*head, S.PRODUCT, S.UNITS, S.COST).agg(F.count(F.lit(1)).alias("_copies"))
+    sizes = equal.groupBy(F.col(S.TRANSAC).alias("_t")).agg(F.sum("_copies").alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(max_items))
+    keyed = (equal.join(sizes, F.col(S.TRANSAC).eqNullSafe(F.col("_t")))
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+             .withColumn("_part", F.pmod(F.xxhash64(S.PRODUCT, S.UNITS, S.COST, "_copy"), parts)))
     item = F.struct(F.col(S.PRODUCT).alias("desc"), F.col(S.UNITS).alias("n_unit"),
                     F.col(S.COST).alias("net_am"))
-    return (keyed.groupBy(S.TRANSAC, "_part")
-            .agg(F.first(S.CLIENT).alias("client"), F.first(S.DATE).alias("date"),
-                 F.first(S.MALL).alias("mall"), F.collect_list(item).alias("items"))
-            .select(F.col(S.TRANSAC).alias("_id"), "client", "date", "items", "mall"))
+    return (keyed.groupBy(*head, "_part")
+            .agg(F.collect_list(item).alias("items"))
+            .select(F.col(S.TRANSAC).alias("_id"), F.col(S.CLIENT).alias("client"), F.col(S.DATE).alias("date"),
+                    "items", F.col(S.MALL).alias("mall")))
 
 
 def _json_string(text: Column) -> Column:
     """A string column rendered as a JSON string literal (quoted, escaped)."""
-    return F.regexp_extract(F.to_json(F.array(text)), r"^\[(.*)\]$", 1)
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
 
 def shell_export_text(tickets: DataFrame) -> DataFrame:
     """Render tickets in the shell export dialect, one document per text row.
 
-    Each row ends in a newline + ``}`` so that the written file has the
-    top-level closing brace at the start of a line, as the shell prints it.
+    Whole numbers are wrapped as the shell prints them; units that are not
+    whole stay plain numbers.
     """
     def wrapped(fn, column):
         return F.when(column.isNull(), F.lit("null")).otherwise(
@@ -129,7 +135,7 @@ def shell_export_text(tickets: DataFrame) -> DataFrame:
         lambda it: F.format_string(
             '{\n            "net_am" : %s,\n            "n_unit" : %s,\n            "desc" : %s\n        }',
             F.coalesce(it["net_am"].cast("string"), F.lit("null")),
-            wrapped("NumberInt", it["n_unit"]),
+            F.when(F.abs(it["n_unit"]) % 1 > 0, it["n_unit"].cast("string")).otherwise(wrapped("NumberInt", it["n_unit"])),
             F.coalesce(_json_string(it["desc"]), F.lit("null"))))
     return tickets.select(F.format_string(
         '{\n    "_id" : %s,\n    "mall" : %s,\n    "date" : %s,\n'

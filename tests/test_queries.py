@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from basketlens.plans.oracles import ORACLES
+from basketlens.plans.registry import QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 NO_ORACLE = {"als_users_for_items", "als_items_for_users", "als_rmse"}
@@ -29,8 +31,8 @@ def _norm(df):
 
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == NO_ORACLE
+    assert set(o) <= set(q) and set(QUERIES) <= set(q)
+    assert set(QUERIES) - set(o) == NO_ORACLE
 
 
 def test_entry(spark):
@@ -39,7 +41,7 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     got = E.queries()[name](spark, sf_small).toPandas()
     exp = duck.execute(E.oracle_sql()[name]).fetchdf()

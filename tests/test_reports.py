@@ -45,7 +45,7 @@ def test_shares(lines):
 
 def test_frequency_index_ties_alphabetical(lines, client_labels):
     prods = {r["prodName"]: r["prodNameIndex"] for r in I.frequency_index(lines, "prodName").collect()}
-    assert prods == {"PAN (BARRA) {GRANDE}": 0, "TRINA LIMON 1,5LITRO": 1, "CAJA REGALO": 2,
+    assert prods == {"PAN (BARRA) {GRANDE}": 0, "ZUMO PERA 0,2 L": 1, "CAJA REGALO": 2,
                      "LIBRO SOLO": 3, "MUESTRA GRATIS": 4}
     clients = {r["client"]: r["clientIndex"] for r in client_labels.collect()}
     assert clients == {77000000002: 0, 77000000001: 1, 77000000003: 2}
@@ -75,3 +75,11 @@ def test_keep_top_and_restore(lines, client_labels):
     indexed = I.index_labels(lines, client_labels, "client").drop("client")
     back = I.restore_labels(indexed, client_labels, "client")
     assert sorted(r.client for r in back.collect()) == sorted(r.client for r in lines.collect())
+
+
+def test_money_is_rounded_after_the_sum(spark):
+    from basketlens.operators import explore as X
+    lines = spark.range(1000).selectExpr("id AS transac", "1L AS client", "'P' AS prodName", "1.0D AS prodUds", "0.125D AS prodsCost")
+    assert X.totals(lines).first()["total_earnings"] == 125.0
+    assert X.totals_by_product(lines).first()["earnings"] == 125.0
+    assert X.totals_by_client(lines).first()["spent"] == 125.0
