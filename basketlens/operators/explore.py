@@ -6,8 +6,8 @@ Plan shape, chosen for large inputs:
   map-side, one shuffle on the group key; distinct counts are split by
   Catalyst into a (key, value) pre-aggregation, so a hot key is spread over
   many tasks);
-* client reports group by the raw ``client`` and attach ``clientIndex``
-  afterwards - a join of one row per client, never a join of all lines;
+* client reports group by the raw ``client``, count its lines in the same
+  pass, and index the result - one row per client, never all lines;
 * shares of a total read the total as a scalar subquery (one value computed
   once, no driver round trip and no join);
 * every figure is rounded like the source (half-even) and ratios are taken
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from basketlens import schemas as S
 from basketlens.functions.columns import money_sum, percent_of, ratio, round_half_even
+from basketlens.functions.row_index import with_row_index
+from basketlens.operators.indexing import frequency_order
 from basketlens.session import materialize
 
 CLIENT_INDEX = S.index_column(S.CLIENT)
@@ -81,23 +83,32 @@ def prods_most_popular(lines: DataFrame, by_product: DataFrame | None = None, to
                          "total_transactions")
 
 
-def totals_by_client(lines: DataFrame, client_labels: DataFrame | None = None) -> DataFrame:
+def totals_by_client(lines: DataFrame, client_labels: DataFrame | None = None, fit_index: bool = False) -> DataFrame:
     """Per client - mean unit price, units, distinct products, spending, tickets.
 
-    Keyed by ``clientIndex`` when the client label table is given (the
-    source's key), else by ``client``.
+    Keyed by ``clientIndex`` (the source's key) when the client label table is
+    given, or with ``fit_index``: the index over ``lines`` themselves, from line
+    counts that the same aggregation makes, so the lines are read once. Else
+    keyed by ``client``.
     """
     by_client = lines.groupBy(S.CLIENT).agg(
+        F.count(F.lit(1)).alias("_lines"),
         round_half_even(F.avg(ratio(S.COST, S.UNITS)), 2).alias("avgSpentPerProd"),
         round_half_even(F.sum(S.UNITS), 2).alias("amountOfProds"),
         F.count_distinct(S.PRODUCT).alias("variety"),
         round_half_even(money_sum(S.COST), 2).alias("spent"),
         F.count_distinct(S.TRANSAC).alias("transacOfClient"),
     )
+    if fit_index:
+        return with_row_index(by_client.where(F.col(S.CLIENT).isNotNull()), frequency_order(S.CLIENT, "_lines"), CLIENT_INDEX).select(
+            F.col(CLIENT_INDEX).cast("int").alias(CLIENT_INDEX), *_CLIENT_FIGURES)
     if client_labels is None:
-        return by_client
+        return by_client.select(S.CLIENT, *_CLIENT_FIGURES)
     return (by_client.join(client_labels.select(S.CLIENT, CLIENT_INDEX), S.CLIENT)
-            .select(CLIENT_INDEX, "avgSpentPerProd", "amountOfProds", "variety", "spent", "transacOfClient"))
+            .select(CLIENT_INDEX, *_CLIENT_FIGURES))
+
+
+_CLIENT_FIGURES = ("avgSpentPerProd", "amountOfProds", "variety", "spent", "transacOfClient")
 
 
 def _client_key(by_client: DataFrame) -> str:
@@ -165,6 +176,7 @@ def clients_variety(lines: DataFrame, client_labels: DataFrame | None = None,
                          "total_different_products")
 
 
+# The result names of the source application.
 REPORTS = (
     "totals", "totalsByProd", "prodsMostSold", "prodsMostEarns", "prodsMostPopular", "totalsByClient",
     "clientsWhoSpentMore", "clientsWhoBuyMoreProds", "clientswithMostTransactions",
@@ -180,16 +192,20 @@ def all_reports(lines: DataFrame, client_labels: DataFrame | None = None,
     figures (one row per key) - are aggregated once and written to the
     checkpoint folder; the twelve results are projections and sorts of them,
     so the line table is aggregated three times in all, not once per result.
+    Product rankings carry the total that their shares refer to.
     """
     tot = materialize(totals(lines), "totals")
     by_product = materialize(totals_by_product(lines), "by-product")
     by_client = materialize(totals_by_client(lines, client_labels), "by-client")
+    def with_total(report, column):
+        return report.withColumn(column, _total(tot, column))
+
     return {
         "totals": tot,
         "totalsByProd": by_product,
-        "prodsMostSold": prods_most_sold(lines, by_product, tot),
-        "prodsMostEarns": prods_most_earns(lines, by_product, tot),
-        "prodsMostPopular": prods_most_popular(lines, by_product, tot),
+        "prodsMostSold": with_total(prods_most_sold(lines, by_product, tot), "total_products_sold"),
+        "prodsMostEarns": with_total(prods_most_earns(lines, by_product, tot), "total_earnings"),
+        "prodsMostPopular": with_total(prods_most_popular(lines, by_product, tot), "total_transactions"),
         "totalsByClient": by_client,
         "clientsWhoSpentMore": clients_spent_more(lines, by_client=by_client, tot=tot),
         "clientsWhoBuyMoreProds": clients_buy_more(lines, by_client=by_client, tot=tot,

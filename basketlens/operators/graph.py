@@ -68,23 +68,60 @@ def mirror(half: DataFrame, weight: str = "linkWeight") -> DataFrame:
     return half.select("orig", "dest", weight).unionByName(back)
 
 
-def cooccurrence_edges(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
+def named_half(half: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Numbered ends replaced by their names, the smaller name first.
+
+    ``names``: ``(number, name)``, one row per vertex (None: the ends are names).
+    Pairs are built and counted on numbers; names are joined to what is left.
+    """
+    if names is None:
+        return half
+    number, name = names.columns
+    a, b = (names.select(F.col(number).alias(end), F.col(name).alias(f"{end}_name")) for end in ("orig", "dest"))
+    named = half.join(a, "orig").join(b, "dest")
+    return named.select(F.least("orig_name", "dest_name").alias("orig"), F.greatest("orig_name", "dest_name").alias("dest"), "linkWeight")
+
+
+def half_of(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
+    """The undirected weighted edges of ``df``."""
+    return half_edges(with_link_sizes(memberships(df, vertex, link)), hot_link_size)
+
+
+def cooccurrence_edges(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE,
+                       names: DataFrame | None = None) -> DataFrame:
     """G1: directed edges ``(orig, dest, linkWeight)``, both senses, no self loops."""
-    return mirror(half_edges(with_link_sizes(memberships(df, vertex, link)), hot_link_size))
+    return mirror(named_half(half_of(df, vertex, link, hot_link_size), names))
 
 
-def strongest_links(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
-    """Unordered pairs by weight, strongest first."""
-    half = half_edges(with_link_sizes(memberships(df, vertex, link)), hot_link_size)
+def ranked_links(half: DataFrame) -> DataFrame:
     return half.orderBy(F.col("linkWeight").desc(), "orig", "dest")
 
 
-def vertex_neighbours(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
-    """Number of distinct co-purchased vertices per vertex (vertices with at least one)."""
-    half = half_edges(with_link_sizes(memberships(df, vertex, link)), hot_link_size)
+def strongest_links(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE,
+                    names: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs by weight, strongest first."""
+    return ranked_links(named_half(half_of(df, vertex, link, hot_link_size), names))
+
+
+def neighbour_counts(half: DataFrame, names: DataFrame | None = None) -> DataFrame:
     ends = half.select(F.col("orig").alias("v")).unionByName(half.select(F.col("dest").alias("v")))
-    return (ends.groupBy(F.col("v").alias("orig")).agg(F.count(F.lit(1)).alias("neighbours"))
-            .orderBy(F.col("neighbours").desc(), "orig"))
+    counts = ends.groupBy(F.col("v").alias("orig")).agg(F.count(F.lit(1)).alias("neighbours"))
+    return _by_name(counts, names, "orig").orderBy(F.col("neighbours").desc(), "orig")
+
+
+def vertex_neighbours(df: DataFrame, vertex: str, link: str, hot_link_size: int = HOT_LINK_SIZE,
+                      names: DataFrame | None = None) -> DataFrame:
+    """Number of distinct co-purchased vertices per vertex (vertices with at least one)."""
+    return neighbour_counts(half_of(df, vertex, link, hot_link_size), names)
+
+
+def _by_name(df: DataFrame, names: DataFrame | None, key: str) -> DataFrame:
+    """``df`` with the vertex number in ``key`` replaced by its name."""
+    if names is None:
+        return df
+    number, name = names.columns
+    named = df.join(names.select(F.col(number).alias(key), F.col(name).alias("_name")), key)
+    return named.select(*[F.col("_name").alias(key) if c == key else F.col(c) for c in df.columns])
 
 
 def out_weights(ms: DataFrame) -> DataFrame:
@@ -93,10 +130,14 @@ def out_weights(ms: DataFrame) -> DataFrame:
             .groupBy(V).agg(F.sum(F.col(K) - 1).alias("W")))
 
 
-def vertex_out_links(df: DataFrame, vertex: str, link: str) -> DataFrame:
+def vertex_out_links(df: DataFrame, vertex: str, link: str, names: DataFrame | None = None) -> DataFrame:
     """Links per vertex (sum of edge weights leaving it), most first."""
-    w = out_weights(with_link_sizes(memberships(df, vertex, link)))
-    return (w.select(F.col(V).alias("orig"), F.col("W").alias("linksOfVertex"))
+    return ranked_out_links(with_link_sizes(memberships(df, vertex, link)), names)
+
+
+def ranked_out_links(ms: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    w = out_weights(ms)
+    return (_by_name(w.select(F.col(V).alias("orig"), F.col("W").alias("linksOfVertex")), names, "orig")
             .orderBy(F.col("linksOfVertex").desc(), "orig"))
 
 
@@ -114,7 +155,7 @@ def graph_summary(df: DataFrame, vertex: str, link: str) -> DataFrame:
 
 
 def strongest_links_directed(df: DataFrame, vertex: str, prop: str, link: str,
-                             hot_link_size: int = HOT_LINK_SIZE) -> DataFrame:
+                             hot_link_size: int = HOT_LINK_SIZE, props: DataFrame | None = None) -> DataFrame:
     """Directed edge weights between vertex properties
     (``<prop>_orig, <prop>_dest, num_of_<link>``), both senses.
 
@@ -123,8 +164,14 @@ def strongest_links_directed(df: DataFrame, vertex: str, prop: str, link: str,
     and pairs are built between properties: ``weight(a, b) = sum of c_a*c_b``
     over shared links, and two different vertices with the same property give
     ``weight(a, a) = sum of c_a*(c_a - 1)``. The property joins run on the
-    membership table, not on the (larger) pair table.
+    membership table, not on the (larger) pair table. Where the properties are
+    known and differ between vertices (``props``: vertex and property, a label
+    table), the pairs are built on the vertices and named at the end.
     """
+    src, dst, weight = f"{prop}_orig", f"{prop}_dest", f"num_of_{link}"
+    if props is not None:
+        both = cooccurrence_edges(df, vertex, link, hot_link_size, props.select(vertex, prop))
+        return both.select(F.col("orig").alias(src), F.col("dest").alias(dst), F.col("linkWeight").alias(weight))
     props = vertex_properties(df, vertex, prop)
     named = (memberships(df, vertex, link).join(props, V)
              .groupBy(F.col(prop).alias(V), L).agg(F.count(F.lit(1)).alias("c")))
@@ -132,14 +179,16 @@ def strongest_links_directed(df: DataFrame, vertex: str, prop: str, link: str,
     same = (named.where(F.col("c") > 1)
             .groupBy(V).agg(F.sum(F.col("c") * (F.col("c") - 1)).cast("long").alias("linkWeight"))
             .select(F.col(V).alias("orig"), F.col(V).alias("dest"), "linkWeight"))
-    src, dst, weight = f"{prop}_orig", f"{prop}_dest", f"num_of_{link}"
     return (mirror(half).unionByName(same)
             .select(F.col("orig").alias(src), F.col("dest").alias(dst), F.col("linkWeight").alias(weight)))
 
 
-def vertex_out_degree(df: DataFrame, vertex: str, prop: str, link: str) -> DataFrame:
-    """Multigraph out-degree with the vertex property, highest first; isolated vertices absent."""
+def vertex_out_degree(df: DataFrame, vertex: str, prop: str, link: str, props: DataFrame | None = None) -> DataFrame:
+    """Multigraph out-degree with the vertex property, highest first; isolated vertices absent.
+
+    ``props``: vertex and property where known (a label table), else read from ``df``.
+    """
     w = out_weights(with_link_sizes(memberships(df, vertex, link)))
-    props = vertex_properties(df, vertex, prop)
+    props = vertex_properties(df, vertex, prop) if props is None else props.select(F.col(vertex).alias(V), prop)
     return (w.join(props, V).select(prop, F.col("W").cast("long").alias("outDegree"))
             .orderBy(F.col("outDegree").desc(), prop))

@@ -15,9 +15,13 @@ from basketlens.session import materialize
 from basketlens.schemas import index_column
 
 
+def frequency_order(column: str, frequency: str = "frequency") -> list:
+    """The order of a frequency index."""
+    return [F.col(frequency).desc(), F.col(column).cast("string").asc()]
+
+
 def _index_from_counts(counts: DataFrame, column: str, index_col: str) -> DataFrame:
-    order = [F.col("frequency").desc(), F.col(column).cast("string").asc()]
-    return (with_row_index(counts, order, index_col)
+    return (with_row_index(counts, frequency_order(column), index_col)
             .select(column, F.col(index_col).cast("int").alias(index_col), "frequency"))
 
 

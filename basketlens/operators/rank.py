@@ -11,8 +11,9 @@ so one step is two aggregations over the membership table - members to
 links, links back to members - and never touches the (quadratic) pair set.
 A link held by a third of all rows costs a third of the membership rows, not
 the square of it. The per-vertex state is written as a table to the shared
-checkpoint folder after every step: the plan stays one step long, and a lost
-executor recomputes at most one step.
+checkpoint folder after every step, in one job that also observes what decides
+about the next step: the plan stays one step long, and a lost executor
+recomputes at most one step.
 
 * ``lazy_walk_rank`` - each step ``r'(v) = d*r(v) + (1-d) * sum_u r(u) w(u,v)/W(u)``,
   start 1.0, stop when ``max |r' - r| <= tol`` or after ``max_iter`` steps.
@@ -21,20 +22,24 @@ executor recomputes at most one step.
   multigraph: start ``pr = delta = reset``; a vertex that received something
   in the last step and whose ``delta > tol`` sends ``delta * w/W``; receivers
   add ``damping * message`` and become the next senders; stop when nobody
-  receives; scale so ranks sum to the number of vertices (isolated ones
+  has anything to send; scale so ranks sum to the number of vertices (isolated ones
   included, they keep the start value).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from basketlens.operators.graph import K, L, V
-from basketlens.session import drop_scratch, ensure_checkpoint_dir, materialize, materialized_path
+from basketlens.session import drop_scratch, ensure_checkpoint_dir, scratch_path
+
+# A vertex (link) has one sub-key per so many memberships.
+HOT_KEY_SIZE = 100_000
 
 
 @dataclass
@@ -44,90 +49,91 @@ class RankRun:
     trace: list = field(default_factory=list)   # per-step tolerance / receiver count
 
 
-def _freeze(df: DataFrame) -> DataFrame:
-    """Write the step's state to the shared checkpoint folder and read it back:
-    one job, lineage cut, survives executor loss."""
-    return materialize(df, "rank-state")
-
+class _State:
+    """The per-vertex table: each write replaces the one before."""
 
-def _advance(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Freeze the next state and delete the previous state's table."""
-    frozen = _freeze(new)
-    path = materialized_path(old)
-    if path:
-        drop_scratch(old.sparkSession, path)
-    return frozen
+    def __init__(self, spark):
+        self.spark, self.path, self.frame = spark, None, None
 
-
-# Vertices (links) with more memberships than this are split into sub-keys.
-HOT_KEY_SIZE = 100_000
+    def write(self, df: DataFrame, **metrics: Column) -> dict:
+        """One job: write ``df``, observe ``metrics`` of it, delete the previous table."""
+        seen = Observation()
+        path = scratch_path(self.spark, "rank-state")
+        df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.parquet(path)
+        before, self.path = self.path, path
+        self.frame = self.spark.read.schema(df.schema).parquet(path)
+        if before:
+            drop_scratch(self.spark, before)
+        return seen.get
 
 
 @dataclass
 class Memberships:
-    """Membership in links of 2+ members (the only ones carrying rank), kept
-    in two persisted copies, partitioned and sorted once so the per-step
-    joins neither shuffle nor sort them again:
-
-    * ``by_vertex`` on ``v`` - or, when some vertex has more than
-      ``hot_key_size`` links, on ``(v, vs)``: such a vertex is split into
-      ``cv = ceil(n / hot_key_size)`` sub-vertices by a hash of the link;
-    * ``by_link`` on ``link`` - or, when some link has more than
-      ``hot_key_size`` members, on ``(link, ls)``: such a link is split into
-      ``cl = ceil(k / hot_key_size)`` sub-links by a hash of the vertex.
-
-    With a split, the per-step frames (one row per vertex, one row per link)
-    are replicated over the sub-keys before the join, so no task holds more
-    than about ``hot_key_size`` memberships of one key. Whether to split is
-    decided from the exact largest degree and link size, measured once.
+    """Membership in links of 2+ members (the only ones carrying rank), kept in
+    two tables under the shared checkpoint folder, bucketed so that the
+    per-step joins do not shuffle them again:
+
+    * ``by_vertex`` on ``(v, vs)``: a vertex with n links has
+      ``cv = ceil(n / hot_key_size)`` sub-vertices (1, mostly), by a hash of the link;
+    * ``by_link`` on ``(link, ls)``: a link with k members has
+      ``cl = ceil(k / hot_key_size)`` sub-links, by a hash of the vertex.
+
+    The per-step frames (one row per vertex, one row per link) are replicated
+    over the sub-keys, so no task holds more than about ``hot_key_size``
+    memberships of one key.
     ``base = (v, W, n, cv)``: out-weight, number of multi-member links and
-    split factor per vertex. A lost cached block is rebuilt from the copies'
-    short, fixed lineage.
+    split factor per vertex.
     """
     by_vertex: DataFrame
     by_link: DataFrame
     base: DataFrame
-    multi: DataFrame
-    split_vertices: bool
-    split_links: bool
-
-    def release(self):
-        for df in (self.by_vertex, self.by_link, self.multi):
-            df.unpersist()
+    release: Callable[[], None]
 
 
-def _split(size_col: str, hot_key_size: int):
-    return F.greatest(F.lit(1), F.ceil(F.col(size_col) / F.lit(hot_key_size))).cast("int")
+def _split(size, hot_key_size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / F.lit(hot_key_size))).cast("int")
 
 
 def _links_of_vertices(ms: DataFrame, hot_key_size: int = HOT_KEY_SIZE) -> Memberships:
     spark = ms.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    multi = ms.where(F.col(K) > 1).select(V, L, K).persist(StorageLevel.MEMORY_AND_DISK)
-    base = _freeze(multi.groupBy(V).agg(F.sum(F.col(K) - 1).cast("double").alias("W"),
-                                        F.count(F.lit(1)).alias("n"))
-                   .withColumn("cv", _split("n", hot_key_size)))
-    max_n = base.agg(F.max("n")).first()[0] or 0
-    max_k = multi.agg(F.max(K)).first()[0] or 0
-    split_vertices, split_links = max_n > hot_key_size, max_k > hot_key_size
-    cl = _split(K, hot_key_size).alias("cl")
-    if split_vertices:
-        by_vertex = (multi.join(base.select(V, "cv"), V)
-                     .select(V, F.pmod(F.xxhash64(L), F.col("cv")).cast("int").alias("vs"), L, cl)
-                     .repartition(parts, V, "vs").sortWithinPartitions(V, "vs"))
-    else:
-        by_vertex = multi.select(V, L, cl).repartition(parts, V).sortWithinPartitions(V)
-    if split_links:
-        by_link = (multi.select(L, F.pmod(F.xxhash64(V), _split(K, hot_key_size)).cast("int").alias("ls"), V)
-                   .repartition(parts, L, "ls").sortWithinPartitions(L, "ls"))
-    else:
-        by_link = multi.select(L, V).repartition(parts, L).sortWithinPartitions(L)
-    by_vertex = by_vertex.persist(StorageLevel.MEMORY_AND_DISK)
-    by_link = by_link.persist(StorageLevel.MEMORY_AND_DISK)
-    by_vertex.count()
-    by_link.count()
-    return Memberships(by_vertex, by_link, base, multi, split_vertices, split_links)
+    paths, tables = [], []
+
+    def written(df, name):
+        paths.append(scratch_path(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    def bucketed(df, keys, name):
+        tables.append(f"{name}_{uuid.uuid4().hex}")
+        paths.append(scratch_path(spark, name))
+        (df.repartition(parts, *keys).sortWithinPartitions(*keys).write.bucketBy(parts, *keys).sortBy(*keys)
+         .option("path", paths[-1]).saveAsTable(tables[-1]))
+        return spark.table(tables[-1])
+
+    def release():
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in paths:
+            drop_scratch(spark, path)
+
+    try:
+        multi = written(ms.where(F.col(K) > 1).select(V, L, K), "memberships")
+        base = written(multi.groupBy(V).agg(F.sum(F.col(K) - 1).cast("double").alias("W"), F.count(F.lit(1)).alias("n"))
+                       .withColumn("cv", _split(F.col("n"), hot_key_size)), "vertices")
+        # Only the few vertices that are split are joined (left); the rest have cv = 1.
+        hot = base.where("cv > 1").select(V, "cv")
+        by_vertex = bucketed(
+            multi.join(hot, V, "left")
+            .select(V, F.pmod(F.xxhash64(L), F.coalesce("cv", F.lit(1))).cast("int").alias("vs"), L, _split(F.col(K), hot_key_size).alias("cl")),
+            [V, "vs"], "by_vertex")
+        by_link = bucketed(multi.select(L, F.pmod(F.xxhash64(V), _split(F.col(K), hot_key_size)).cast("int").alias("ls"), V), [L, "ls"], "by_link")
+        drop_scratch(spark, paths[0])  # not read again
+    except BaseException:
+        release()
+        raise
+    return Memberships(by_vertex, by_link, base, release)
 
 
 def _replicate(df: DataFrame, count_col: str, name: str) -> DataFrame:
@@ -138,16 +144,9 @@ def _replicate(df: DataFrame, count_col: str, name: str) -> DataFrame:
 def _gather(mem: Memberships, sent: DataFrame) -> DataFrame:
     """``(v, T, AA)``: per vertex, the sum over its links of the link totals of
     ``sent.x`` and of the number of senders. ``sent``: ``(v, x, cv)`` of senders."""
-    if mem.split_vertices:
-        reached = mem.by_vertex.join(_replicate(sent, "cv", "vs"), [V, "vs"])
-    else:
-        reached = mem.by_vertex.join(sent.drop("cv"), V)
-    per_link = reached.groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A"),
-                                      F.max("cl").alias("cl"))
-    if mem.split_links:
-        back = mem.by_link.join(_replicate(per_link, "cl", "ls"), [L, "ls"])
-    else:
-        back = mem.by_link.join(per_link.drop("cl"), L)
+    reached = mem.by_vertex.join(_replicate(sent, "cv", "vs"), [V, "vs"])
+    per_link = reached.groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A"), F.max("cl").alias("cl"))
+    back = mem.by_link.join(_replicate(per_link, "cl", "ls"), [L, "ls"])
     return back.groupBy(V).agg(F.sum("S").alias("T"), F.sum("A").alias("AA"))
 
 
@@ -155,25 +154,25 @@ def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01
                    max_iter: int = 10, hot_key_size: int = HOT_KEY_SIZE) -> RankRun:
     """G6 on sized memberships ``(v, link, k)``; returns ``(v, rank)``."""
     mem = _links_of_vertices(ms, hot_key_size)
-    state = _freeze(mem.base.select(V, "W", "n", "cv", F.lit(1.0).alias("rank")))
-    run = RankRun(ranks=state)
-    tol, step = 1.0, 0
-    while tol > tolerance and step < max_iter:
-        sent = state.select(V, (F.col("rank") / F.col("W")).alias("x"), "cv")
-        got = _gather(mem, sent)
-        own = F.col("n") * (F.col("rank") / F.col("W"))
-        new = (state.join(got, V)
-               .select(V, "W", "n", "cv", F.col("rank").alias("old"),
-                       (F.col("rank") * damping + (F.col("T") - own) * (1.0 - damping)).alias("rank")))
-        new = _advance(state, new)
-        tol = new.agg(F.max(F.abs(F.col("old") - F.col("rank")))).first()[0] or 0.0
-        state = new.drop("old")
-        step += 1
-        run.trace.append(tol)
-    run.steps = step
-    run.ranks = state.select(V, "rank")
-    mem.release()
-    return run
+    try:
+        state = _State(ms.sparkSession)
+        rank, steps, tol, trace = F.lit(1.0), 0, 1.0, []
+        state.frame = mem.base.select(V, "W", "n", "cv", rank.alias("rank"))
+        while tol > tolerance and steps < max_iter:
+            now = state.frame
+            got = _gather(mem, now.select(V, (F.col("rank") / F.col("W")).alias("x"), "cv"))
+            own = F.col("n") * (F.col("rank") / F.col("W"))
+            new = now.join(got, V).select(
+                V, "W", "n", "cv", F.col("rank").alias("old"),
+                (F.col("rank") * damping + (F.col("T") - own) * (1.0 - damping)).alias("rank"))
+            tol = state.write(new, tol=F.max(F.abs(F.col("old") - F.col("rank"))))["tol"] or 0.0
+            steps += 1
+            trace.append(tol)
+        if not steps:
+            state.write(state.frame, rows=F.count(F.lit(1)))
+        return RankRun(state.frame.select(V, "rank"), steps, trace)
+    finally:
+        mem.release()
 
 
 def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, tolerance: float = 0.01,
@@ -182,36 +181,34 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
     reset = 1.0 - damping
     keep = 1.0 - reset
     start = 0.0 + keep * (reset / (1.0 - reset))
+    is_sender = F.col("active") & (F.col("delta") > tolerance) & F.col("W").isNotNull()
+    senders, receivers = F.count(F.when(is_sender, 1)), F.count(F.when(F.col("active"), 1))
     mem = _links_of_vertices(ms, hot_key_size)
-    state = _freeze(vertices.select(V).distinct().join(mem.base, V, "left")
-                    .select(V, "W", "n", "cv", F.lit(start).alias("pr"), F.lit(start - 0.0).alias("delta"),
-                            F.lit(True).alias("active")))
-    run = RankRun(ranks=state)
-    step = 0
-    while max_iter is None or step < max_iter:
-        is_sender = F.col("active") & (F.col("delta") > tolerance) & F.col("W").isNotNull()
-        sent = state.where(is_sender).select(V, (F.col("delta") * (1.0 / F.col("W"))).alias("x"), "cv")
-        got = _gather(mem, sent)
-        y = F.when(is_sender, F.col("delta") * (1.0 / F.col("W"))).otherwise(F.lit(0.0))
-        s = F.when(is_sender, F.lit(1)).otherwise(F.lit(0))
-        joined = state.join(got, V, "left")
-        receives = F.coalesce(F.col("AA") - F.col("n") * s, F.lit(0)) > 0
-        msg = F.col("T") - F.col("n") * y
-        new_pr = F.col("pr") + msg * keep
-        new = joined.select(
-            V, "W", "n", "cv",
-            F.when(receives, new_pr).otherwise(F.col("pr")).alias("pr"),
-            F.when(receives, new_pr - F.col("pr")).otherwise(F.col("delta")).alias("delta"),
-            receives.alias("active"))
-        state = _advance(state, new)
-        received = state.where("active").count()
-        step += 1
-        run.trace.append(received)
-        if received == 0:
-            break
-    run.steps = step
-    total = state.agg(F.sum("pr").alias("s"), F.count(F.lit(1)).alias("n")).select(
-        (F.col("n").cast("double") / F.col("s")).alias("f")).scalar()
-    run.ranks = state.select(V, (F.col("pr") * total).alias("rank"))
-    mem.release()
-    return run
+    try:
+        state = _State(ms.sparkSession)
+        seen = state.write(vertices.select(V).distinct().join(mem.base, V, "left")
+                           .select(V, "W", "n", "cv", F.lit(start).alias("pr"), F.lit(start - 0.0).alias("delta"),
+                                   F.lit(True).alias("active")), senders=senders)
+        steps, trace = 0, []
+        while seen["senders"] and (max_iter is None or steps < max_iter):
+            now = state.frame
+            x = F.col("delta") * (1.0 / F.col("W"))
+            got = _gather(mem, now.where(is_sender).select(V, x.alias("x"), "cv"))
+            y, s = F.when(is_sender, x).otherwise(F.lit(0.0)), F.when(is_sender, F.lit(1)).otherwise(F.lit(0))
+            joined = now.join(got, V, "left")
+            receives = F.coalesce(F.col("AA") - F.col("n") * s, F.lit(0)) > 0
+            new_pr = F.col("pr") + (F.col("T") - F.col("n") * y) * keep
+            new = joined.select(
+                V, "W", "n", "cv",
+                F.when(receives, new_pr).otherwise(F.col("pr")).alias("pr"),
+                F.when(receives, new_pr - F.col("pr")).otherwise(F.col("delta")).alias("delta"),
+                receives.alias("active"))
+            seen = state.write(new, senders=senders, receivers=receivers)
+            steps += 1
+            trace.append(seen["receivers"])
+        final = state.frame
+        total = final.agg(F.sum("pr").alias("s"), F.count(F.lit(1)).alias("n")).select(
+            (F.col("n").cast("double") / F.col("s")).alias("f")).scalar()
+        return RankRun(final.select(V, (F.col("pr") * total).alias("rank")), steps, trace)
+    finally:
+        mem.release()

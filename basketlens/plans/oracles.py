@@ -246,3 +246,53 @@ JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName"
     "tickets_json_lines": ORACLES["basket_lines"],
     "tickets_shell_export": ORACLES["basket_lines"],
 })
+
+
+# ---- split, lists, configured runs, results read back ----------------------
+
+_PARTS = """rated AS MATERIALIZED (
+  SELECT p.prodName, p.prodNameIndex, c.clientIndex, r.prodUds,
+         CASE WHEN substr(md5(CAST(c.clientIndex AS VARCHAR) || ':' || CAST(p.prodNameIndex AS VARCHAR) || ':42'), 1, 8)
+                   < 'cccccccc' THEN 'train' ELSE 'test' END AS part
+  FROM (SELECT prodName, client, sum(prodUds) AS prodUds FROM lines GROUP BY prodName, client) r
+  JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName
+)"""
+
+
+def _selected(n: int) -> str:
+    return TOPN.replace("< 15", f"< {n}").replace("kept AS", "chosen AS") + """,
+lines2 AS MATERIALIZED (SELECT * FROM chosen)"""
+
+
+def _on_selection(cte: str) -> str:
+    return cte.replace("FROM lines", "FROM lines2")
+
+
+_KEPT_MEM = "mem AS MATERIALIZED (SELECT DISTINCT prodName AS v, client AS link FROM lines2)"
+
+ORACLES.update({
+    "als_split": with_(LINES, CLABELS, PLABELS, _PARTS) + "SELECT prodNameIndex, clientIndex, prodUds, part FROM rated",
+    "als_list_shape": with_(LINES, CLABELS, PLABELS, _PARTS) + """
+SELECT r.prodName, CAST(least(10, k.n) AS INTEGER) AS n, CAST(least(10, k.n) AS INTEGER) AS n_distinct,
+       TRUE AS descending, k.n AS known_clients
+FROM (SELECT DISTINCT prodName FROM rated WHERE part = 'train') r
+CROSS JOIN (SELECT count(DISTINCT clientIndex) AS n FROM rated WHERE part = 'train') k""",
+    "configured_products_10": with_(LINES, CLABELS, PLABELS, _selected(S.EXPLORATION_TOP), _on_selection(TOTALS),
+                                    _on_selection(BYPROD))
+    + f"SELECT prodName, earnings, {PCT('earnings', '(SELECT total_earnings FROM tot)')} AS percentEarning FROM byprod",
+    "configured_ratings_30": with_(LINES, CLABELS, PLABELS, _selected(S.ALS_TOP)) + """
+SELECT p.prodNameIndex, c.clientIndex, r.prodUds
+FROM (SELECT prodName, client, sum(prodUds) AS prodUds FROM lines2 GROUP BY prodName, client) r
+JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName""",
+    "configured_graph_d_10": with_(LINES, CLABELS, PLABELS, _selected(S.GRAPH_D_TOP), _KEPT_MEM, _graph_ctes("client")[2])
+    + "SELECT orig, CAST(sum(linkWeight) AS BIGINT) AS linksOfVertex FROM edges GROUP BY orig",
+    "configured_graph_x_5": with_(LINES, CLABELS, PLABELS, _selected(S.GRAPH_X_TOP), _KEPT_MEM, _graph_ctes("client")[2])
+    + "SELECT orig AS prodName_orig, dest AS prodName_dest, CAST(linkWeight AS BIGINT) AS num_of_client FROM edges",
+    "written_totals": with_(LINES, TOTALS)
+    + "SELECT CAST(0 AS INTEGER) AS numClients, CAST(0 AS INTEGER) AS numProds, * FROM tot",
+    "written_prods_most_sold": with_(LINES, TOTALS, BYPROD)
+    + f"SELECT CAST(0 AS INTEGER) AS numClients, CAST(0 AS INTEGER) AS numProds, prodName, udsSold, "
+      f"{PCT('udsSold', '(SELECT total_products_sold FROM tot)')} AS percentUdsSold, "
+      "(SELECT total_products_sold FROM tot) AS total_products_sold FROM byprod",
+    **{f"tickets_shell_{layout}": ORACLES["basket_lines"] for layout in ("one_per_line", "back_to_back", "indented")},
+})

@@ -19,9 +19,10 @@ from basketlens.operators import explore as X
 from basketlens.operators import graph as G
 from basketlens.operators import indexing as I
 from basketlens.operators import rank as RK
-from basketlens.session import scratch_path
+from basketlens.session import materialize, scratch_path
 from basketlens.sources import tickets as T
-from basketlens.sources.star import baskets_from_star
+from basketlens.sources.sinks import new_run_id, write_result
+from basketlens.sources.star import baskets_from_star, product_names
 
 TOP_CLIENTS = 15
 TOP_PRODUCTS = 15
@@ -47,6 +48,11 @@ def _product_labels(lines):
     return I.frequency_index(lines, S.PRODUCT)
 
 
+def _keyed(spark, sf_dir):
+    """Lines with the product as a number, and the names of the numbers."""
+    return baskets_from_star(spark, sf_dir, with_mall=False, with_key=True), product_names(spark, sf_dir)
+
+
 def _both_labels(lines):
     """Client and product label tables from one pass over the lines."""
     labels = I.frequency_indexes(lines, [S.CLIENT, S.PRODUCT])
@@ -117,50 +123,49 @@ def prods_most_popular(spark, sf_dir):
 
 @query
 def totals_by_client(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.totals_by_client(lines, _client_labels(lines))
+    return X.totals_by_client(_lines(spark, sf_dir), fit_index=True)
 
 
 @query
 def clients_spent_more(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_spent_more(lines, _client_labels(lines))
+    return X.clients_spent_more(lines, by_client=X.totals_by_client(lines, fit_index=True))
 
 
 @query
 def clients_buy_more(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_buy_more(lines, _client_labels(lines), denominator="units")
+    return X.clients_buy_more(lines, by_client=X.totals_by_client(lines, fit_index=True), denominator="units")
 
 
 @query
 def clients_buy_more_reference(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_buy_more(lines, _client_labels(lines), denominator="earnings")
+    return X.clients_buy_more(lines, by_client=X.totals_by_client(lines, fit_index=True), denominator="earnings")
 
 
 @query
 def clients_most_transactions(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_most_transactions(lines, _client_labels(lines))
+    return X.clients_most_transactions(lines, by_client=X.totals_by_client(lines, fit_index=True))
 
 
 @query
 def clients_spent_per_transaction(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_spent_per_transaction(lines, _client_labels(lines))
+    return X.clients_spent_per_transaction(lines, by_client=X.totals_by_client(lines, fit_index=True))
 
 
 @query
 def clients_prods_per_transaction(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_prods_per_transaction(lines, _client_labels(lines))
+    return X.clients_prods_per_transaction(lines, by_client=X.totals_by_client(lines, fit_index=True))
 
 
 @query
 def clients_variety(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return X.clients_variety(lines, _client_labels(lines))
+    return X.clients_variety(lines, by_client=X.totals_by_client(lines, fit_index=True))
 
 
 @query
@@ -176,76 +181,79 @@ def top_n_totals_by_client(spark, sf_dir):
 # DataFrame-graph form: vertex = product name, link = ticket (or client).
 # Multigraph form: vertex = product index, property = product name, link = ticket.
 
-def _indexed_products(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return I.index_labels(lines, _product_labels(lines), S.PRODUCT)
-
-
 @query
 def cooccurrence_edges_transac(spark, sf_dir):
-    return G.cooccurrence_edges(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.cooccurrence_edges(lines, S.PRODUCT_KEY, S.TRANSAC, names=names)
 
 
 @query
 def cooccurrence_edges_client(spark, sf_dir):
-    return G.cooccurrence_edges(_lines(spark, sf_dir), S.PRODUCT, S.CLIENT)
+    lines, names = _keyed(spark, sf_dir)
+    return G.cooccurrence_edges(lines, S.PRODUCT_KEY, S.CLIENT, names=names)
 
 
 @query
 def strongest_links(spark, sf_dir):
-    return G.strongest_links(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.strongest_links(lines, S.PRODUCT_KEY, S.TRANSAC, names=names)
 
 
 @query
 def vertex_neighbours(spark, sf_dir):
-    return G.vertex_neighbours(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.vertex_neighbours(lines, S.PRODUCT_KEY, S.TRANSAC, names=names)
 
 
 @query
 def vertex_out_links(spark, sf_dir):
-    return G.vertex_out_links(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.vertex_out_links(lines, S.PRODUCT_KEY, S.TRANSAC, names=names)
 
 
 @query
 def graph_summary(spark, sf_dir):
-    return G.graph_summary(_indexed_products(spark, sf_dir), "prodNameIndex", S.TRANSAC)
+    return G.graph_summary(_keyed(spark, sf_dir)[0], S.PRODUCT_KEY, S.TRANSAC)
 
 
 @query
 def strongest_links_directed(spark, sf_dir):
-    return G.strongest_links_directed(_indexed_products(spark, sf_dir), "prodNameIndex", S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.strongest_links_directed(lines, S.PRODUCT_KEY, S.PRODUCT, S.TRANSAC, props=names)
 
 
 @query
 def vertex_out_degree(spark, sf_dir):
-    return G.vertex_out_degree(_indexed_products(spark, sf_dir), "prodNameIndex", S.PRODUCT, S.TRANSAC)
+    lines, names = _keyed(spark, sf_dir)
+    return G.vertex_out_degree(lines, S.PRODUCT_KEY, S.PRODUCT, S.TRANSAC, props=names)
 
 
-@query
-def lazy_walk_rank(spark, sf_dir):
-    ms = G.with_link_sizes(G.memberships(_lines(spark, sf_dir), S.PRODUCT, S.TRANSAC))
+def _lazy_walk(spark, sf_dir, link):
+    lines, names = _keyed(spark, sf_dir)
+    ms = G.with_link_sizes(G.memberships(lines, S.PRODUCT_KEY, link))
     run = RK.lazy_walk_rank(ms, S.LAZY_WALK_DAMPING, S.LAZY_WALK_TOLERANCE, S.LAZY_WALK_MAX_ITER)
-    return (run.ranks.select(F.col("v").alias("orig"), round_half_even("rank", 6).alias("rank"))
+    return (run.ranks.join(names.withColumnRenamed(S.PRODUCT_KEY, "v"), "v")
+            .select(F.col(S.PRODUCT).alias("orig"), round_half_even("rank", 6).alias("rank"))
             .orderBy(F.col("rank").desc(), "orig"))
 
 
+@query
+def lazy_walk_rank(spark, sf_dir):
+    return _lazy_walk(spark, sf_dir, S.TRANSAC)
+
+
 @query
 def lazy_walk_rank_client(spark, sf_dir):
     """G6 with the source's default link (the client): dense co-purchase, ~40 pairs per membership."""
-    ms = G.with_link_sizes(G.memberships(_lines(spark, sf_dir), S.PRODUCT, S.CLIENT))
-    run = RK.lazy_walk_rank(ms, S.LAZY_WALK_DAMPING, S.LAZY_WALK_TOLERANCE, S.LAZY_WALK_MAX_ITER)
-    return (run.ranks.select(F.col("v").alias("orig"), round_half_even("rank", 6).alias("rank"))
-            .orderBy(F.col("rank").desc(), "orig"))
+    return _lazy_walk(spark, sf_dir, S.CLIENT)
 
 
 @query
 def pagerank(spark, sf_dir):
-    df = _indexed_products(spark, sf_dir)
-    ms = G.with_link_sizes(G.memberships(df, "prodNameIndex", S.TRANSAC))
-    vertices = df.select(F.col("prodNameIndex").alias("v"))
-    run = RK.pagerank(ms, vertices, S.PAGERANK_DAMPING, S.PAGERANK_TOLERANCE)
-    props = G.vertex_properties(df, "prodNameIndex", S.PRODUCT)
-    return (run.ranks.join(props, "v")
+    lines, names = _keyed(spark, sf_dir)
+    ms = materialize(G.memberships(lines, S.PRODUCT_KEY, S.TRANSAC), "memberships")
+    run = RK.pagerank(G.with_link_sizes(ms), ms.select("v"), S.PAGERANK_DAMPING, S.PAGERANK_TOLERANCE)
+    return (run.ranks.join(names.withColumnRenamed(S.PRODUCT_KEY, "v"), "v")
             .select(S.PRODUCT, round_half_even("rank", 6).alias("rank"))
             .orderBy(F.col("rank").desc(), S.PRODUCT))
 
@@ -277,59 +285,166 @@ def restore_labels(spark, sf_dir):
     return decoded.select(S.PRODUCT, S.CLIENT, S.UNITS)
 
 
-def _als_fit(spark, sf_dir):
+def _als_parts(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     clients, products = _both_labels(lines)
-    triples = I.index_baskets(_ratings_by_label(lines), clients, products)
-    fit = A.fit_als(triples, "clientIndex", "prodNameIndex", S.UNITS, seed=ALS_SEED)
-    return fit, clients, products
+    triples = I.index_baskets(_ratings_by_label(lines), clients, products).select("prodNameIndex", "clientIndex", S.UNITS)
+    return A.split_ratings(triples, "clientIndex", "prodNameIndex", ALS_SEED), clients, products
+
+
+@query
+def als_split(spark, sf_dir):
+    """M1: every rating with its part."""
+    return _als_parts(spark, sf_dir)[0]
+
+
+def _users_for_items(spark, sf_dir):
+    parts, clients, products = _als_parts(spark, sf_dir)
+    fit = A.fit_als(parts, "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED)
+    return fit, A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, products, S.PRODUCT, clients, S.CLIENT)
 
 
 @query
 def als_users_for_items(spark, sf_dir):
-    """M1-M7, the source's orientation: the 10 likeliest clients of every product."""
-    fit, clients, products = _als_fit(spark, sf_dir)
-    return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, "users_for_items",
-                             products, S.PRODUCT, clients, S.CLIENT)
+    """M1-M7 as the source binds them (product in the user position): the 10 likeliest clients of every product."""
+    return _users_for_items(spark, sf_dir)[1]
+
+
+@query
+def als_list_shape(spark, sf_dir):
+    """M6, M7: of every product's list its length, distinct clients, order, and whether all clients are known."""
+    fit, lists = _users_for_items(spark, sf_dir)
+    known = fit.rows("train").select("clientIndex").distinct().count()
+    e = F.col("recommendations")
+    scores = F.transform(e, lambda x: x[S.UNITS])
+    return lists.select(
+        S.PRODUCT, F.size(e).alias("n"), F.size(F.array_distinct(F.transform(e, lambda x: x[S.CLIENT]))).alias("n_distinct"),
+        (scores == F.reverse(F.array_sort(scores))).alias("descending"), F.lit(known).cast("long").alias("known_clients"))
 
 
 @query
 def als_items_for_users(spark, sf_dir):
     """M6-M7 the other way: the 10 best products for every client."""
-    fit, clients, products = _als_fit(spark, sf_dir)
-    return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, "items_for_users",
-                             clients, S.CLIENT, products, S.PRODUCT)
+    parts, clients, products = _als_parts(spark, sf_dir)
+    fit = A.fit_als(parts, "clientIndex", "prodNameIndex", S.UNITS, seed=ALS_SEED)
+    return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, clients, S.CLIENT, products, S.PRODUCT)
 
 
 @query
 def als_rmse(spark, sf_dir):
     """M4-M5: held-out RMSE with train/test sizes (one row)."""
-    fit, _, _ = _als_fit(spark, sf_dir)
-    return A.rmse(fit)
+    parts, _, _ = _als_parts(spark, sf_dir)
+    return A.rmse(A.fit_als(parts, "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED))
+
+
+# ---- configured runs: the sizes of the shipped examples --------------------
+
+def _top(spark, sf_dir, n):
+    lines = _lines(spark, sf_dir)
+    clients, products = _both_labels(lines)
+    return I.keep_top(I.keep_top(lines, clients, S.CLIENT, n), products, S.PRODUCT, n), clients, products
+
+
+@query
+def configured_products_10(spark, sf_dir):
+    """Exploration, 10 x 10: R4 over the selection."""
+    return X.prods_most_earns(_top(spark, sf_dir, S.EXPLORATION_TOP)[0])
+
+
+@query
+def configured_ratings_30(spark, sf_dir):
+    """ALS, 30 x 30: the triples that the model is fitted on."""
+    kept, clients, products = _top(spark, sf_dir, S.ALS_TOP)
+    return I.index_baskets(_ratings_by_label(kept), clients, products).select("prodNameIndex", "clientIndex", S.UNITS)
+
+
+@query
+def configured_graph_d_10(spark, sf_dir):
+    """DataFrame graph, 10 x 10, product names by ticket: G5 over the selection."""
+    return G.vertex_out_links(_top(spark, sf_dir, S.GRAPH_D_TOP)[0], S.PRODUCT, S.CLIENT)
+
+
+@query
+def configured_graph_x_5(spark, sf_dir):
+    """Multigraph, 5 x 5, product indexes with their names: G7 over the selection, by client."""
+    kept, _, products = _top(spark, sf_dir, S.GRAPH_X_TOP)
+    indexed = I.index_labels(kept, products, S.PRODUCT)
+    return G.strongest_links_directed(indexed, "prodNameIndex", S.PRODUCT, S.CLIENT, props=products)
+
+
+# ---- results written and read back ------------------------------------------
+
+def _read_back(spark, frame, name, mode, params):
+    path = write_result(frame, scratch_path(spark, "results"), new_run_id(), name, mode, params)
+    return spark.read.schema(_result_schema(params, frame)).json(path)
+
+
+def _result_schema(params, frame):
+    """The schema of a written result: its parameters, then its columns."""
+    return ", ".join([*(f"{k} {'string' if isinstance(v, str) else 'int'}" for k, v in params.items()),
+                      *(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)])
+
+
+@query
+def written_totals(spark, sf_dir):
+    """K1, K5: R1 written in parallel with its run's parameters, read back."""
+    return _read_back(spark, X.totals(_lines(spark, sf_dir)), "totals", "parallelWriteJSON", {"numClients": 0, "numProds": 0})
+
+
+@query
+def written_prods_most_sold(spark, sf_dir):
+    """K2, K5: R3 with the total that its shares refer to, replacing an earlier result, read back."""
+    lines = _lines(spark, sf_dir)
+    tot = X.totals(lines)
+    ranked = X.prods_most_sold(lines, tot=tot).withColumn("total_products_sold", tot.select("total_products_sold").scalar())
+    return _read_back(spark, ranked, "prodsMostSold", "oneJSON", {"numClients": 0, "numProds": 0})
 
 
 # ---- ticket documents derived from the tables, read back ----------------
 
-def _written_tickets(spark, sf_dir, fmt):
-    lines = _lines(spark, sf_dir, with_mall=True)
-    tickets = T.tickets_from_baskets(lines)
-    path = scratch_path(spark, f"tickets-{fmt}")
-    if fmt == "json":
-        tickets.write.mode("overwrite").json(path)
-        return T.read_tickets(spark, path)
-    T.shell_export_text(tickets).write.mode("overwrite").text(path)
-    return T.read_shell_export(spark, path)
+def _tickets(spark, sf_dir):
+    return T.tickets_from_baskets(_lines(spark, sf_dir, with_mall=True))
+
+
+def _flat(tickets):
+    return T.flatten_baskets(tickets).withColumn(S.DATE, F.date_format(S.DATE, "yyyy-MM-dd"))
 
 
 @query
 def tickets_json_lines(spark, sf_dir):
     """S1 + P1-P4: tickets written as JSON lines, scanned with the ticket schema and flattened."""
-    lines = T.flatten_baskets(_written_tickets(spark, sf_dir, "json"))
-    return lines.withColumn(S.DATE, F.date_format(S.DATE, "yyyy-MM-dd"))
+    path = scratch_path(spark, "tickets-json")
+    _tickets(spark, sf_dir).write.json(path)
+    return _flat(T.read_tickets(spark, path))
+
+
+def _shell(spark, sf_dir, layout, line_sep="\n"):
+    """S2 + P1-P4: tickets written in the shell export dialect in one layout, parsed in parallel and flattened."""
+    path = scratch_path(spark, "tickets-shell")
+    text = T.shell_export_text(_tickets(spark, sf_dir))
+    text.select(layout(F.col("value")).alias("value")).write.option("lineSep", line_sep).text(path)
+    return _flat(T.read_shell_export(spark, path))
 
 
 @query
 def tickets_shell_export(spark, sf_dir):
-    """S2 + P1-P4: tickets written in the shell export dialect, parsed in parallel and flattened."""
-    lines = T.flatten_baskets(_written_tickets(spark, sf_dir, "shell"))
-    return lines.withColumn(S.DATE, F.date_format(S.DATE, "yyyy-MM-dd"))
+    """S2, pretty-printed: the closing brace of a document in column 0."""
+    return _shell(spark, sf_dir, lambda v: v)
+
+
+@query
+def tickets_shell_one_per_line(spark, sf_dir):
+    """S2, one document per line."""
+    return _shell(spark, sf_dir, lambda v: F.regexp_replace(v, "\n *", " "))
+
+
+@query
+def tickets_shell_back_to_back(spark, sf_dir):
+    """S2, no separator between documents."""
+    return _shell(spark, sf_dir, lambda v: F.regexp_replace(v, "\n *", " "), line_sep="\u0020")
+
+
+@query
+def tickets_shell_indented(spark, sf_dir):
+    """S2, every line indented, CRLF line ends."""
+    return _shell(spark, sf_dir, lambda v: F.concat(F.lit("    "), F.regexp_replace(v, "\n", "\r\n    "), F.lit("\r")))

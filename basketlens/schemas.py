@@ -25,6 +25,11 @@ PAGERANK_TOLERANCE = 0.01
 PREVIEW_ROWS = 20
 #   output modes of the result writer
 OUTPUT_MODES = ("parallelWriteJSON", "oneJSON", "standarOutput")
+#   analyses that a configuration can name, its keys, and the sizes of the shipped examples
+APPS = ("DataExplorer", "RecommenderALS", "RecommenderGraphD", "RecommenderGraphX")
+CONFIG_KEYS = ("appName", "outputMode", "numClients", "numProds", "usersCol", "itemsCol", "ratingsCol",
+               "vertexCol", "edgeCol", "vertexPropertiesCol")
+EXPLORATION_TOP, ALS_TOP, GRAPH_D_TOP, GRAPH_X_TOP = 10, 30, 10, 5
 
 # Nested ticket document (one purchase).
 TICKET_ITEM = T.StructType([
@@ -49,6 +54,7 @@ PRODUCT = "prodName"
 UNITS = "prodUds"
 COST = "prodsCost"
 MALL = "mall"
+PRODUCT_KEY = "prodKey"
 BASKET_COLUMNS = (TRANSAC, CLIENT, DATE, PRODUCT, UNITS, COST, MALL)
 
 BASKET = T.StructType([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -82,6 +84,35 @@ def materialize(df, name: str = "state"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables written by ``materialize`` inside the block are deleted when it ends."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[mark:]:
+            drop_scratch(spark, path)
+        del _written[mark:]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that this process has written under the checkpoint folder.
+
+    A frame of a registered query reads such tables until it has been consumed:
+    call this afterwards (``bench.py`` does; so does the end of the process).
+    """
+    _written.clear()
+    drop_scratch(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketlens/{_RUN}")
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            clear_scratch(spark)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table written by ``materialize`` once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -89,16 +120,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def materialized_path(df) -> str | None:
-    """The folder a ``materialize``d frame reads from (``None`` otherwise)."""
-    files = df.inputFiles()
-    return files[0].rsplit("/", 1)[0] if files else None
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for derived tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/basketlens/{_RUN}/{name}-{next(_counter)}"
+    _written.append(f"{base}/basketlens/{_RUN}/{name}-{next(_counter)}")
+    return _written[-1]
 
 
 def _count():
@@ -109,4 +135,6 @@ def _count():
 
 
 _counter = _count()
+_written: list[str] = []
 _RUN = f"{os.getpid()}-{uuid.uuid4().hex[:12]}"
+atexit.register(_clear_at_exit)

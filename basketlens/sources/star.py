@@ -14,7 +14,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
-                      excluded=S.EXCLUDED_PRODUCTS) -> DataFrame:
+                      excluded=S.EXCLUDED_PRODUCTS, with_key: bool = False) -> DataFrame:
     """Map the star schema onto the flat basket table.
 
     ``transac = l_orderkey``, ``client = o_custkey``, ``date = o_orderdate``,
@@ -27,6 +27,7 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
     quarter of the fact rows) and is a left join, so orders of unknown
     clients keep their lines with a null mall. Analyses that never read
     ``mall`` pass ``with_mall=False`` and skip that join entirely.
+    ``with_key`` adds ``prodKey = p_partkey``, the product as a number.
     """
     lineitem = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias(S.TRANSAC),
@@ -55,4 +56,11 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
     )
     part = exclude_products(part, excluded)
     lines = lineitem.join(orders, S.TRANSAC).join(part, "_partkey")
-    return lines.select(*S.BASKET_COLUMNS)
+    return lines.select(*S.BASKET_COLUMNS, *([F.col("_partkey").alias(S.PRODUCT_KEY)] if with_key else []))
+
+
+def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(prodKey, prodName)`` of every product."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias(S.PRODUCT_KEY),
+                       F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias(S.PRODUCT))

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from basketlens.operators import als as A
 from basketlens.operators import indexing as I
 from basketlens.sources.star import baskets_from_star
@@ -9,15 +11,26 @@ def test_als_recommendations_and_rmse(spark, sf_small):
     lines = baskets_from_star(spark, sf_small, with_mall=False)
     clients, products = I.frequency_index(lines, "client"), I.frequency_index(lines, "prodName")
     triples = I.index_baskets(A.ratings(lines, "prodName", "client", "prodUds"), clients, products)
-    fit = A.fit_als(triples, "clientIndex", "prodNameIndex", "prodUds", seed=7)
-    err = A.rmse(fit).first()
-    assert math.isfinite(err["rmse"]) and err["train_rows"] + err["test_rows"] == triples.count()
-    for direction, key, other in (("users_for_items", "prodName", "client"),
-                                  ("items_for_users", "client", "prodName")):
+    parts = A.split_ratings(triples, "clientIndex", "prodNameIndex", seed=7)
+    again = A.split_ratings(triples.repartition(3), "clientIndex", "prodNameIndex", seed=7)
+    assert parts.exceptAll(again).count() == 0 and 0.75 < parts.where("part = 'train'").count() / parts.count() < 0.85
+    for key, other in (("prodName", "client"), ("client", "prodName")):
+        fit = A.fit_als(parts, f"{key}Index", f"{other}Index", "prodUds", seed=7)
+        err = A.rmse(fit).first()
+        factors = [{r["id"]: np.array(r["features"]) for r in f.collect()} for f in (fit.model.userFactors, fit.model.itemFactors)]
+        errors = [(factors[0][r[f"{key}Index"]] @ factors[1][r[f"{other}Index"]] - r["prodUds"]) ** 2 for r in fit.rows("test").collect()
+                  if r[f"{key}Index"] in factors[0] and r[f"{other}Index"] in factors[1]]
+        assert err["scored_rows"] == len(errors) and math.isclose(err["rmse"], np.mean(errors) ** 0.5, rel_tol=1e-4)
+        assert err["train_rows"] + err["test_rows"] == triples.count()
+        raw = {r[0]: [(i, s) for i, s in r[1]] for r in fit.model.recommendForAllUsers(10).collect()}
+        for u, got in list(raw.items())[:40]:
+            best = sorted((float(factors[0][u] @ v) for v in factors[1].values()), reverse=True)[:10]
+            assert np.allclose([s for _, s in got], best, rtol=1e-4, atol=1e-5)
         key_lab, other_lab = (products, clients) if key == "prodName" else (clients, products)
-        recs = A.recommendations(fit, 10, direction, key_lab, key, other_lab, other)
+        recs = A.recommendations(fit, 10, key_lab, key, other_lab, other)
         assert recs.columns == [key, "recommendations"]
         rows = recs.collect()
+        assert len(rows) == len(raw)
         assert rows and len({r[key] for r in rows}) == len(rows)
         for r in rows:
             scores = [e["prodUds"] for e in r["recommendations"]]
