@@ -19,8 +19,9 @@ for every pair that is long on one side:
   longest left part;
 * reversed left context, then right suffix: the same with sides exchanged.
 
-Windows that only a short pair can explain (L and R both cut off) are the rest:
-for those the windows themselves are sorted, in the same way.
+Neighbours in either order are also compared on their other side, which settles
+most windows that lie in a pair cut off on both sides. Where the two bounds
+leave a window undecided, the windows themselves are sorted, in the same way.
 
 Each sort: a map task sorts runs of bounded size, front-codes them and cuts them
 at splitters drawn from a sample; a reduce task merges the runs of its range
@@ -48,10 +49,10 @@ from basketlens.session import materialize
 #: Bytes of the strings by which anchors are chosen and matched first.
 GRAM = 128
 #: Bytes of strings that one sorted run holds.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 #: Strings of one front-coded block, and strings aimed at per range.
 BLOCK_STRINGS = 256
-RANGE_STRINGS = 50_000
+RANGE_STRINGS = 150_000
 #: Sampled strings per range from which the splitters are drawn.
 SAMPLES_PER_RANGE = 20
 
@@ -211,48 +212,56 @@ def merge(runs: list[Run]) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]
         losers[0] = at
 
 
-def longest_shared(entries: Iterator[tuple[bytes, int, np.ndarray, np.ndarray]], ends: list) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
-    """Per string: (ids, positions, longest prefix shared with any other, edge, number of the string).
+Shared = tuple[np.ndarray, np.ndarray, int, int, int, tuple[int, int, int, int]]
+
+
+def longest_shared(entries: Iterator[tuple[bytes, int, np.ndarray, np.ndarray]], ends: list, first: int) -> Iterator[Shared]:
+    """Per string: (ids, positions, longest prefix shared with any other, edge, number of the string, pairs).
 
     edge is 1 for the range's first string, 2 for its last, 3 for both; ``ends``
-    gets those two strings. A string found twice is given out as it comes, so
-    the positions of a frequent string are never held together.
+    gets those two strings. pairs: what the string shares with the one before
+    it, in its first ``first`` bytes and in those behind, and the same for the
+    one after it (0, 0 where unknown). A string found twice is given out as it
+    comes, so the positions of a frequent string are never held together.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    string, best, seen, number = b"", 0, 0, 0
+    string, best, seen, number, before = b"", 0, 0, 0, (0, 0)
 
-    def flush(edge):
+    def flush(edge, after):
         for ids, positions in held:
-            yield ids, positions, best, edge, number
+            yield ids, positions, best, edge, number, (*before, *after)
         held.clear()
 
     for s, p, ids, positions in entries:
         if seen and p == len(s) == len(string):
             best = len(s)
-            yield from flush(0)
-            yield ids, positions, best, 0, number
+            yield from flush(0, (0, 0))
+            yield ids, positions, best, 0, number, (*before, 0, 0)
             seen += len(ids)
             continue
+        pair = (0, 0)
         if seen:
             best = max(best, p)
-            yield from flush(0 if number else 1)
+            pair = (p, common_prefix(string[first:], s[first:], 0)) if p < first else (0, 0)
+            yield from flush(0 if number else 1, pair)
             number += 1
         else:
             ends.append(s)
-        string, seen = s, len(ids)
+        string, seen, before = s, len(ids), pair
         best = len(s) if seen > 1 else p
         held.append((ids, positions))
     if seen:
         ends.append(string)
-        yield from flush(2 if number else 3)
+        yield from flush(2 if number else 3, (0, 0))
 
 
 # ---------------------------------------------------------------- the distributed sort
 
-def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expected: int) -> DataFrame:
-    """``(text_id, pos, best, string_id)``: for each string of ``rows``, the longest prefix shared with any other.
+def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expected: int, first: int) -> DataFrame:
+    """``(text_id, pos, best, string_id, pairs)``: for each string of ``rows``, the longest prefix shared with any other.
 
-    Equal strings have equal ``string_id``.
+    Equal strings have equal ``string_id``. ``pairs`` holds what a string shares
+    with its neighbours, in its ``first`` bytes and behind (see :func:`longest_shared`).
 
     ``strings`` makes the strings of one row (a dict of its columns);
     ``expected`` is about how many there are in all.
@@ -313,19 +322,19 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
     def merged(batches):
         def emit(dest, blocks):
             ends: list[bytes] = []
-            out = longest_shared(merge([Run(b) for b in blocks]), ends)
+            out = longest_shared(merge([Run(b) for b in blocks]), ends, first)
             got, n = [], 0
             for item in out:
                 got.append(item)
                 n += len(item[0])
-                if n > 50_000:
+                if n > 20_000:
                     yield result(dest, got)
                     got, n = [], 0
             if got:
                 yield result(dest, got)
-            yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([dest, dest], pa.int32()), pa.array([0, 0], pa.int64()), pa.array(ends, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([dest, dest], pa.int32()), pa.array([0, 0], pa.int64()), pa.nulls(2, pa.list_(pa.int32())), pa.array(ends, pa.binary())], names)
 
-        names = ["text_id", "pos", "best", "edge", "dest", "string_id", "string"]
+        names = ["text_id", "pos", "best", "edge", "dest", "string_id", "pairs", "string"]
 
         def result(dest, got):
             sizes = [len(g[0]) for g in got]
@@ -333,7 +342,9 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
             return pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got])),
                 pa.array(np.repeat(np.array([g[2] for g in got], np.int32), sizes)), pa.array(np.repeat(np.array([g[3] for g in got], np.int32), sizes)),
-                pa.array(np.full(n, dest, np.int32)), pa.array(np.repeat(np.array([(dest << 32) + g[4] for g in got], np.int64), sizes)), pa.nulls(n, pa.binary())], names)
+                pa.array(np.full(n, dest, np.int32)), pa.array(np.repeat(np.array([(dest << 32) + g[4] for g in got], np.int64), sizes)),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), pa.array(np.repeat(np.array([g[5] for g in got], np.int32), sizes, axis=0).ravel())),
+                pa.nulls(n, pa.binary())], names)
 
         now, run, blocks = None, None, []
         for batch in batches:
@@ -351,7 +362,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
 
     exchanged = (rows.mapInArrow(runs, "dest int, run long, seq int, block binary")
                  .repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest", "run", "seq"))
-    found = materialize(exchanged.mapInArrow(merged, "text_id long, pos int, best int, edge int, dest int, string_id long, string binary"), "shared")
+    found = materialize(exchanged.mapInArrow(merged, "text_id long, pos int, best int, edge int, dest int, string_id long, pairs array<int>, string binary"), "shared")
     ends = sorted((r["dest"], r["edge"], bytes(r["string"])) for r in found.filter("string is not null").select("dest", "edge", "string").collect())
     across = []  # two strings per range
     for (d1, _, last), (d2, _, first) in zip(ends[1::2], ends[2::2]):
@@ -363,7 +374,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
             F.max(F.expr("if(e = 1, p, 0)")).alias("before"), F.max(F.expr("if(e = 2, p, 0)")).alias("after"))
         rows_out = rows_out.join(edges, "dest", "left").withColumn("best", F.greatest(
             "best", F.expr("if(edge in (1, 3), before, 0)"), F.expr("if(edge in (2, 3), after, 0)")))
-    return rows_out.select("text_id", "pos", "best", "string_id")
+    return rows_out.select("text_id", "pos", "best", "string_id", "pairs")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -437,40 +448,43 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
             left = mirrored[n - a:n - a + reach]
             yield (left + text[a:a + length] if len(left) == reach else left), row["text_id"], a
 
-    by_right = shared_prefixes(texts.select("text_id", "text", "pos"), right_first, expected).withColumnRenamed("best", "r")
-    by_left = shared_prefixes(texts.select("text_id", "text", "pos"), left_first, expected).select("text_id", "pos", F.col("best").alias("l"))
+    by_right = shared_prefixes(texts.select("text_id", "text", "pos"), right_first, expected, length).select("text_id", "pos", "string_id", F.col("best").alias("r"), F.col("pairs").alias("rp"))
+    by_left = shared_prefixes(texts.select("text_id", "text", "pos"), left_first, expected, reach).select("text_id", "pos", F.col("best").alias("l"), F.col("pairs").alias("lp"))
+    # Offsets known to be repeated: what the two sorts prove, and what a neighbour in either order shares on both sides.
+    known = F.expr(f"""array_sort(filter(array(
+        named_struct('lo', 0, 'hi', r - {length}),
+        named_struct('lo', if(l >= {reach} + {gram}, {2 * length - gram} - l, {length}), 'hi', {reach}),
+        named_struct('lo', {length} - rp[0], 'hi', rp[1]), named_struct('lo', {length} - rp[2], 'hi', rp[3]),
+        named_struct('lo', {length} - lp[1], 'hi', lp[0]), named_struct('lo', {length} - lp[3], 'hi', lp[2])), s -> s.lo <= s.hi))""")
     both = materialize(by_right.join(by_left, ["text_id", "pos"]).select(
-        "text_id", "pos", "string_id",
-        F.expr(f"least(r, {length})").alias("right"), F.expr(f"least(l, {reach})").alias("left"),
-        F.expr(f"r - {length}").alias("near"),  # offsets up to this are repeated
-        F.expr(f"if(l >= {reach} + {gram}, {2 * length - gram} - l, {reach} + 1)").alias("far"),  # and from this up to reach
-    ), "extents")
-    spans = both.filter("near >= 0").select("text_id", (F.col("pos") - F.col("near")).alias("lo"), F.col("pos").alias("hi")).union(
-        both.filter(f"far <= {reach}").select("text_id", (F.col("pos") - reach).alias("lo"), (F.col("pos") - F.col("far")).alias("hi")))
-
-    # Offsets that neither sort has decided; their possible partners are the anchors with the same gram.
+        "text_id", "pos", "string_id", F.expr(f"least(r, {length})").alias("right"), F.expr(f"least(l, {reach})").alias("left"), known.alias("known"))
+        .withColumn("lo", F.expr(f"aggregate(known, {length} - right, (at, s) -> if(s.lo <= at, greatest(at, s.hi + 1), at))"))
+        .withColumn("hi", F.expr("aggregate(reverse(array_sort(transform(known, s -> named_struct('hi', s.hi, 'lo', s.lo)))), left, (at, s) -> if(s.hi >= at, least(at, s.lo - 1), at))")), "extents")
+    spans = both.select("text_id", "pos", F.explode("known").alias("k")).select("text_id", (F.col("pos") - F.col("k.hi")).alias("lo"), (F.col("pos") - F.col("k.lo")).alias("hi"))
+
+    # The offsets from lo to hi are undecided; their possible partners are the anchors with the same gram.
     # Anchors with equal bytes all around have equal windows: one of them stands for all (the others are decided).
-    lo, hi = f"greatest({length} - right, near + 1)", "least(left, far - 1)"
-    undecided = both.filter(f"{lo} <= {hi}")
+    undecided = both.filter("lo <= hi")
     if not undecided.isEmpty():
         grams = materialize(each.join(repeated, "gram"), "grams")
-        asked = undecided.join(grams, ["text_id", "pos"]).groupBy("gram").agg(F.min(F.expr(lo)).alias("lo"), F.max(F.expr(hi)).alias("hi"))
+        asked = undecided.join(grams, ["text_id", "pos"]).groupBy("gram").agg(F.min("lo").alias("from"), F.max("hi").alias("to"))
         alike = [F.expr(f"if(right >= {length}, {a}, {b})") for a, b in (("string_id", "-1L"), ("0L", "text_id"), ("0", "pos"))]  # at a text's end only the right side is compared
         stand_ins = (both.filter(f"{length} - right <= left").groupBy(*alike)
                      .agg(F.min(F.struct("text_id", "pos", "left", "right")).alias("m")).select("m.*"))
         windows = (stand_ins.join(grams, ["text_id", "pos"]).join(asked, "gram")
-                   .select("text_id", "pos", F.expr(f"greatest(lo, {length} - right)").alias("lo"), F.expr("least(hi, left)").alias("hi")).filter("lo <= hi")
-                   .groupBy("text_id").agg(F.collect_list(F.struct(F.expr("pos - hi").alias("lo"), F.expr("pos - lo").alias("hi"))).alias("w")))
+                   .select("text_id", "pos", F.expr(f"greatest(`from`, {length} - right)").alias("lo"), F.expr("least(`to`, left)").alias("hi")).filter("lo <= hi")
+                   .groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(F.expr("pos - hi").alias("lo"), F.expr("pos - lo").alias("hi")))).alias("w")))
         asked_texts = materialize(texts.select("text_id", "text").join(windows.hint("shuffle_hash"), "text_id"), "open")
-        n_windows = asked_texts.agg(F.sum(F.expr("aggregate(w, 0L, (s, x) -> s + x.hi - x.lo + 1)"))).first()[0] or 0
+        n_windows = asked_texts.agg(F.sum(F.expr(
+            "aggregate(w, named_struct('at', -1, 'n', 0), (s, x) -> named_struct('at', greatest(s.at, x.hi), 'n', s.n + greatest(0, x.hi - greatest(x.lo - 1, s.at))), s -> s.n)"))).first()[0] or 0
 
         def window_strings(row):
             text = row["text"]
             for lo, hi in merged_ranges([(w["lo"], w["hi"]) for w in row["w"]]):
-                for s in range(max(lo, 0), min(hi, len(text) - length) + 1):
+                for s in range(lo, hi + 1):
                     yield text[s:s + length], row["text_id"], s
 
-        single = shared_prefixes(asked_texts, window_strings, n_windows).filter(F.col("best") >= length)
+        single = shared_prefixes(asked_texts, window_strings, n_windows, length).filter(F.col("best") >= length)
         spans = spans.union(single.select("text_id", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
 
     starts = materialize(spans.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts")), "starts")
