@@ -17,13 +17,13 @@ window has any padding.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +31,13 @@ from basketlens.session import materialize
 
 #: Tokens aimed at per shard (a shard is packed in one task: 2 bytes a token).
 SHARD_TOKENS = 1 << 21
-#: Words, and parts of words, whose ids a tokenizing task remembers from one batch to the next.
-CACHE_WORDS = 1 << 19
-#: A word of Latin letters (lower case, composed) with punctuation around: its parts are tokens apart from each other.
-#: (An apostrophe before letters can be part of a token.)
-PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zà-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
-#: Stands between words that are tokenised together; a word that holds it is tokenised alone.
-MARK = "\U0001f384"
+#: Parts of words whose ids a tokenizing task remembers from one batch to the next.
+CACHE_PARTS = 1 << 20
+#: Bytes of text that are tokenised together.
+TEXT_BYTES = 8 << 20
+#: A word of Latin letters with punctuation around: its parts are tokens apart from each other. (An apostrophe
+#: before letters can be part of a token; the dotted capital I becomes two characters in lower case.)
+PARTS = r"^(?P<lead>[!-&(-/:-@\[-`{-~]*)(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
 
 class WordTokenizer:
@@ -45,8 +45,9 @@ class WordTokenizer:
 
     For a tokenizer that lower-cases, never joins what a blank or line feed
     separates, and cuts a word between letters and punctuation: a text's ids
-    are then its words' ids in a row, and each word is tokenised once, whatever
-    its case or punctuation.
+    are then its words' ids in a row, and a word's those of its parts. Distinct
+    parts are tokenised once; texts are put together from them by array
+    operations.
     """
 
     def __init__(self, path: str):
@@ -54,53 +55,100 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit numbers."""
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-        words, parts = self.words, self.parts
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: dict[str, tuple[str, ...]] = {}
-        for w in {w for ws in split for w in ws if w not in words}:
-            m = PARTS.fullmatch(w.lower()) if "<|" not in w else None  # may hold a special token
-            new[w] = m.groups() if m else (w,)
-        wanted = list({p for ps in new.values() for p in ps if p not in parts})
-        for at in range(0, len(wanted), 2000):
-            chunk = wanted[at:at + 2000]
-            parts.update(zip(chunk, self._encode(chunk)))
-        for w, ps in new.items():
-            words[w] = b"".join([parts[p] for p in ps])
-        return [b"".join([words[w] for w in ws]) for ws in split]
-
-    def _encode(self, chunk: list[str]) -> list[bytes]:
-        plain = [p for p in chunk if MARK not in p and "<|" not in p] if self.mark is not None else []
-        known: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, "<u2")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw = ids.tobytes()
-            starts = [0, *(e + 1 for e in ends[:-1])]
-            if len(ends) == len(plain):
-                known = dict(zip(plain, [raw[2 * a:2 * b] for a, b in zip(starts, ends)]))
-        return [known[p] if p in known else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in chunk]
+        #: Whether an id ends a word. (A part of a word is one word to the tokenizer: its last id shows its end.)
+        self.ends = np.zeros(1 << 16, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Part -> number; the ids of part k are flat[first[k]:first[k + 1]]. Part 0 is empty.
+        self.number, self.flat, self.first = {"": 0}, np.empty(0, "<u2"), np.zeros(2, np.int64)
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokenizer:
+        """The tokenizer of this Python worker, which serves many tasks: what it has learned stays."""
+        import tokenizers
+        kept = vars(tokenizers).setdefault("_of_worker", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _numbers(self, strings: pa.Array, parts: bool) -> np.ndarray:
+        """Numbers of strings, which are tokenised if new; ``parts``: each is a single word to the tokenizer."""
+        strings = strings.dictionary_encode()
+        distinct = strings.dictionary.to_pylist()
+        new = [s for s in distinct if s not in self.number]
+        ids, sizes = [self.flat], []
+        for at in range(0, len(new), 4096):
+            chunk = new[at:at + 4096]
+            if parts:
+                got = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, "<u2")
+                ids.append(got)
+                sizes.append(np.diff(np.flatnonzero(self.ends[got]) + 1, prepend=0))
+                assert len(sizes[-1]) == len(chunk)
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False)]
+                ids += [np.array(g, "<u2") for g in got]
+                sizes.append(np.array([len(g) for g in got], np.int64))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.flat = np.concatenate(ids)
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[strings.indices.to_numpy()]
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit numbers (null: none)."""
+        if len(self.number) > CACHE_PARTS:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary
+        found = pc.extract_regex(distinct, PARTS)
+        plain = pc.and_(found.is_valid(), pc.invert(pc.match_substring(distinct, "<|")))  # that may open a special token
+        chosen, numbers = plain.to_numpy(zero_copy_only=False), np.zeros((len(distinct), 3), np.int64)
+        inner = found.filter(plain)
+        for k, part in enumerate((inner.field("lead"), pc.utf8_lower(inner.field("core")), inner.field("tail"))):
+            numbers[chosen, k] = self._numbers(part, True)
+        numbers[~chosen, 0] = self._numbers(distinct.filter(pc.invert(plain)), False)
+        flat, sizes = _gathered(self.flat, self.first[:-1][numbers].ravel(), np.diff(self.first)[numbers].ravel())
+        size = sizes.reshape(-1, 3).sum(axis=1)
+        which = words.indices.to_numpy()
+        flat, sizes = _gathered(flat, (np.cumsum(size) - size)[which], size[which])
+        ends = np.append(0, np.cumsum(sizes))[split.offsets.to_numpy() - split.offsets[0].as_py()] * 2
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ``flat[start:start + size]`` one after another, and their sizes."""
+    shift = starts - (np.cumsum(sizes) - sizes)
+    return flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, n_tokens, ids)``: ids are 16-bit, with the end id (a null text has the end id only)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = WordTokenizer(tokenizer_path), np.array([end_id], "<u2").tobytes()
+        tokenizer, end = WordTokenizer.of_worker(tokenizer_path), np.array([end_id], "<u2").tobytes()
+        held, size = [], 0
+
+        def out():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = [b + end for chunk in rows.column(2).chunks for b in tokenizer.texts(chunk)]
+            done = pa.table([rows.column(0), rows.column(1), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
+            held.clear()
+            return done.to_batches()
+
         for batch in batches:
-            ids = [b + end for b in tokenizer.texts([t or "" for t in batch.column(2).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
+            held.append(batch)
+            size += batch.nbytes
+            if size > TEXT_BYTES:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, document long, source string, n_tokens long, ids binary")
+        run, "doc_id long, source string, n_tokens long, ids binary")
 
 
 def window_sizes(tokens: int, window: int) -> list[int]:
@@ -109,7 +157,7 @@ def window_sizes(tokens: int, window: int) -> list[int]:
     return [window] * (tokens // window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def deficit_round_robin(queues: list[list[tuple[int, int]]], shares: list[float], deficits: list[float], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def deficit_round_robin(queues: list[list[tuple[int, int]]], shares: list[float], deficits: list[float], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, window number, offset)`` that serve all queues.
 
     ``queues``: per source its documents ``(document, tokens)`` in order;
@@ -118,38 +166,44 @@ def deficit_round_robin(queues: list[list[tuple[int, int]]], shares: list[float]
     """
     left = [sum(n for _, n in q) for q in queues]
     at, done = [0] * len(queues), [0] * len(queues)
+    pieces: list[tuple[int, int, int, int, int]] = []
+
+    def serve(k: int, tokens: int, number: int, offset: int) -> int:
+        """The next tokens of queue k go into a window; returns the window's new offset."""
+        left[k] -= tokens
+        deficits[k] -= tokens
+        queue, i, start = queues[k], at[k], done[k]
+        while tokens:
+            doc, n = queue[i]
+            piece = n - start
+            if piece > tokens:
+                pieces.append((doc, start, tokens, number, offset))
+                offset += tokens
+                start += tokens
+                break
+            pieces.append((doc, start, piece, number, offset))
+            offset += piece
+            tokens -= piece
+            i, start = i + 1, 0
+        at[k], done[k] = i, start
+        return offset
+
+    waiting = [k for k in range(len(queues)) if left[k]]
     for number, size in enumerate(window_sizes(sum(left), window)):
-        waiting = [k for k in range(len(queues)) if left[k]]
         for k in waiting:
             deficits[k] += shares[k] * size
         first, offset = number % len(waiting), 0
         for k in waiting[first:] + waiting[:first]:  # the visit of each source
-            for piece in _serve(k, min(math.ceil(max(deficits[k], 0)), size - offset), queues, left, at, done, deficits):
-                yield *piece, number, offset
-                offset += piece[2]
+            tokens = min(math.ceil(deficits[k]), left[k], size - offset)
+            if tokens > 0:
+                offset = serve(k, tokens, number, offset)
         while offset < size:  # queues ran dry, or sources are ahead: those owed most serve ahead of their turn
             waiting = [k for k in waiting if left[k]]
             k = max(waiting, key=lambda k: deficits[k])
             part = shares[k] / (sum(shares[j] for j in waiting) or 1.0)
-            for piece in _serve(k, max(1, math.ceil((size - offset) * part)), queues, left, at, done, deficits):
-                yield *piece, number, offset
-                offset += piece[2]
-
-
-def _serve(k: int, tokens: int, queues, left, at, done, deficits) -> Iterator[tuple[int, int, int]]:
-    """The next ``tokens`` tokens of queue k, or what it has: ``(document, start, length)``."""
-    tokens = min(tokens, left[k])
-    left[k] -= tokens
-    deficits[k] -= tokens
-    while tokens:
-        doc, n = queues[k][at[k]]
-        piece = min(tokens, n - done[k])
-        yield doc, done[k], piece
-        tokens -= piece
-        done[k] += piece
-        if done[k] == n:
-            at[k] += 1
-            done[k] = 0
+            offset = serve(k, min(left[k], max(1, math.ceil((size - offset) * part))), number, offset)
+        waiting = [k for k in waiting if left[k]]
+    return pieces
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None,
@@ -188,14 +242,17 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         queues: list[list[tuple[int, int]]] = [[] for _ in number]
         for doc, (source, n) in enumerate(zip(left["source"], left["n_tokens"])):
             queues[number[None if pd.isna(source) else source]].append((doc, int(n)))
-        ids = left["ids"].tolist()
-        pieces = list(deficit_round_robin(queues, right["share"].tolist(), right["owed"].tolist(), window))
-        doc, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces))
-        wide = [np.frombuffer(ids[d], "<u2")[s:s + n] for d, s, n in zip(doc, start, length)]
+        pieces = deficit_round_robin(queues, right["share"].tolist(), right["owed"].tolist(), window)
+        doc, start, length, seq, offset = np.array(pieces, np.int64).T
+        sizes = left["n_tokens"].to_numpy(np.int64)
+        narrow = b"".join(left["ids"])  # of the whole shard, in the documents' order
+        wide = memoryview(np.frombuffer(narrow, "<u2").astype("<u4").tobytes())
+        begin = (np.cumsum(sizes) - sizes)[doc] + start
+        cuts = list(zip(begin.tolist(), (begin + length).tolist()))
         return pd.DataFrame({
             "doc_id": left["doc_id"].array[doc], "document": left["row"].to_numpy()[doc], "source": left["source"].array[doc], "start": start, "length": length,
-            "ids_crc32": [zlib.crc32(w.astype("<u4").tobytes()) for w in wide], "doc_tokens": left["n_tokens"].to_numpy()[doc],
-            "sequence_id": (shard << 32) + seq, "offset": offset, "ids": [w.tobytes() for w in wide]})
+            "ids_crc32": [zlib.crc32(wide[4 * a:4 * b]) for a, b in cuts], "doc_tokens": sizes[doc],
+            "sequence_id": (shard << 32) + seq, "offset": offset, "ids": [narrow[2 * a:2 * b] for a, b in cuts]})
 
     left = dealt.select("shard", F.xxhash64("doc_id", F.lit(seed + 1)).alias("place"), "row", "doc_id", "source", "n_tokens", "ids")
     return left.groupBy("shard").cogroup(owed.groupBy("shard")).applyInPandas(

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +25,8 @@ def test_word_ids_are_text_ids():
     rng = random.Random(0)
     bits = list("aB'sStéÉßΣσİıǅ²½٣ \n\t\r.,!-_<|>一é́\x1c 　Ａ🎄") + ["<|endoftext|>", "<|startoftext|>", "'s", "n't", "!!", "***", "re", "'ll "]
     texts = ["".join(rng.choices(bits, k=rng.randrange(0, 25))) for _ in range(5000)]
-    got = packing.WordTokenizer(PATH).texts(texts)
+    texts += [chr(c) + x for c in range(0x20, 0x250) for x in ("", "a", "B.")]
+    got = packing.WordTokenizer(PATH).texts(pa.array(texts))
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == reference_ids(texts)
 
 
