@@ -83,6 +83,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL cannot express minimum cuts (op1), anchors and merges over whole texts at bearable cost (op3), robust
 #: estimates (op4), trained models (op6, op7), a tokenizer (op9) or XXH64 (op10): those are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH sized AS MATERIALIZED (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, source_size * CAST(2 AS DOUBLE) AS cap,
+         CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS total FROM sizes),
+weighed AS (SELECT *, CAST([3, 1, 2][CAST((k - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w FROM ranked),
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS u FROM weighed
+  WINDOW up AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sources AS MATERIALIZED (
+  SELECT source, source_size, k, greatest(1, CAST(ceil(sqrt(source_size) / 32) AS BIGINT)) AS shards,
+         least(cap, coalesce((SELECT u FROM levels WHERE u * w <= cap ORDER BY cap / w, k LIMIT 1) * w, cap)) AS target FROM levels),
+placed AS MATERIALIZED (
+  SELECT d.*, s.source_size, s.target, s.k, CAST('0x' || substr(md5(concat_ws('/', '42', CAST(d.doc_id AS VARCHAR))), 1, 12) AS BIGINT) % s.shards AS shard
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+shards AS MATERIALIZED (
+  SELECT source, k, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / 64) AS BIGINT) AS blocks,
+         max(source_size) AS source_size, max(target) AS target FROM placed GROUP BY source, k, shard),
+votes AS MATERIALIZED (
+  SELECT k, CASE WHEN max(source_size) > 0 THEN max(target) * CAST(sum(blocks) AS DOUBLE) / max(source_size) ELSE 0 END AS votes FROM shards GROUP BY k),
+source_quotients AS (SELECT k, votes / (2 * unnest(range(CAST(ceil(votes) AS BIGINT) + 50)) + 1) AS q FROM votes WHERE votes > 0),
+source_seats AS MATERIALIZED (
+  SELECT k, count(*) AS seats FROM (SELECT k, row_number() OVER (ORDER BY q DESC, k) AS place FROM source_quotients)
+  WHERE place <= (SELECT round(sum(votes)) FROM votes) GROUP BY k),
+shard_quotients AS (
+  SELECT s.k, s.shard, t.seats, s.blocks / (2 * unnest(range(2 * s.blocks + 2)) + 1) AS q
+  FROM shards s JOIN source_seats t ON s.k = t.k WHERE s.blocks > 0),
+quotas AS MATERIALIZED (
+  SELECT k, shard, count(*) AS given FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY q DESC, shard) AS place FROM shard_quotients)
+  WHERE place <= seats GROUP BY k, shard),
+all_blocks AS (
+  SELECT s.source, s.k, s.shard, s.blocks, q.given, unnest(range(s.blocks)) AS block FROM shards s JOIN quotas q ON s.k = q.k AND s.shard = q.shard),
+taken AS MATERIALIZED (
+  SELECT k, shard, block, least(2, given // blocks + CASE WHEN row_number() OVER (
+           PARTITION BY k, shard ORDER BY md5(concat_ws('/', '42', source, CAST(shard AS VARCHAR), CAST(block AS VARCHAR))), block) <= given % blocks
+         THEN 1 ELSE 0 END) AS copies FROM all_blocks),
+laid AS (
+  SELECT p.*, s.shard_size, s.blocks, CAST(sum(p.size) OVER (
+           PARTITION BY p.k, p.shard ORDER BY md5(concat_ws('/', '43', CAST(p.doc_id AS VARCHAR))), p.doc_id, p.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop, row_number() OVER () AS place
+  FROM placed p JOIN shards s ON p.k = s.k AND p.shard = s.shard),
+parts AS (
+  SELECT *, stop - size AS start, unnest(range((stop - size) * blocks // shard_size, (stop - 1) * blocks // shard_size + 1)) AS block
+  FROM laid WHERE size > 0),
+cut AS (
+  SELECT p.place, sum((least(stop, ((p.block + 1) * shard_size + blocks - 1) // blocks)
+                       - greatest(start, (p.block * shard_size + blocks - 1) // blocks)) * copies) AS taken
+  FROM parts p JOIN taken t ON p.k = t.k AND p.shard = t.shard AND p.block = t.block GROUP BY p.place)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM laid LEFT JOIN cut USING (place)""",
     "op5_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

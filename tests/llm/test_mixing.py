@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -67,11 +68,16 @@ def check(frame, docs):
 
 
 def test_mix_of_documents(spark, sf_small):
-    from basketlens.llm.queries import op2_mix_sources
+    from basketlens.llm.queries import ORACLES, op2_mix_sources
     docs = pd.read_parquet(f"{sf_small}/documents.parquet")
     got = op2_mix_sources(spark, sf_small).toPandas()
     assert sorted(got.doc_id) == sorted(docs.doc_id)
     check(got, list(zip(docs.doc_id, docs.text, docs.source)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
+    want = con.execute(ORACLES["op2_mix_sources"]).fetchdf()
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, want[columns].values.tolist())) == sorted(map(tuple, got[columns].values.tolist()))
     again = op2_mix_sources(spark, sf_small).toPandas()
     assert got.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
 
