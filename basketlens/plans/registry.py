@@ -285,7 +285,7 @@ def restore_labels(spark, sf_dir):
     return decoded.select(S.PRODUCT, S.CLIENT, S.UNITS)
 
 
-def _als_parts(spark, sf_dir):
+def als_parts(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     clients, products = _both_labels(lines)
     triples = I.index_baskets(_ratings_by_label(lines), clients, products).select("prodNameIndex", "clientIndex", S.UNITS)
@@ -295,11 +295,11 @@ def _als_parts(spark, sf_dir):
 @query
 def als_split(spark, sf_dir):
     """M1: every rating with its part."""
-    return _als_parts(spark, sf_dir)[0]
+    return als_parts(spark, sf_dir)[0]
 
 
 def _users_for_items(spark, sf_dir):
-    parts, clients, products = _als_parts(spark, sf_dir)
+    parts, clients, products = als_parts(spark, sf_dir)
     fit = A.fit_als(parts, "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED)
     return fit, A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, products, S.PRODUCT, clients, S.CLIENT)
 
@@ -325,7 +325,7 @@ def als_list_shape(spark, sf_dir):
 @query
 def als_items_for_users(spark, sf_dir):
     """M6-M7 the other way: the 10 best products for every client."""
-    parts, clients, products = _als_parts(spark, sf_dir)
+    parts, clients, products = als_parts(spark, sf_dir)
     fit = A.fit_als(parts, "clientIndex", "prodNameIndex", S.UNITS, seed=ALS_SEED)
     return A.recommendations(fit, S.RECOMMENDATIONS_PER_KEY, clients, S.CLIENT, products, S.PRODUCT)
 
@@ -333,7 +333,7 @@ def als_items_for_users(spark, sf_dir):
 @query
 def als_rmse(spark, sf_dir):
     """M4-M5: held-out RMSE with train/test sizes (one row)."""
-    parts, _, _ = _als_parts(spark, sf_dir)
+    parts, _, _ = als_parts(spark, sf_dir)
     return A.rmse(A.fit_als(parts, "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED))
 
 

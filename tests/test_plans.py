@@ -32,3 +32,36 @@ def test_plan_shape(spark, sf_small, name):
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         if "l_orderkey" in schema:
             assert len(schema.split(",")) <= 4, schema
+
+
+def _plans_run(spark, build):
+    """The physical plans of every job that ``build`` runs while it makes its frame."""
+    seen = []
+    write = type(spark.range(0).write).parquet
+
+    def parquet(self, path, *a, **k):
+        seen.append(_plan(self._df))
+        return write(self, path, *a, **k)
+
+    type(spark.range(0).write).parquet = parquet
+    try:
+        build()
+    finally:
+        type(spark.range(0).write).parquet = write
+    return seen
+
+
+@pytest.mark.parametrize("name", ["frequency_index_product", "indexed_baskets", "lazy_walk_rank", "pagerank", "als_split", "totals_by_client"])
+def test_plans_of_the_steps_before(spark, sf_small, name):
+    """Index fit, rank steps, rating split: no product, no nested loop, no window over all rows in one task."""
+    plans = _plans_run(spark, lambda: QUERIES[name](spark, sf_small))
+    assert plans
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
+            if "l_orderkey" in schema:
+                assert len(schema.split(",")) <= 4, schema
+    if name in ("lazy_walk_rank", "pagerank"):
+        assert any("bucketed" in p.lower() or "Bucketed: true" in p for p in plans)
+    if name in ("indexed_baskets", "als_split", "totals_by_client"):
+        assert sum("l_orderkey" in p for p in plans) == 1  # the lines are read once before the result
