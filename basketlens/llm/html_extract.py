@@ -62,13 +62,19 @@ def element_score(tag: str, attrs: str, inherited: float) -> float:
         return inherited  # nothing inside boilerplate is content
     if tag in BOILERPLATE or tag == "header" and inherited <= 0:
         return -STRUCTURE
-    if attrs:
-        words = {w for m in MARKS.findall(attrs) for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower())}
-        if words & BOILERPLATE_WORDS and tag not in ("body", "html"):
+    if tag in CONTENT:
+        return max(inherited, IN_CONTENT)
+    if attrs and tag not in ("body", "html"):
+        words = set()
+        for name in " ".join(m.strip("\"'") for m in MARKS.findall(attrs)).split():
+            parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if parts[0] not in ("with", "has", "no", "is", "without"):  # says something about a whole page
+                words.update(parts)
+        if words & BOILERPLATE_WORDS or "header" in words and inherited <= 0:
             return -MARK
-        if words & CONTENT_WORDS and tag != "body":
+        if words & CONTENT_WORDS:
             return max(inherited, IN_CONTENT)
-    return max(inherited, IN_CONTENT) if tag in CONTENT else inherited
+    return inherited
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -26,6 +26,11 @@ def test_without_article_element():
     assert hx.main_blocks(page) == ["Heading of it", P1, "Short one.", P2]
 
 
+def test_marks_of_a_whole_page_are_not_its_parts():
+    page = f'<body class="has-sidebar"><div class="with-sidebar no-ads"><div id="pageHeader">Site name</div><div class="entry"><div class="entry-header"><h1>Title here</h1></div><p>{P1}</p></div><div class="side sidebar-right"><p>{P2}</p></div></div>'
+    assert hx.main_blocks(page) == ["Title here", P1]
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<<<>>>", "<p", "<script>never closed <p>x", "<!-- open", "<a href='x", "</div></div>", "&#xZZ;&#0;", "<div " + "a='" * 50, "<p>" * 3000])
 def test_broken_pages_do_not_crash(page):
     hx.main_blocks(page)
