@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return the memory of a finished task to the system: its Python worker stays, for other tasks."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of each string of an Arrow column (null: empty)."""
     for value in column.cast(pa.binary()):

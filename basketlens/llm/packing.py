@@ -27,14 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import give_back
 from basketlens.session import materialize
 
 #: Tokens aimed at per shard (a shard is packed in one task: 2 bytes a token).
 SHARD_TOKENS = 1 << 21
 #: Parts of words whose ids a tokenizing task remembers from one batch to the next.
-CACHE_PARTS = 1 << 20
+CACHE_PARTS = 1 << 19
 #: Bytes of text that are tokenised together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 #: A word of Latin letters with punctuation around: its parts are tokens apart from each other. (An apostrophe
 #: before letters can be part of a token; the dotted capital I becomes two characters in lower case.)
 PARTS = r"^(?P<lead>[!-&(-/:-@\[-`{-~]*)(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
@@ -67,7 +68,7 @@ class WordTokenizer:
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokenizer:
-        """The tokenizer of this Python worker, which serves many tasks: what it has learned stays."""
+        """The tokenizer of this Python worker, which serves many tasks: the parts that it knows stay."""
         import tokenizers
         kept = vars(tokenizers).setdefault("_of_worker", {})
         if path not in kept:
@@ -147,6 +148,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
                 size = 0
         if held:
             yield from out()
+        give_back()
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, source string, n_tokens long, ids binary")
 

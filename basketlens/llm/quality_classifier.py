@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import give_back
+
 #: Labelled and unlabelled rows that the fit takes at most.
 FIT_ROWS, POOL_ROWS = 6000, 4000
 #: Rounds of co-training; share of the pool that a view labels for the other in a round.
@@ -233,4 +235,5 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", sour
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in (text_col, source_col, lang_col))))
             yield batch.filter(pa.array(_scores(model, rows, threshold)[3]))
+        give_back()
     return docs.mapInArrow(run, docs.schema)

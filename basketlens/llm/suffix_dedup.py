@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import column_bytes
+from basketlens.llm.common import column_bytes, give_back
 from basketlens.session import materialize
 
 #: Bytes of the strings by which anchors are chosen and matched first.
@@ -318,6 +318,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
                         size, number = 0, number + 1
         if held:
             yield close()
+        give_back()
 
     def merged(batches):
         def emit(dest, blocks):
@@ -359,6 +360,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
                 blocks[-1].append(block)
         if blocks:
             yield from emit(now, blocks)
+        give_back()
 
     exchanged = (rows.mapInArrow(runs, "dest int, run long, seq int, block binary")
                  .repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest", "run", "seq"))
@@ -412,7 +414,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     copies = found.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     firsts = found.join(copies.select("row", "copies"), "row")
     each = firsts.select(F.col("row").alias("text_id"), "sha", "copies", F.explode(F.arrays_zip("pos", "gram")).alias("a")).select("text_id", "a.pos", "a.gram")
-    repeated = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # a table of its own: a join of two shuffled sides can split a gram that very many texts share
+    repeated = materialize(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     shared = each.join(repeated, "gram").groupBy("text_id").agg(F.collect_list(F.struct("pos", "gram")).alias("at"))
     listed = shared.join(firsts.select(F.col("row").alias("text_id"), "sha"), "text_id")
 
