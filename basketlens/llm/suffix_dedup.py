@@ -366,7 +366,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
                  .repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest", "run", "seq"))
     found = materialize(exchanged.mapInArrow(merged, "text_id long, pos int, best int, edge int, dest int, string_id long, pairs array<int>, string binary"), "shared")
     ends = sorted((r["dest"], r["edge"], bytes(r["string"])) for r in found.filter("string is not null").select("dest", "edge", "string").collect())
-    across = []  # two strings per range
+    across = []  # two rows per range: a bound known before, so they are broadcast
     for (d1, _, last), (d2, _, first) in zip(ends[1::2], ends[2::2]):
         p = common_prefix(last, first, 0)
         across += [(d1, 2, p), (d2, 1, p)]
@@ -374,7 +374,7 @@ def shared_prefixes(rows: DataFrame, strings: Callable[[dict], Strings], expecte
     if across:
         edges = spark.createDataFrame(across, "d int, e int, p int").groupBy(F.col("d").alias("dest")).agg(
             F.max(F.expr("if(e = 1, p, 0)")).alias("before"), F.max(F.expr("if(e = 2, p, 0)")).alias("after"))
-        rows_out = rows_out.join(edges, "dest", "left").withColumn("best", F.greatest(
+        rows_out = rows_out.join(F.broadcast(edges), "dest", "left").withColumn("best", F.greatest(
             "best", F.expr("if(edge in (1, 3), before, 0)"), F.expr("if(edge in (2, 3), after, 0)")))
     return rows_out.select("text_id", "pos", "best", "string_id", "pairs")
 
