@@ -360,7 +360,7 @@ def configured_ratings_30(spark, sf_dir):
 
 @query
 def configured_graph_d_10(spark, sf_dir):
-    """DataFrame graph, 10 x 10, product names by ticket: G5 over the selection."""
+    """DataFrame graph, 10 x 10, product names by client (the default link; few tickets are shared): G5 over the selection."""
     return G.vertex_out_links(_top(spark, sf_dir, S.GRAPH_D_TOP)[0], S.PRODUCT, S.CLIENT)
 
 
