@@ -13,7 +13,7 @@ from basketlens.plans.registry import QUERIES
 # Exact top-k for every key scores every (user, item) pair: the ALS library
 # does it as a blocked product of factor blocks keeping k rows per key and
 # block. That is the only cartesian product allowed.
-ALS_TOP_K = {"als_users_for_items", "als_items_for_users"}
+ALS_TOP_K = {"als_users_for_items", "als_items_for_users", "als_list_shape"}
 
 
 def _plan(df) -> str:
