@@ -2,10 +2,11 @@
 
 A document that fails a base rule goes. The others become vectors of six
 transformed statistics. For each (language, source) a minimum-covariance-
-determinant estimate gives centre and scatter: from a start by medians and
-median deviations, concentration steps refit both to the three quarters of the
-group nearest to the estimate. A document whose Mahalanobis distance exceeds a
-chi-square quantile is an outlier and goes.
+determinant estimate gives centre and scatter: from three deterministic starts,
+concentration steps refit both to the half of the group nearest to the estimate
+until its edge stops moving, and the result of least determinant counts. So
+junk may be nearly half of a group. A document whose Mahalanobis distance
+exceeds a chi-square quantile is an outlier and goes.
 
 Every step is an aggregation over all rows of a group, with partial sums, so a
 group of any size is spread over all tasks; no group is brought together.
@@ -14,12 +15,13 @@ group of any size is spread over all tasks; no group is brought together.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.session import materialize
@@ -40,8 +42,14 @@ FEATURES = [
     ("capitals", "n_upper / word_chars", 0.03),
 ]
 P = len(FEATURES)
-#: Share of a group that an estimate rests on; concentration steps; rows that an estimate needs.
-SUBSET, STEPS, LEAST_ROWS = 0.75, 4, 60
+#: Share of a group that an estimate rests on (the p + 1 rows more that keep a bare scatter
+#: regular are not needed: the floors do that); rows that an estimate needs.
+SUBSET, LEAST_ROWS = 0.5, 60
+#: Rank accuracy of an edge (1 / so much of the rows); relative move below which an edge stands
+#: still (above what the accuracy leaves open); fall of the log determinant that counts as one.
+EDGE_ACCURACY, STILL, FALL = 10_000, 1e-3, 1e-6
+#: Levels of the quantiles that starts are made from.
+LEVELS = [k / 20 for k in range(21)]
 #: Chance that a normal vector is called an outlier.
 TAIL = 1e-6
 WORDS_AT_ONCE = 1 << 20
@@ -114,23 +122,96 @@ CONSISTENCY = SUBSET / chi_square(chi_square_quantile(SUBSET, P), P + 2)
 CUTOFF = chi_square_quantile(1 - TAIL, P)
 
 
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+FLOOR = np.diag([f[2] ** 2 for f in FEATURES])
+STATE = "grp string, start int, centre array<double>, inverse array<double>, logdet double, edge double, moving boolean"
+
+
+def _symmetric(values: Iterable[float]) -> np.ndarray:
+    """A matrix from its upper triangle, in the order of ``PAIRS``."""
+    matrix = np.zeros((P, P))
+    for (i, j), v in zip(PAIRS, values):
+        matrix[i, j] = matrix[j, i] = v
+    return matrix
+
+
+def _products(vector: list[str], over: str = "1D") -> Column:
+    """Sums of the products of a vector's elements (SQL), in the order of ``PAIRS``."""
+    return F.array(*[F.expr(f"sum({vector[i]} * {vector[j]} / {over})") for i, j in PAIRS])
+
+
+def _starts(x: DataFrame) -> DataFrame:
+    """Three starts per group: medians and median deviations, the shortest half of
+    each feature, and the medians with the scatter of the rows' directions."""
+    middle = len(LEVELS) // 2
+    quantiles = x.groupBy("grp").agg(F.array(*[F.percentile_approx(F.col("x")[k], LEVELS, 1000) for k in range(P)]).alias("q"))
+    spread = materialize(x.join(quantiles, "grp").groupBy("grp").agg(
+        F.first("q").alias("q"), F.array(*[F.percentile_approx(F.abs(F.col("x")[k] - F.col("q")[k][middle]), 0.5, 1000) for k in range(P)]).alias("mad")), "spread")
+    z = x.join(spread, "grp").select("grp", "q", "mad", *[F.expr(f"(x[{k}] - q[{k}][{middle}]) / sqrt(pow(1.4826D * mad[{k}], 2) + {FEATURES[k][2] ** 2}D)").alias(f"z{k}") for k in range(P)])
+    z = z.withColumn("zz", F.expr("greatest(" + " + ".join(f"z{k} * z{k}" for k in range(P)) + ", 1e-12D)"))
+    signs = z.groupBy("grp").agg(F.first("q").alias("q"), F.first("mad").alias("mad"), F.count("*").alias("n"), _products([f"z{k}" for k in range(P)], "zz").alias("signs"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                q = np.array([list(v) for v in r.q])
+                width = q[:, middle:] - q[:, :middle + 1]
+                at = width.argmin(axis=1)
+                low, high = q[np.arange(P), at], q[np.arange(P), at + middle]
+                deviation = np.sqrt((1.4826 * np.array(r.mad)) ** 2 + np.diag(FLOOR))
+                directions = P * _symmetric(r.signs) / r.n + 0.01 * np.eye(P)
+                for start, (centre, scatter) in enumerate([
+                        (q[:, middle], np.diag(deviation ** 2)),
+                        ((low + high) / 2, np.diag(((high - low) * 0.7413) ** 2) + FLOOR),
+                        (q[:, middle], directions * np.outer(deviation, deviation))]):
+                    out.append((r.grp, start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), math.inf, math.inf, True))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "inverse", "logdet", "edge", "moving"])
+
+    return signs.mapInPandas(run, STATE)
+
+
 def _group_estimates(moments: DataFrame) -> DataFrame:
-    """Moments of the inner rows per group -> centre and the inverse of the floored scatter."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    floor = np.diag([f[2] ** 2 for f in FEATURES])
+    """Moments of the inner rows per group and start -> centre, the inverse and log determinant of the floored scatter.
 
+    An estimate moves on while its edge moves and its determinant falls. Each
+    step lowers the determinant, which the floors bound, so the steps end.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 mean = np.array(r.sums) / r.n
-                cov = np.zeros((P, P))
-                for (i, j), s in zip(pairs, r.products):
-                    cov[i, j] = cov[j, i] = s / r.n - mean[i] * mean[j]
-                out.append((r.grp, mean.tolist(), np.linalg.inv(CONSISTENCY * cov + floor).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "centre", "inverse"])
-
-    return moments.mapInPandas(run, "grp string, centre array<double>, inverse array<double>")
+                scatter = CONSISTENCY * (_symmetric(r.products) / r.n - np.outer(mean, mean)) + FLOOR
+                logdet = float(np.linalg.slogdet(scatter)[1])
+                moving = logdet < r.last_logdet - FALL and abs(r.edge - r.last_edge) > STILL * r.edge
+                out.append((r.grp, r.start, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), logdet, r.edge, moving))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "inverse", "logdet", "edge", "moving"])
+
+    return moments.mapInPandas(run, STATE)
+
+
+#: Squared Mahalanobis distance of ``x`` to ``centre``.
+DISTANCE = " + ".join(f"{1 if i == j else 2}D * inverse[{i * P + j}] * (x[{i}] - centre[{i}]) * (x[{j}] - centre[{j}])" for i, j in PAIRS)
+
+
+def _estimates(x: DataFrame) -> DataFrame:
+    """``grp, x`` -> per group the centre and inverse scatter of least determinant."""
+    state, settled = materialize(_starts(x), "estimate"), []
+    while True:
+        near = x.join(state.filter("moving").select("grp", "start", "centre", "inverse", F.col("logdet").alias("last_logdet"), F.col("edge").alias("last_edge")), "grp")
+        near = near.select("grp", "start", "x", "last_logdet", "last_edge", F.expr(DISTANCE).alias("d"))
+        edge = near.groupBy("grp", "start").agg(F.percentile_approx("d", SUBSET, EDGE_ACCURACY).alias("edge"))
+        inner = near.join(edge, ["grp", "start"]).filter("d <= edge")
+        moments = inner.groupBy("grp", "start").agg(
+            F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"), _products([f"x[{i}]" for i in range(P)]).alias("products"),
+            F.max("edge").alias("edge"), F.max("last_edge").alias("last_edge"), F.max("last_logdet").alias("last_logdet"))
+        state = materialize(_group_estimates(moments), "estimate")
+        settled.append(state.filter("not moving"))
+        if state.filter("moving").isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, settled).groupBy("grp").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best"))
+    return materialize(best.select("grp", "best.*"), "estimate")
 
 
 def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,22 +231,8 @@ def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     chosen = sizes.join(pooled, "__first", "left").select("__own", F.expr(f"case when not small then __own when pool >= {LEAST_ROWS} then __first else '' end").alias("grp"))
     x = materialize(base.select("__row", "__own", F.array(*[f"__{n}" for n in names]).alias("x")).join(chosen, "__own").select("__row", "grp", "x"), "grouped")
 
-    centre = x.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[k], 0.5, 1000).alias(f"m{k}") for k in range(P)], F.count("*").alias("n")).filter(f"n >= {LEAST_ROWS}")
-    spread = x.join(centre, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col("x")[k] - F.col(f"m{k}")), 0.5, 1000).alias(f"s{k}") for k in range(P)])
-    start = centre.join(spread, "grp").select(
-        "grp", F.array(*[f"m{k}" for k in range(P)]).alias("centre"),
-        F.array(*[F.lit(1.0) / (F.pow(F.col(f"s{i}") * 1.4826, 2) + F.lit(FEATURES[i][2] ** 2)) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inverse"))
-    estimate = materialize(start, "estimate")
-    d = F.expr("aggregate(sequence(0, %d), 0D, (s, k) -> s + inverse[k] * (x[k div %d] - centre[k div %d]) * (x[k %% %d] - centre[k %% %d]))" % (P * P - 1, P, P, P, P))
-    products = [(i, j) for i in range(P) for j in range(i, P)]
-    for _ in range(STEPS):
-        near = x.join(estimate, "grp").select("grp", "x", d.alias("d"))
-        edge = near.groupBy("grp").agg(F.percentile_approx("d", SUBSET, 2000).alias("edge"))
-        inner = near.join(edge, "grp").filter("d <= edge")
-        moments = inner.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"),
-                                           F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in products]).alias("products"))
-        estimate = materialize(_group_estimates(moments), "estimate")
-    distances = x.join(estimate, "grp", "left").select("__row", d.alias("distance"))
+    large = x.join(x.groupBy("grp").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_ROWS}"), "grp").select("grp", "x")
+    distances = x.join(_estimates(large), "grp", "left").select("__row", F.expr(DISTANCE).alias("distance"))
     return base.join(distances, "__row").select(*rows.columns, "distance")
 
 

@@ -71,6 +71,22 @@ def test_outliers_do_not_shift_the_estimate(spark):
     assert all((r.distance > qr.CUTOFF) == r.bad for r in got)
 
 
+@pytest.mark.parametrize("bad_of_30", [10, 12])
+def test_a_third_or_more_of_a_group_is_junk(spark, bad_of_30):
+    """A third and 40% of each group far off, in one direction or as near copies: all of them found, none of the others."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        bad, source = i % 30 < bad_of_30, "st"[i // 30 % 2]
+        n = 400 if bad and source == "t" else int(rng.lognormvariate(6, 0.5)) + 50
+        symbols = n * 2 if bad else rng.randrange(3)
+        rows.append((i, "en", source, n, int(n * rng.gauss(5, 0.2)), symbols, 0, 0, n // 12, n // 15, bad))
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, bad boolean")
+    got = qr.robust_distances(frame, ["lang", "source"]).collect()
+    assert len(got) == 3000
+    assert all((r.distance > qr.CUTOFF) == r.bad for r in got)
+
+
 def test_nulls_small_groups_and_empty_table(spark):
     text = "many words of one kind and another kind here " * 8
     rows = [(1, None, None, None), (None, "x " * 60, None, "s"), (2, " ".join(f"w{k}" for k in range(80)), "xx", None), (2, " ".join(f"w{k}" for k in range(80)), "xx", None), (3, text, "en", "s")]
