@@ -217,22 +217,28 @@ def _estimates(x: DataFrame) -> DataFrame:
 def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (with ``STATS``) plus ``distance``: squared Mahalanobis distance to the group's robust estimate.
 
-    The group is ``keys``; rows of groups under ``LEAST_ROWS`` are estimated with
-    the other such rows of the same first key, and, where those are too few,
-    with all such rows. Where even those are too few the distance is null.
+    The group is ``keys``; rows of groups under ``LEAST_ROWS`` are judged by the
+    estimate of all rows of the same first key (those of large groups too), and,
+    where those are too few, by that of the whole table. Only where even that
+    is too small the distance is null.
     """
     names = [f[0] for f in FEATURES]
     text = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys]
     own, first = F.to_json(F.struct(*[t.alias(f"k{i}") for i, t in enumerate(text)])), F.to_json(F.struct(text[0].alias("k0")))
     base = rows.select("*", *[F.expr(f"cast({sql} as double)").alias(f"__{name}") for name, sql, _ in FEATURES], own.alias("__own"), first.alias("__first"))
     base = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "vectors")
-    sizes = base.groupBy("__own", "__first").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < LEAST_ROWS)
-    pooled = sizes.filter("small").groupBy("__first").agg(F.sum("n").alias("pool"))
-    chosen = sizes.join(pooled, "__first", "left").select("__own", F.expr(f"case when not small then __own when pool >= {LEAST_ROWS} then __first else '' end").alias("grp"))
-    x = materialize(base.select("__row", "__own", F.array(*[f"__{n}" for n in names]).alias("x")).join(chosen, "__own").select("__row", "grp", "x"), "grouped")
-
-    large = x.join(x.groupBy("grp").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_ROWS}"), "grp").select("grp", "x")
-    distances = x.join(_estimates(large), "grp", "left").select("__row", F.expr(DISTANCE).alias("distance"))
+    sizes = materialize(base.groupBy("__own", "__first").agg(F.count("*").alias("n")), "sizes")
+    whole = sizes.agg(F.sum("n")).first()[0] or 0
+    judges = sizes.join(sizes.groupBy("__first").agg(F.sum("n").alias("of_first")), "__first").select("__own", "__first", F.expr(
+        f"case when n >= {LEAST_ROWS} then __own when of_first >= {LEAST_ROWS} then __first when {whole} >= {LEAST_ROWS} then '' end").alias("judge"))
+    judges = materialize(judges, "judges")
+    needed = judges.filter("judge is not null").select(F.col("judge").alias("grp")).distinct()
+    # A row takes part in every estimate that some group needs: its own group's, its first key's, the whole table's.
+    part = judges.select("__own", F.explode(F.array("__own", "__first", F.lit(""))).alias("grp")).join(needed, "grp")
+    vectors = base.select("__row", "__own", F.array(*[f"__{n}" for n in names]).alias("x"))
+    best = _estimates(materialize(vectors.join(part, "__own").select("grp", "x"), "grouped"))
+    judged = judges.select("__own", "judge").join(best, F.col("judge") == F.col("grp")).select("__own", "centre", "inverse")
+    distances = vectors.join(judged, "__own", "left").select("__row", F.expr(DISTANCE).alias("distance"))
     return base.join(distances, "__row").select(*rows.columns, "distance")
 
 

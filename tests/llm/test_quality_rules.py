@@ -87,6 +87,23 @@ def test_a_third_or_more_of_a_group_is_junk(spark, bad_of_30):
     assert all((r.distance > qr.CUTOFF) == r.bad for r in got)
 
 
+def test_small_groups_beside_large_ones(spark):
+    """Groups too small for an estimate are judged by their language's, one of a rare language by the whole table's."""
+    rng = random.Random(3)
+    groups = [("en", "s", 600), ("en", "t", 40), ("en", None, 5), ("xx", "s", 30), (None, "s", 3)]
+    rows = []
+    for lang, source, size in groups:
+        for i in range(size):
+            n, bad = int(rng.lognormvariate(6, 0.5)) + 50, i % 5 == 0
+            rows.append((lang, source, n, int(n * rng.gauss(5, 0.2)), n * 2 if bad else rng.randrange(3), 0, 0, n // 12, n // 15, bad))
+    frame = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, bad boolean")
+    got = qr.robust_distances(frame, ["lang", "source"]).collect()
+    assert len(got) == len(rows)
+    assert all(r.distance is not None and (r.distance > qr.CUTOFF) == r.bad for r in got)
+    few = qr.robust_distances(frame.filter("source = 't'"), ["lang", "source"]).collect()
+    assert len(few) == 40 and all(r.distance is None for r in few)
+
+
 def test_nulls_small_groups_and_empty_table(spark):
     text = "many words of one kind and another kind here " * 8
     rows = [(1, None, None, None), (None, "x " * 60, None, "s"), (2, " ".join(f"w{k}" for k in range(80)), "xx", None), (2, " ".join(f"w{k}" for k in range(80)), "xx", None), (3, text, "en", "s")]
