@@ -88,7 +88,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
-        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(documents, pieces)`` of the mix.
 
     ``documents``: ``doc_id, source, size, source_size, target, taken`` for every
@@ -96,15 +96,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the runs of words that the mix takes (``first`` counted from 0) and how
     often. A null or empty text has size 0 and gives nothing. A null source is
     a source of its own, the last. Rows with equal ids (or null ids) are
-    documents of their own. Other columns are ignored; reruns agree.
+    documents of their own. ``documents`` also has the columns ``carry``; others
+    are ignored; reruns agree.
     """
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
     counted = materialize(counted, "sizes")
     sizes = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = materialize(sizes.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SHARD_ROOT))), "sources")
     placed = counted.join(sources, counted["source"].eqNullSafe(sources["source"])).select(
-        counted["doc_id"], counted["source"], "size", "source_size", "target",
+        counted["doc_id"], counted["source"], "size", "source_size", "target", *carry,
         (F.conv(F.substring(_digest(seed, "doc_id"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
     shards = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
                          .withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)), "shards")
@@ -128,24 +129,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = joined.select("row", F.expr("greatest(start, (p.block * shard_size + blocks - 1) div blocks)").alias("from"), F.expr("least(end, ((p.block + 1) * shard_size + blocks - 1) div blocks)").alias("to"), "copies", "start")
     cut = materialize(cut.select("row", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"), "copies"), "cut")
     sums = cut.groupBy("row").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
-    documents = laid.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
+    documents = laid.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row", *carry)
     return documents, cut
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 2.0, **options) -> DataFrame:
     """The mix as rows of ``docs``: one row per copy of a document, its text the words of the blocks taken.
 
-    Ids (unique, not null) join the pieces to their texts. A copy that takes
-    all words has the text as it is; otherwise the words taken keep the white
-    space behind them, but for the last. Documents of which nothing is taken go.
+    Rows with equal ids (or null ids) are documents of their own: a number per
+    row, written once, joins the pieces to their texts. A copy that takes all
+    words has the text as it is; otherwise the words taken keep the white space
+    behind them, but for the last. Documents of which nothing is taken go.
     """
-    documents, cut = mix(docs, id_col, text_col, source_col, most=most, **options)
+    numbered = materialize(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    documents, cut = mix(numbered, id_col, text_col, source_col, most=most, carry=("__number",), **options)
     pieces = cut.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "copies"))).alias("__pieces")).join(
-        documents.select("row", F.col("doc_id").alias("__id"), "size"), "row").select("__id", "size", "__pieces")
-    joined = docs.join(pieces, F.col(id_col) == F.col("__id"))
+        documents.select("row", "__number", F.col("size").alias("__size")), "row").select("__number", "__size", "__pieces")
+    joined = numbered.join(pieces, "__number")
     spaced = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     copies = joined.withColumn("__tokens", spaced).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(int(most)))))
     taken = copies.withColumn("__mine", F.expr("filter(__pieces, p -> p.copies >= __copy)")).filter("size(__mine) > 0")
     part = F.rtrim(F.array_join(F.flatten(F.expr("transform(__mine, p -> slice(__tokens, cast(p.first + 1 as int), cast(p.words as int)))")), ""))
-    whole = F.expr("aggregate(__mine, 0L, (s, p) -> s + p.words) = size")
+    whole = F.expr("aggregate(__mine, 0L, (s, p) -> s + p.words) = __size")
     return taken.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(docs.columns)

@@ -105,3 +105,17 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert {i: len(words[i]) for i in taken} == taken
     assert all(set(words[i]) <= set(text[i]) for i in words)
     assert all(words[i].count(w) <= 2 for i in words for w in set(words[i]))
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    """Rows that share an id, or have none: each gives at most twice its own words, and what it gives is its own."""
+    rows = [(None if i % 5 == 4 else i % 3, " ".join(f"w{i}_{k}" for k in range(50 + 37 * i)), f"s{i % 2}", i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    words = defaultdict(list)
+    for r in mixing.mixed_texts(frame).collect():
+        words[r.size] += r.text.split()
+    text = {i: t.split() for _, t, _, i in rows}
+    assert all(set(words[i]) <= set(text[i]) for i in words)
+    assert all(words[i].count(w) <= 2 for i in words for w in set(words[i]))
+    total = sum(map(len, text.values()))
+    assert abs(sum(map(len, words.values())) - 1.5 * total) <= 140 + 0.004 * total
