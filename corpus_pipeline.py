@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.llm import mixing, packing, quality_classifier, simhash, suffix_dedup
 from basketlens.llm.common import bounded_batches, table
 from basketlens.llm.queries import tokenizer_path
-from basketlens.session import ensure_checkpoint_dir, scratch_path
+from basketlens.session import ensure_checkpoint_dir, materialize, scratch_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, that of the smallest id (rows that share an id: one)."""
+    """One row of each SimHash class: the first by id, fingerprint and text hash (rows that share an id are rows of their own)."""
     ensure_checkpoint_dir(spark)
     bounded_batches(spark)
-    keyed = _keyed(docs)
-    classes = simhash.near_duplicate_classes(keyed, id_col="__key", shingle=3, max_bits=3)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    numbered = materialize(_keyed(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = simhash.near_duplicate_classes(numbered, id_col="__row", shingle=3, max_bits=3)
+    ranks = numbered.select("__row", "__key", F.sha2("text", 256).alias("__hash")).join(classes.withColumnRenamed("doc_id", "__row"), "__row")
+    keep = ranks.groupBy("component_id").agg(F.min_by("__row", F.struct("__key", "fingerprint", "__hash", "__row")).alias("__row")).select("__row")
+    return numbered.join(keep, "__row", "left_semi").select(docs.columns)
 
 
 def suffix_dedup_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

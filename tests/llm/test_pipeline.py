@@ -86,3 +86,13 @@ def test_odd_rows(spark, sf_small):
     for _, stage in cp.STAGES:
         assert stage(spark, frame.limit(0), sf_small).count() == 0
         assert stage(spark, frame, sf_small).count() > 0
+
+
+def test_one_row_of_each_class_where_ids_repeat(spark, sf_small):
+    """Id 5 on a text of class 3 and on one of its own: both classes keep one document, however the rows are dealt."""
+    schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
+    a, b, c = (" ".join(f"{x}{k * k}" for k in range(200)) for x in "abc")
+    rows = [(3, a, "en", "s", len(a)), (5, a, "en", "s", len(a)), (5, b, "en", "s", len(b)), (5, c, "en", "s", len(c)), (7, b, "en", "s", len(b))]
+    for k in range(len(rows)):
+        got = cp.near_dedup(spark, spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(1 + k), sf_small).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, a), (5, b), (5, c)])
