@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from basketlens.llm import chat_format, html_extract, lang_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, topk
+from basketlens.llm import (chat_format, cross_polytope, hard_negatives, html_extract, lang_id, mixing, packing, prefix_trie, quality_classifier, quality_rules,
+                            simhash, suffix_dedup, topk)
 from basketlens.llm.common import table
 
 
@@ -67,6 +68,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.positions(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns, group=100, most=6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -78,10 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: SQL cannot express minimum cuts (op1), anchors and merges over whole texts at bearable cost (op3), robust
-#: estimates (op4), trained models (op6, op7), a tokenizer (op9) or XXH64 (op10): those are tested against brute force.
+#: estimates (op4), trained models (op6, op7), a tokenizer (op9), XXH64 (op10) or an approximate search (op12): those are tested
+#: against brute force.
 ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
 WITH sized AS MATERIALIZED (
@@ -159,4 +178,50 @@ scored AS (
   FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op11_hard_negatives": """
+WITH good AS (
+  SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS MATERIALIZED (
+  SELECT a.place AS anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM good a JOIN good c ON a.place <> c.place AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, k
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same
+   AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10""",
+    "op13_prefix_trie": """
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (
+  SELECT conv_id, CAST(xor(list_reduce([4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a // 2, 3988292384 * (a % 2)) END), 4294967295) AS BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS MATERIALIZED (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS digest, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM (SELECT c.conv_id, t.role, t.text, t.pos, 0 AS own FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos < c.h
+        UNION ALL SELECT c.conv_id, t.role, t.text, t.pos, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h)),
+sizes AS (SELECT c.conv_id, count(r.conv_id) AS n FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+steps AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM convs
+  UNION ALL SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), chars FROM rebuilt),
+nodes AS MATERIALIZED (
+  SELECT s.depth, s.path, min(s.conv_id) AS conv_id, count(*) AS n_convs, max(s.chars) AS chars,
+         sha256(coalesce(string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id) FILTER (WHERE z.n = s.depth), '')) AS ends_sha256
+  FROM steps s JOIN sizes z ON s.conv_id = z.conv_id GROUP BY s.depth, s.path),
+linked AS MATERIALIZED (
+  SELECT a.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = a.depth + 1 AND left(c.path, 32 * a.depth) = a.path) AS n_children
+  FROM nodes a LEFT JOIN nodes p ON p.depth = a.depth - 1 AND p.path = left(a.path, 32 * (a.depth - 1)))
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, a.n_children,
+       CAST(count(*) FILTER (WHERE d.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((d.n_convs - 1) * d.chars) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM linked a JOIN linked d ON d.depth >= a.depth AND left(d.path, 32 * a.depth) = a.path
+GROUP BY a.conv_id, a.depth, a.path, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256""",
 }
