@@ -8,7 +8,7 @@ a shard of the trie is a stretch of the sorted sequences, however many
 conversations share them.
 
 A task packs each stretch into a double array over dense turn numbers (a child
-lies at ``BASE[node] + turn``; ``CHECK`` there names its parent) and walks its
+lies at ``BASE[node] + number``; ``CHECK`` there names its parent) and walks its
 conversations through it. A stretch shares nodes with others only on the paths
 of its first and last sequence, and on those of conversations of several
 segments: these nodes are open. All other nodes are finished in the task. Open
@@ -30,60 +30,69 @@ from basketlens.llm.blocks import runs
 from basketlens.session import materialize
 
 #: Turns of a segment, and of the segments that one double array holds (about).
-SEGMENT, STRETCH = 64, 200_000
+SEGMENT, STRETCH = 64, 100_000
+#: Places that are tried for a node's children before the end of the arrays.
+TRIES = 64
 #: The rows of a parent with very many children are dealt over so many keys.
 SALT = 32
 CLOSED, OPEN, END = 0, 1, 2
 
 
 class DoubleArray:
-    """``BASE`` and ``CHECK`` over sequences of numbers from 0, sorted and distinct. Node 0 is the root."""
+    """``BASE`` and ``CHECK`` over sorted, distinct sequences of symbols. Node 0 is the root.
 
-    def __init__(self, sequences: list[tuple[int, ...]]):
+    Symbols are numbered densely as nodes come up, a node's children together: a
+    symbol that has one parent, as nearly all turns have, lies next to its
+    siblings, which packs the arrays tightly.
+    """
+
+    def __init__(self, sequences: list[tuple]):
         nodes = sum(map(len, sequences)) + 1
-        self.base = [0] * (nodes + 16)
-        self.check = [-1] * len(self.base)
-        self.check[0], self._free, self.order = 0, 1, [0]  # the root is its own parent; order: parents before children
+        self.base, self.check = [0] * nodes, [-1] * nodes
+        self.check[0] = 0  # the root is its own parent
+        self.code: dict = {}
+        self.order = [0]  # parents before children
+        self._free = self._end = 1
         todo = [(0, 0, len(sequences), 0)]
         while todo:
             node, lo, hi, depth = todo.pop()
-            while lo < hi and len(sequences[lo]) == depth:
+            if len(sequences[lo]) == depth:
                 lo += 1
             if lo == hi:
                 continue
-            edges, codes = [lo], [sequences[lo][depth]]
-            if sequences[hi - 1][depth] != codes[0]:
-                for i in range(lo + 1, hi):
-                    if sequences[i][depth] != codes[-1]:
-                        edges.append(i)
-                        codes.append(sequences[i][depth])
-            edges.append(hi)
+            edges = [lo]
+            if sequences[hi - 1][depth] != sequences[lo][depth]:
+                edges += [i for i in range(lo + 1, hi) if sequences[i][depth] != sequences[i - 1][depth]]
+            codes = [self.code.setdefault(sequences[i][depth], len(self.code)) for i in edges]
             base = self.base[node] = self._place(codes)
-            for code, a, b in zip(codes, edges, edges[1:]):
+            for code, a, b in zip(codes, edges, [*edges[1:], hi]):
                 self.check[base + code] = node
                 self.order.append(base + code)
                 todo.append((base + code, a, b, depth + 1))
+            self._end = max(self._end, base + max(codes) + 1)
+        del self.base[self._end:], self.check[self._end:]
 
     def _place(self, codes: list[int]) -> int:
-        """The least base, by first fit, with a free slot for every code; room is made at the end."""
+        """A base with a free slot for every code: first fit among ``TRIES`` places, else behind all others."""
         check, first = self.check, self._free
         while first < len(check) and check[first] >= 0:
             first += 1
         self._free = first
-        at = first if len(codes) <= 8 else len(check)  # many children lie at the end
-        while True:
-            base = at - codes[0]
-            if base + codes[-1] >= len(check):
-                grown = max(base + codes[-1] + 1 - len(check), len(check) // 8)
-                check += [-1] * grown
-                self.base += [0] * grown
+        low, high = min(codes), max(codes)
+        for at in (*range(first, min(first + TRIES, self._end)), max(first, self._end)):
+            base = at - low
+            if base + high >= len(check):
+                more = base + high + 1 - len(check)
+                check += [-1] * more
+                self.base += [0] * more
             if all(check[base + c] < 0 for c in codes):
                 return base
-            at += 1
+        raise AssertionError("the slots behind all others are free")
 
-    def child(self, node: int, code: int) -> int:
-        """The child of ``node`` by ``code``, or -1."""
-        at = self.base[node] + code
+    def child(self, node: int, symbol) -> int:
+        """The child of ``node`` by ``symbol``, or -1."""
+        code = self.code.get(symbol)
+        at = -1 if code is None else self.base[node] + code
         return at if 0 < at < len(self.check) and self.check[at] == node else -1
 
 
@@ -95,9 +104,8 @@ SCHEMA = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in (
 def _stretch(rows: list[tuple]) -> list[tuple]:
     """The output rows of one stretch of sorted ``(j, k1, k2, conv, n, digests, chars, x1, x2)``."""
     contexts = {c: i for i, c in enumerate(dict.fromkeys(r[:3] for r in rows))}
-    code = {d: i for i, d in enumerate(sorted({d for r in rows for d in r[5]}), len(contexts))}
-    paths = [(contexts[r[:3]], *[code[d] for d in r[5]]) for r in rows]
-    trie = DoubleArray(sorted(set(paths)))
+    paths = [(contexts[r[:3]], *r[5]) for r in rows]
+    trie = DoubleArray(list(dict.fromkeys(paths)))
     size = len(trie.check)
     members, least, chars = [0] * size, [None] * size, [0] * size
     depth, keys, ends, walked = {}, {}, {}, []

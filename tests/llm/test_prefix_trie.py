@@ -81,4 +81,11 @@ def test_double_array():
             node = trie.child(node, code)
             assert node > 0 and at.setdefault(s[:d + 1], node) == node
     assert len(set(at.values())) == len(at) == len(prefixes) - 1 == len(trie.order) - 1
+    assert len(trie.check) < 3 * len(prefixes)
     assert all(trie.child(node, code) == -1 for p, node in list(at.items())[:200] for code in range(40) if (*p, code) not in prefixes)
+
+
+def test_arrays_stay_small_where_many_nodes_have_many_children():
+    sequences = sorted((a, 1000 * a + b, c) for a in range(300) for b in range(12) for c in range(2))
+    trie = prefix_trie.DoubleArray(sequences)
+    assert len(trie.order) == 1 + 300 + 300 * 12 + 300 * 24 and len(trie.check) < 1.5 * len(trie.order)
