@@ -96,6 +96,16 @@ def scratch_scope(spark: SparkSession):
         del _written[mark:]
 
 
+@contextlib.contextmanager
+def recorded_scratch():
+    """The list that this yields holds, when the block has ended, the tables written inside it."""
+    mark, paths = len(_written), []
+    try:
+        yield paths
+    finally:
+        paths += _written[mark:]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that this process has written under the checkpoint folder.
 
