@@ -28,7 +28,7 @@ def test_stages(spark, sf_small, tmp_path):
     want = {c for _, _, c in classes([(r.doc_id, brute_fingerprint(r.text)) for r in good])}
     assert sorted(r.doc_id for r in single) == sorted(want) and all(source[r.doc_id] == r for r in single)
 
-    sizes = dict(zip([r.doc_id for r in single], brute([r.text.encode() for r in single], 400)))
+    sizes = dict(zip([r.doc_id for r in single], brute([r.text.encode() for r in single], cp.REPEAT_BYTES)))
     assert {r.doc_id for r in cut} == set(sizes)
     for r in cut:
         n, gone, _, _ = sizes[r.doc_id]
@@ -79,6 +79,33 @@ def test_run_is_all_stages(spark, sf_small):
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns) and out.count() > 0
 
 
+def test_repeated_passages_go_and_clean_texts_stay(spark, sf_small):
+    """A passage of 51 words in two texts leaves both, whatever surrounds it; texts without one stay as they are."""
+    import random
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(n))
+    schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
+    passages = [words(51) for _ in range(20)]
+    texts = [f"{words(40)} {passages[i % 20]} {words(60)}" for i in range(40)] + [words(120) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in cp.suffix_dedup_texts(spark, spark.createDataFrame(rows, schema), sf_small).collect()}
+    assert all(passages[i % 20] not in got[i] and len(got[i]) <= len(texts[i]) - len(passages[i % 20]) for i in range(40) if len(passages[i % 20]) >= cp.REPEAT_BYTES)
+    assert sum(len(p) >= cp.REPEAT_BYTES for p in passages) >= 18
+    assert all(got[i] == texts[i] for i in range(40, 80))
+
+
+def test_stages_release_the_tables_of_the_stages_before(spark, sf_small, tmp_path):
+    import os
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    seen = []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf_small).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert len(cp._tables) == 1 and not any(os.path.exists(p.removeprefix("file:")) for p in seen)
+        seen += next(iter(cp._tables.values()))
+        assert docs.count() > 0
+
+
 def test_odd_rows(spark, sf_small):
     schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
     frame = spark.read.parquet(f"{sf_small}/documents.parquet").limit(20)
