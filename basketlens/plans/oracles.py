@@ -277,6 +277,13 @@ SELECT r.prodName, CAST(least(10, k.n) AS INTEGER) AS n, CAST(least(10, k.n) AS
        TRUE AS descending, k.n AS known_clients
 FROM (SELECT DISTINCT prodName FROM rated WHERE part = 'train') r
 CROSS JOIN (SELECT count(DISTINCT clientIndex) AS n FROM rated WHERE part = 'train') k""",
+    "als_normal_equations": with_(LINES, CLABELS, PLABELS, _PARTS) + """
+SELECT prodNameIndex, count(*) AS train_rows, TRUE AS solved FROM rated WHERE part = 'train' GROUP BY prodNameIndex""",
+    "als_scored_rows": with_(LINES, CLABELS, PLABELS, _PARTS) + """
+SELECT count(*) FILTER (WHERE part = 'train') AS train_rows, count(*) FILTER (WHERE part = 'test') AS test_rows,
+       count(*) FILTER (WHERE part = 'test' AND prodNameIndex IN (SELECT prodNameIndex FROM rated WHERE part = 'train')
+                          AND clientIndex IN (SELECT clientIndex FROM rated WHERE part = 'train')) AS scored_rows
+FROM rated""",
     "configured_products_10": with_(LINES, CLABELS, PLABELS, _selected(S.EXPLORATION_TOP), _on_selection(TOTALS),
                                     _on_selection(BYPROD))
     + f"SELECT prodName, earnings, {PCT('earnings', '(SELECT total_earnings FROM tot)')} AS percentEarning FROM byprod",

@@ -27,6 +27,8 @@ from basketlens.sources.star import baskets_from_star, product_names
 TOP_CLIENTS = 15
 TOP_PRODUCTS = 15
 ALS_SEED = 42
+#: Factors are floats: a residual below this is rounding.
+SOLVED = 1e-5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -314,12 +316,12 @@ def als_users_for_items(spark, sf_dir):
 def als_list_shape(spark, sf_dir):
     """M6, M7: of every product's list its length, distinct clients, order, and whether all clients are known."""
     fit, lists = _users_for_items(spark, sf_dir)
-    known = fit.rows("train").select("clientIndex").distinct().count()
+    known = fit.rows("train").agg(F.count_distinct("clientIndex").cast("long").alias("n")).scalar()
     e = F.col("recommendations")
     scores = F.transform(e, lambda x: x[S.UNITS])
     return lists.select(
         S.PRODUCT, F.size(e).alias("n"), F.size(F.array_distinct(F.transform(e, lambda x: x[S.CLIENT]))).alias("n_distinct"),
-        (scores == F.reverse(F.array_sort(scores))).alias("descending"), F.lit(known).cast("long").alias("known_clients"))
+        (scores == F.reverse(F.array_sort(scores))).alias("descending"), known.alias("known_clients"))
 
 
 @query
@@ -337,6 +339,19 @@ def als_rmse(spark, sf_dir):
     return A.rmse(A.fit_als(parts, "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED))
 
 
+@query
+def als_normal_equations(spark, sf_dir):
+    """M2, M3: every product of the training part, its rows there, and whether its factors solve their equations."""
+    fit = A.fit_als(als_parts(spark, sf_dir)[0], "prodNameIndex", "clientIndex", S.UNITS, seed=ALS_SEED)
+    return A.normal_equations(fit).select("prodNameIndex", "train_rows", F.coalesce(F.col("residual") < SOLVED, F.lit(False)).alias("solved"))
+
+
+@query
+def als_scored_rows(spark, sf_dir):
+    """M4, M5: sizes of both parts, and the held-out rows that have a prediction (pairs of known keys)."""
+    return als_rmse(spark, sf_dir).select("train_rows", "test_rows", "scored_rows")
+
+
 # ---- configured runs: the sizes of the shipped examples --------------------
 
 def _top(spark, sf_dir, n):
