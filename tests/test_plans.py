@@ -31,17 +31,22 @@ def test_plan_shape(spark, sf_small, name):
 def _plans_run(spark, build):
     """The physical plans of every job that ``build`` runs while it makes its frame."""
     seen = []
-    write = type(spark.range(0).write).parquet
+    kind = type(spark.range(0).write)
+    writes = {name: getattr(kind, name) for name in ("parquet", "saveAsTable")}
 
-    def parquet(self, path, *a, **k):
-        seen.append(_plan(self._df))
-        return write(self, path, *a, **k)
+    def seeing(write):
+        def run(self, *a, **k):
+            seen.append(_plan(self._df))
+            return write(self, *a, **k)
+        return run
 
-    type(spark.range(0).write).parquet = parquet
+    for name, write in writes.items():
+        setattr(kind, name, seeing(write))
     try:
         build()
     finally:
-        type(spark.range(0).write).parquet = write
+        for name, write in writes.items():
+            setattr(kind, name, write)
     return seen
 
 
@@ -60,3 +65,15 @@ def test_plans_of_the_steps_before(spark, sf_small, name):
     reads = {"indexed_baskets": 1, "totals_by_client": 1, "als_split": 2}  # of the lines: labels; report; labels and ratings
     if name in reads:
         assert sum("l_orderkey" in p for p in plans) == reads[name]
+
+
+@pytest.mark.parametrize("name", ["lazy_walk_rank", "pagerank"])
+def test_rank_steps_shuffle_partial_sums_only(spark, sf_small, name):
+    """A step reads state and memberships from bucketed tables; its exchanges are those of the two aggregations."""
+    steps = [p for p in _plans_run(spark, lambda: QUERIES[name](spark, sf_small)) if "rank_state" in p and "Join" in p]
+    assert steps
+    for plan in steps:
+        tree = plan.split("\n\n\n")[0]
+        assert tree.count("Exchange") == 2 and tree.count("SortMergeJoin") + tree.count("ShuffledHashJoin") == 3, tree
+        keys = sorted(re.findall(r"hashpartitioning\((\w+)#", plan))
+        assert keys == ["link", "v"], keys
