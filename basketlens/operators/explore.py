@@ -9,7 +9,8 @@ Plan shape, chosen for large inputs:
 * client reports group by the raw ``client``, count its lines in the same
   pass, and index the result - one row per client, never all lines;
 * shares of a total read the total as a scalar subquery (one value computed
-  once, no driver round trip and no join);
+  once, no driver round trip and no join), in a report on its own over the
+  figures per key, so that it reads the line table once (``value_and_total``);
 * every figure is rounded like the source (half-even) and ratios are taken
   from already rounded figures, in the same order as the source;
 * ``all_reports`` aggregates the line table three times in all (totals, per
@@ -61,8 +62,51 @@ def _share_report(by_key: DataFrame, key: str, value: str, pct: str, tot: DataFr
             .orderBy(F.col(value).desc(), F.col(key).asc()))
 
 
+#: The figure of each share report: what it adds up (an aggregate, digits) or counts distinct (a column).
+_SUMS = {"udsSold": (S.UNITS, 0), "amountOfProds": (S.UNITS, 2), "earnings": (S.COST, 2), "spent": (S.COST, 2),
+         "total_products_sold": (S.UNITS, 0), "total_earnings": (S.COST, 2)}
+_DISTINCT = {"transacWithProd": S.TRANSAC, "transacOfClient": S.TRANSAC, "variety": S.PRODUCT}
+
+
+def _sum_of(column: str):
+    return money_sum(column) if column == S.COST else F.sum(column)
+
+
+def value_and_total(lines: DataFrame, key: str, value: str, total: str, fit_index: bool = False):
+    """``(key, value)`` per key and the total that its shares refer to, from one pass over ``lines``.
+
+    Sums: the total is the sum of the keys' unrounded sums. Distinct counts do not
+    add up over keys: the grand total is a grouping set beside the keys. Either
+    way the lines are read once, and what is read twice has one row per key.
+    ``fit_index``: keyed by the client's frequency index.
+    """
+    lined = F.count(F.lit(1)).alias("_lines")
+    if value in _DISTINCT:
+        both = materialize(lines.groupingSets([[key], []], key).agg(
+            F.count_distinct(_DISTINCT[value]).alias(value), lined, F.grouping(key).alias("_all")), "value-and-total")
+        by_key = both.where("_all = 0")
+        grand = both.where("_all = 1").select(value).scalar()
+    else:
+        (column, digits), (whole, whole_digits) = _SUMS[value], _SUMS[total]
+        both = materialize(lines.groupBy(key).agg(_sum_of(column).alias("_v"), _sum_of(whole).alias("_t"), lined), "value-and-total")
+        by_key = both.withColumn(value, round_half_even("_v", digits))
+        grand = both.agg(round_half_even(F.sum("_t"), whole_digits).alias("t")).scalar()
+    if fit_index:
+        index = S.index_column(key)
+        return with_row_index(by_key.where(F.col(key).isNotNull()), frequency_order(key, "_lines"), index).select(F.col(index).cast("int").alias(index), value), grand
+    return by_key.select(key, value), grand
+
+
+def _one_pass_report(lines: DataFrame, key: str, value: str, pct: str, total: str, fit_index: bool = False) -> DataFrame:
+    by_key, grand = value_and_total(lines, key, value, total, fit_index)
+    out = by_key.columns[0]
+    return by_key.select(out, value, percent_of(value, grand).alias(pct)).orderBy(F.col(value).desc(), F.col(out).asc())
+
+
 def prods_most_sold(lines: DataFrame, by_product: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
     """Products by units sold, with share of all units."""
+    if by_product is None and tot is None:
+        return _one_pass_report(lines, S.PRODUCT, "udsSold", "percentUdsSold", "total_products_sold")
     by_product = by_product if by_product is not None else totals_by_product(lines)
     tot = tot if tot is not None else totals(lines)
     return _share_report(by_product, S.PRODUCT, "udsSold", "percentUdsSold", tot, "total_products_sold")
@@ -70,6 +114,8 @@ def prods_most_sold(lines: DataFrame, by_product: DataFrame | None = None, tot:
 
 def prods_most_earns(lines: DataFrame, by_product: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
     """Products by earnings, with share of all earnings."""
+    if by_product is None and tot is None:
+        return _one_pass_report(lines, S.PRODUCT, "earnings", "percentEarning", "total_earnings")
     by_product = by_product if by_product is not None else totals_by_product(lines)
     tot = tot if tot is not None else totals(lines)
     return _share_report(by_product, S.PRODUCT, "earnings", "percentEarning", tot, "total_earnings")
@@ -77,6 +123,8 @@ def prods_most_earns(lines: DataFrame, by_product: DataFrame | None = None, tot:
 
 def prods_most_popular(lines: DataFrame, by_product: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
     """Products by number of tickets, with share of all tickets."""
+    if by_product is None and tot is None:
+        return _one_pass_report(lines, S.PRODUCT, "transacWithProd", "percentTransacWithProd", "total_transactions")
     by_product = by_product if by_product is not None else totals_by_product(lines)
     tot = tot if tot is not None else totals(lines)
     return _share_report(by_product, S.PRODUCT, "transacWithProd", "percentTransacWithProd", tot,
@@ -122,28 +170,34 @@ def _client_inputs(lines, client_labels, by_client, tot):
 
 
 def clients_spent_more(lines: DataFrame, client_labels: DataFrame | None = None,
-                       by_client: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
+                       by_client: DataFrame | None = None, tot: DataFrame | None = None, fit_index: bool = False) -> DataFrame:
     """Clients by spending, with share of all earnings."""
+    if fit_index:
+        return _one_pass_report(lines, S.CLIENT, "spent", "percentSpent", "total_earnings", fit_index=True)
     by_client, tot = _client_inputs(lines, client_labels, by_client, tot)
     return _share_report(by_client, _client_key(by_client), "spent", "percentSpent", tot, "total_earnings")
 
 
 def clients_buy_more(lines: DataFrame, client_labels: DataFrame | None = None,
                      by_client: DataFrame | None = None, tot: DataFrame | None = None,
-                     denominator: str = "units") -> DataFrame:
+                     denominator: str = "units", fit_index: bool = False) -> DataFrame:
     """Clients by units bought, with a share.
 
     ``denominator="units"`` divides by all units sold; ``"earnings"`` divides
     by total earnings, which is what the source application writes.
     """
+    if fit_index:
+        return _one_pass_report(lines, S.CLIENT, "amountOfProds", "percentAmountOfProds", {"units": "total_products_sold", "earnings": "total_earnings"}[denominator], fit_index=True)
     by_client, tot = _client_inputs(lines, client_labels, by_client, tot)
     total_col = {"units": "total_products_sold", "earnings": "total_earnings"}[denominator]
     return _share_report(by_client, _client_key(by_client), "amountOfProds", "percentAmountOfProds", tot, total_col)
 
 
 def clients_most_transactions(lines: DataFrame, client_labels: DataFrame | None = None,
-                              by_client: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
+                              by_client: DataFrame | None = None, tot: DataFrame | None = None, fit_index: bool = False) -> DataFrame:
     """Clients by number of tickets, with share of all tickets."""
+    if fit_index:
+        return _one_pass_report(lines, S.CLIENT, "transacOfClient", "percentTransacOfClient", "total_transactions", fit_index=True)
     by_client, tot = _client_inputs(lines, client_labels, by_client, tot)
     return _share_report(by_client, _client_key(by_client), "transacOfClient", "percentTransacOfClient", tot,
                          "total_transactions")
@@ -169,8 +223,10 @@ def clients_prods_per_transaction(lines: DataFrame, client_labels: DataFrame | N
 
 
 def clients_variety(lines: DataFrame, client_labels: DataFrame | None = None,
-                    by_client: DataFrame | None = None, tot: DataFrame | None = None) -> DataFrame:
+                    by_client: DataFrame | None = None, tot: DataFrame | None = None, fit_index: bool = False) -> DataFrame:
     """Clients by distinct products bought, with share of all distinct products."""
+    if fit_index:
+        return _one_pass_report(lines, S.CLIENT, "variety", "percentVariety", "total_different_products", fit_index=True)
     by_client, tot = _client_inputs(lines, client_labels, by_client, tot)
     return _share_report(by_client, _client_key(by_client), "variety", "percentVariety", tot,
                          "total_different_products")

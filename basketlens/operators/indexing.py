@@ -7,7 +7,7 @@ label on the most line rows gets 0; ties are ordered by the label's text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.row_index import with_row_index
@@ -47,6 +47,11 @@ def frequency_indexes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]
     """
     if len(columns) == 1:
         return {columns[0]: frequency_index(df, columns[0])}
+    return {c: _index_from_counts(part, c, index_column(c)) for c, part in _label_counts(df, columns).items()}
+
+
+def _label_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """``(column, frequency)`` of each column, counted together and written once."""
     n = len(columns)
     counts = materialize(
         df.select(*columns)
@@ -56,8 +61,21 @@ def frequency_indexes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]
     out = {}
     for i, c in enumerate(columns):
         only_c = (1 << n) - 1 - (1 << (n - 1 - i))
-        part = counts.where((F.col("_gid") == only_c) & F.col(c).isNotNull()).select(c, "frequency")
-        out[c] = _index_from_counts(part, c, index_column(c))
+        out[c] = counts.where((F.col("_gid") == only_c) & F.col(c).isNotNull()).select(c, "frequency")
+    return out
+
+
+def top_indexes(df: DataFrame, sizes: dict[str, int]) -> dict[str, DataFrame]:
+    """The first rows of each column's label table, ``sizes`` of them, without sorting the labels.
+
+    Every partition keeps its ``n`` most frequent labels in a heap and the heaps are
+    merged (order and limit in one operator); only the ``n`` labels left are numbered.
+    """
+    out = {}
+    for c, part in _label_counts(df, list(sizes)).items():
+        first = part.orderBy(*frequency_order(c)).limit(sizes[c])
+        place = F.row_number().over(Window.orderBy(*frequency_order(c))) - 1  # n rows, a parameter
+        out[c] = materialize(first.select(c, place.cast("int").alias(index_column(c)), "frequency"), "top-labels")
     return out
 
 

@@ -284,17 +284,6 @@ SELECT count(*) FILTER (WHERE part = 'train') AS train_rows, count(*) FILTER (WH
        count(*) FILTER (WHERE part = 'test' AND prodNameIndex IN (SELECT prodNameIndex FROM rated WHERE part = 'train')
                           AND clientIndex IN (SELECT clientIndex FROM rated WHERE part = 'train')) AS scored_rows
 FROM rated""",
-    "configured_products_10": with_(LINES, CLABELS, PLABELS, _selected(S.EXPLORATION_TOP), _on_selection(TOTALS),
-                                    _on_selection(BYPROD))
-    + f"SELECT prodName, earnings, {PCT('earnings', '(SELECT total_earnings FROM tot)')} AS percentEarning FROM byprod",
-    "configured_ratings_30": with_(LINES, CLABELS, PLABELS, _selected(S.ALS_TOP)) + """
-SELECT p.prodNameIndex, c.clientIndex, r.prodUds
-FROM (SELECT prodName, client, sum(prodUds) AS prodUds FROM lines2 GROUP BY prodName, client) r
-JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName""",
-    "configured_graph_d_10": with_(LINES, CLABELS, PLABELS, _selected(S.GRAPH_D_TOP), _KEPT_MEM, _graph_ctes("client")[2])
-    + "SELECT orig, CAST(sum(linkWeight) AS BIGINT) AS linksOfVertex FROM edges GROUP BY orig",
-    "configured_graph_x_5": with_(LINES, CLABELS, PLABELS, _selected(S.GRAPH_X_TOP), _KEPT_MEM, _graph_ctes("client")[2])
-    + "SELECT orig AS prodName_orig, dest AS prodName_dest, CAST(linkWeight AS BIGINT) AS num_of_client FROM edges",
     "written_totals": with_(LINES, TOTALS)
     + "SELECT CAST(0 AS INTEGER) AS numClients, CAST(0 AS INTEGER) AS numProds, * FROM tot",
     "written_prods_most_sold": with_(LINES, TOTALS, BYPROD)
@@ -303,3 +292,26 @@ JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName"
       "(SELECT total_products_sold FROM tot) AS total_products_sold FROM byprod",
     **{f"tickets_shell_{layout}": ORACLES["basket_lines"] for layout in ("one_per_line", "back_to_back", "indented")},
 })
+
+
+def _configured(name: str, exploration: int, als: int, graph_d: int, graph_x: int) -> dict[str, str]:
+    """The configured runs at given sizes; ``name`` makes a query's name of its stem and size."""
+    graph = lambda n: with_(LINES, CLABELS, PLABELS, _selected(n), _KEPT_MEM, _graph_ctes("client")[2])
+    return {
+        name.format("products", exploration): with_(LINES, CLABELS, PLABELS, _selected(exploration), _on_selection(TOTALS), _on_selection(BYPROD))
+        + f"SELECT prodName, earnings, {PCT('earnings', '(SELECT total_earnings FROM tot)')} AS percentEarning FROM byprod",
+        name.format("ratings", als): with_(LINES, CLABELS, PLABELS, _selected(als)) + """
+SELECT p.prodNameIndex, c.clientIndex, r.prodUds
+FROM (SELECT prodName, client, sum(prodUds) AS prodUds FROM lines2 GROUP BY prodName, client) r
+JOIN clabels c ON r.client = c.client JOIN plabels p ON r.prodName = p.prodName""",
+        name.format("graph_d", graph_d): graph(graph_d) + "SELECT orig, CAST(sum(linkWeight) AS BIGINT) AS linksOfVertex FROM edges GROUP BY orig",
+        name.format("graph_x", graph_x): graph(graph_x)
+        + "SELECT orig AS prodName_orig, dest AS prodName_dest, CAST(linkWeight AS BIGINT) AS num_of_client FROM edges",
+    }
+
+
+ORACLES.update(_configured("configured_{}_{}", S.EXPLORATION_TOP, S.ALS_TOP, S.GRAPH_D_TOP, S.GRAPH_X_TOP))
+ORACLES.update(_configured("configured_{}_wide", 300, 300, 300, 300))
+ORACLES["strongest_links_by_name"] = with_(*_graph_ctes("transac")) + """
+SELECT regexp_replace(orig, '#[0-9]+$', '') AS name_orig, regexp_replace(dest, '#[0-9]+$', '') AS name_dest, CAST(sum(linkWeight) AS BIGINT) AS num_of_transac
+FROM edges GROUP BY 1, 2"""

@@ -24,9 +24,11 @@ from basketlens.sources import tickets as T
 from basketlens.sources.sinks import new_run_id, write_result
 from basketlens.sources.star import baskets_from_star, product_names
 
-TOP_CLIENTS = 15
-TOP_PRODUCTS = 15
+TOP = 15
+#: Sizes of the shipped examples select few lines of evenly spread tables; this one selects hundreds.
+WIDE = 300
 ALS_SEED = 42
+NAME = "name"
 #: Factors are floats: a residual below this is rounding.
 SOLVED = 1e-5
 
@@ -89,9 +91,7 @@ def indexed_baskets(spark, sf_dir):
 
 @query
 def top_n_baskets(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    clients, products = _both_labels(lines)
-    kept = I.keep_top(I.keep_top(lines, clients, S.CLIENT, TOP_CLIENTS), products, S.PRODUCT, TOP_PRODUCTS)
+    kept, clients, products = _top(spark, sf_dir, TOP)
     return I.index_baskets(kept, clients, products).select(
         S.TRANSAC, S.CLIENT, S.PRODUCT, S.UNITS, S.COST, "clientIndex", "prodNameIndex")
 
@@ -130,26 +130,22 @@ def totals_by_client(spark, sf_dir):
 
 @query
 def clients_spent_more(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.clients_spent_more(lines, by_client=X.totals_by_client(lines, fit_index=True))
+    return X.clients_spent_more(_lines(spark, sf_dir), fit_index=True)
 
 
 @query
 def clients_buy_more(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.clients_buy_more(lines, by_client=X.totals_by_client(lines, fit_index=True), denominator="units")
+    return X.clients_buy_more(_lines(spark, sf_dir), denominator="units", fit_index=True)
 
 
 @query
 def clients_buy_more_reference(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.clients_buy_more(lines, by_client=X.totals_by_client(lines, fit_index=True), denominator="earnings")
+    return X.clients_buy_more(_lines(spark, sf_dir), denominator="earnings", fit_index=True)
 
 
 @query
 def clients_most_transactions(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.clients_most_transactions(lines, by_client=X.totals_by_client(lines, fit_index=True))
+    return X.clients_most_transactions(_lines(spark, sf_dir), fit_index=True)
 
 
 @query
@@ -166,16 +162,13 @@ def clients_prods_per_transaction(spark, sf_dir):
 
 @query
 def clients_variety(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return X.clients_variety(lines, by_client=X.totals_by_client(lines, fit_index=True))
+    return X.clients_variety(_lines(spark, sf_dir), fit_index=True)
 
 
 @query
 def top_n_totals_by_client(spark, sf_dir):
     """R6 on the top-(15,15) selection, as the exploration example configures it."""
-    lines = _lines(spark, sf_dir)
-    clients, products = _both_labels(lines)
-    kept = I.keep_top(I.keep_top(lines, clients, S.CLIENT, TOP_CLIENTS), products, S.PRODUCT, TOP_PRODUCTS)
+    kept, clients, _ = _top(spark, sf_dir, TOP)
     return X.totals_by_client(kept, clients)
 
 
@@ -224,6 +217,13 @@ def strongest_links_directed(spark, sf_dir):
     return G.strongest_links_directed(lines, S.PRODUCT_KEY, S.PRODUCT, S.TRANSAC, props=names)
 
 
+@query
+def strongest_links_by_name(spark, sf_dir):
+    """G7 where many vertices share a property: products by number, merged by their bare names."""
+    lines = _keyed(spark, sf_dir)[0].withColumn(NAME, F.regexp_replace(S.PRODUCT, "#[0-9]+$", ""))
+    return G.strongest_links_directed(lines, S.PRODUCT_KEY, NAME, S.TRANSAC)
+
+
 @query
 def vertex_out_degree(spark, sf_dir):
     lines, names = _keyed(spark, sf_dir)
@@ -355,38 +355,59 @@ def als_scored_rows(spark, sf_dir):
 # ---- configured runs: the sizes of the shipped examples --------------------
 
 def _top(spark, sf_dir, n):
-    lines = _lines(spark, sf_dir)
-    clients, products = _both_labels(lines)
-    return I.keep_top(I.keep_top(lines, clients, S.CLIENT, n), products, S.PRODUCT, n), clients, products
+    """Lines of the ``n`` most frequent clients and products, and the label tables of those."""
+    labels = I.top_indexes(_lines(spark, sf_dir), {S.CLIENT: n, S.PRODUCT: n})
+    clients, products = labels[S.CLIENT], labels[S.PRODUCT]
+    return baskets_from_star(spark, sf_dir, with_mall=False, clients=clients, products=products), clients, products
 
 
 @query
-def configured_products_10(spark, sf_dir):
+def configured_products_10(spark, sf_dir, n=S.EXPLORATION_TOP):
     """Exploration, 10 x 10: R4 over the selection."""
-    return X.prods_most_earns(_top(spark, sf_dir, S.EXPLORATION_TOP)[0])
+    return X.prods_most_earns(_top(spark, sf_dir, n)[0])
 
 
 @query
-def configured_ratings_30(spark, sf_dir):
+def configured_ratings_30(spark, sf_dir, n=S.ALS_TOP):
     """ALS, 30 x 30: the triples that the model is fitted on."""
-    kept, clients, products = _top(spark, sf_dir, S.ALS_TOP)
+    kept, clients, products = _top(spark, sf_dir, n)
     return I.index_baskets(_ratings_by_label(kept), clients, products).select("prodNameIndex", "clientIndex", S.UNITS)
 
 
 @query
-def configured_graph_d_10(spark, sf_dir):
+def configured_graph_d_10(spark, sf_dir, n=S.GRAPH_D_TOP):
     """DataFrame graph, 10 x 10, product names by client (the default link; few tickets are shared): G5 over the selection."""
-    return G.vertex_out_links(_top(spark, sf_dir, S.GRAPH_D_TOP)[0], S.PRODUCT, S.CLIENT)
+    return G.vertex_out_links(_top(spark, sf_dir, n)[0], S.PRODUCT, S.CLIENT)
 
 
 @query
-def configured_graph_x_5(spark, sf_dir):
+def configured_graph_x_5(spark, sf_dir, n=S.GRAPH_X_TOP):
     """Multigraph, 5 x 5, product indexes with their names: G7 over the selection, by client."""
-    kept, _, products = _top(spark, sf_dir, S.GRAPH_X_TOP)
+    kept, _, products = _top(spark, sf_dir, n)
     indexed = I.index_labels(kept, products, S.PRODUCT)
     return G.strongest_links_directed(indexed, "prodNameIndex", S.PRODUCT, S.CLIENT, props=products)
 
 
+@query
+def configured_products_wide(spark, sf_dir):
+    return configured_products_10(spark, sf_dir, WIDE)
+
+
+@query
+def configured_ratings_wide(spark, sf_dir):
+    return configured_ratings_30(spark, sf_dir, WIDE)
+
+
+@query
+def configured_graph_d_wide(spark, sf_dir):
+    return configured_graph_d_10(spark, sf_dir, WIDE)
+
+
+@query
+def configured_graph_x_wide(spark, sf_dir):
+    return configured_graph_x_5(spark, sf_dir, WIDE)
+
+
 # ---- results written and read back ------------------------------------------
 
 def _read_back(spark, frame, name, mode, params):

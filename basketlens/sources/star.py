@@ -14,7 +14,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
-                      excluded=S.EXCLUDED_PRODUCTS, with_key: bool = False) -> DataFrame:
+                      excluded=S.EXCLUDED_PRODUCTS, with_key: bool = False,
+                      clients: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
     """Map the star schema onto the flat basket table.
 
     ``transac = l_orderkey``, ``client = o_custkey``, ``date = o_orderdate``,
@@ -28,6 +29,8 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
     clients keep their lines with a null mall. Analyses that never read
     ``mall`` pass ``with_mall=False`` and skip that join entirely.
     ``with_key`` adds ``prodKey = p_partkey``, the product as a number.
+    ``clients`` / ``products`` (frames with that column) keep only their lines: by
+    semi-joins on ``orders`` and ``part``, below the joins with the fact table.
     """
     lineitem = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias(S.TRANSAC),
@@ -40,6 +43,8 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
               .select(F.col("o_orderkey").alias(S.TRANSAC),
                       F.col("o_custkey").alias(S.CLIENT),
                       F.to_date("o_orderdate").alias(S.DATE)))
+    if clients is not None:
+        orders = orders.join(clients.select(S.CLIENT), S.CLIENT, "left_semi")
     if with_mall:
         nation = read_table(spark, sf_dir, "nation").select(
             F.col("n_nationkey").alias("_nationkey"), F.col("n_regionkey").cast("int").alias(S.MALL))
@@ -55,6 +60,8 @@ def baskets_from_star(spark: SparkSession, sf_dir: str, with_mall: bool = True,
         F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias(S.PRODUCT),
     )
     part = exclude_products(part, excluded)
+    if products is not None:
+        part = part.join(products.select(S.PRODUCT), S.PRODUCT, "left_semi")
     lines = lineitem.join(orders, S.TRANSAC).join(part, "_partkey")
     return lines.select(*S.BASKET_COLUMNS, *([F.col("_partkey").alias(S.PRODUCT_KEY)] if with_key else []))
 

@@ -4,8 +4,7 @@ Each query is fully evaluated with the no-op sink (all rows computed, none
 collected). Prints one JSON line:
 {"metric": "total_query_seconds", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
-BENCH_REPEAT (default 3) runs each query that many times and keeps the median
-(of fewer runs once a query has taken BENCH_SECONDS, default 30).
+BENCH_REPEAT (default 3) runs each query that many times and keeps the median.
 Row counts are part of the output; "als_fit" is the ALS fit apart from scoring.
 BENCH_QUERIES (comma list) restricts the set.
 """
@@ -33,7 +32,6 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    limit = float(os.environ.get("BENCH_SECONDS", "30"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = get_spark(f"local[{cpus}]", app_name="basketlens-bench", shuffle_partitions=cpus * 2,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
@@ -54,8 +52,6 @@ def main() -> None:
             runs.append(time.perf_counter() - t0)
             rows[name] = counted.get["rows"]
             clear_scratch(spark)
-            if sum(runs) > limit:
-                break
         times[name] = round(statistics.median(runs), 3)
         print(f"# {name}: {times[name]:.3f}s", file=sys.stderr, flush=True)
 

@@ -77,3 +77,23 @@ def test_rank_steps_shuffle_partial_sums_only(spark, sf_small, name):
         assert tree.count("Exchange") == 2 and tree.count("SortMergeJoin") + tree.count("ShuffledHashJoin") == 3, tree
         keys = sorted(re.findall(r"hashpartitioning\((\w+)#", plan))
         assert keys == ["link", "v"], keys
+
+
+@pytest.mark.parametrize("name", ["prods_most_sold", "prods_most_popular", "clients_spent_more", "clients_buy_more", "clients_buy_more_reference",
+                                  "clients_most_transactions", "clients_variety"])
+def test_share_reports_read_the_lines_once(spark, sf_small, name):
+    """Value and total come from one scan of the fact table."""
+    last = []
+    plans = _plans_run(spark, lambda: last.append(QUERIES[name](spark, sf_small)))
+    assert sum(len(re.findall(r"ReadSchema: struct<[^>]*l_orderkey", p)) for p in [*plans, _plan(last[0])]) == 1
+
+
+def test_top_n_is_bounded_and_filters_below_the_fact_join(spark, sf_small):
+    """Heaps instead of a sort of all labels; semi-joins on orders and part before lineitem is joined."""
+    last = []
+    plans = _plans_run(spark, lambda: last.append(QUERIES["configured_ratings_wide"](spark, sf_small)))
+    assert sum("TakeOrderedAndProject" in p for p in plans) == 2 and not any("rangepartitioning" in p for p in plans)
+    tree = _plan(last[0]).split("\n\n\n")[0]
+    assert tree.count("LeftSemi") == 2
+    semi, joins = tree.index("LeftSemi"), [m.start() for m in re.finditer("Join Inner", tree)]
+    assert joins[0] < semi

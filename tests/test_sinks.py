@@ -25,3 +25,20 @@ def test_write_modes(spark, tmp_path):
 def test_bad_mode(spark, tmp_path):
     with pytest.raises(ValueError, match="csv"):
         write_result(spark.range(5), str(tmp_path), "r", "x", "csv")
+
+
+def test_failed_replacement_leaves_the_result_before(spark, tmp_path):
+    """Some tasks write, one fails: the earlier result is still read, and nothing else lies beside it."""
+    from pyspark.sql import functions as F
+    base = str(tmp_path)
+    first = spark.range(5)
+    path = write_result(first, base, "run", "r", "oneJSON")
+    broken = spark.range(0, 400, 1, 4).select(F.when(F.col("id") < 350, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        write_result(broken, base, "run", "r", "oneJSON")
+    assert sorted(r.id for r in spark.read.json(path).collect()) == [0, 1, 2, 3, 4]
+    assert [p.name for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")] == ["r"]
+    write_result(spark.range(7, 9), base, "run", "r", "oneJSON")
+    assert sorted(r.id for r in spark.read.json(path).collect()) == [7, 8]
+    write_result(spark.range(1), f"file:{base}", "run", "r", "oneJSON")  # by URI
+    assert [r.id for r in spark.read.json(path).collect()] == [0]
