@@ -15,6 +15,8 @@ from basketlens.session import drop_scratch, ensure_checkpoint_dir, materialize,
 
 #: Bytes of a string that counts as repeated in the pipeline: passages of over 50 words are hardly ever shorter.
 REPEAT_BYTES = 200
+#: Bytes of its anchors: narrow ones, since the anchors of short strings lie close together.
+GRAM_BYTES = 64
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _tables: dict[str, list[str]] = {}
@@ -67,7 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def suffix_dedup_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of ``REPEAT_BYTES`` bytes that also start elsewhere."""
-    return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, gram=GRAM_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 @stage
