@@ -38,6 +38,8 @@ THRESHOLD = 0.5
 TEXT_DIM, NAME_DIM = 768, 32
 RIDGE = 1.0
 CHUNK = 1 << 20
+#: Rows of a fit that are held as doubles at a time.
+WIDENED = 1024
 
 #: Classes of bytes: lower-case and non-ASCII letters, capitals, digits, and each other character for itself.
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -92,13 +94,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
-    """Weights (the last is the intercept) of a ridge logistic regression, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Weights (the last is the intercept) of a ridge logistic regression, by Newton's method.
+
+    Rows are widened to doubles some at a time: what it holds beside them is small.
+    """
+    dim = x.shape[1] + 1
+    w, penalty = np.zeros(dim), np.full(dim, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        hessian, slope = np.diag(penalty), penalty * w
+        for at in range(0, len(x), WIDENED):
+            part = np.ones((len(x[at:at + WIDENED]), dim))
+            part[:, :-1] = x[at:at + WIDENED]
+            p = sigmoid(part @ w)
+            slope = slope + part.T @ (p - y[at:at + WIDENED])
+            hessian = hessian + (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+        step = np.linalg.solve(hessian, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -196,9 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([v for _, v in rows], np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    x = np.stack([np.frombuffer(k[1], np.float16) for k, _ in rows]).astype(np.float32)
+    x = np.stack([np.frombuffer(k[1], np.float16) for k, _ in rows])
     m = np.stack([np.frombuffer(k[2], np.float32) for k, _ in rows])
-    return co_train(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0], rounds)
+    del got, unique, rows
+    model = co_train(x[y >= 0].astype(np.float32), m[y >= 0], y[y >= 0], x[y < 0].astype(np.float32), m[y < 0], rounds)
+    del x, m
+    give_back()  # the driver goes on with little
+    return model
 
 
 def _scores(model: Model | None, rows: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
