@@ -31,6 +31,57 @@ def test_marks_of_a_whole_page_are_not_its_parts():
     assert hx.main_blocks(page) == ["Title here", P1]
 
 
+MENU = '<ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta and more</a></li></ul>'
+BODY = f"<h1>Heading</h1><p>{P1}</p><p>Short.</p><p>{P2}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form action=x>{MENU}{BODY}<input type=submit></form></body>",
+    f'<body><div class="menu-open page-wrap">{MENU}{BODY}</div></body>',
+    f'<body><div class="layout-sidebar-right"><nav>{MENU}</nav>{BODY}<footer>Imprint of all of it.</footer></div></body>',
+    f"<body>{MENU}<svg width=1 />{BODY}</body>",
+    f"<body>{MENU}<button>{BODY}</body>",
+    f"<body>{MENU}<iframe src=x>{BODY}</body>",
+    f"<body>{MENU}<BUTTON>Go</BUTTON><button>{BODY}<button>Send it now</button></body>",
+    f"<body>{MENU}<svg><svg><text>no</text></svg><text>nor this</text></svg>{BODY}</body>",
+    f'<body><form><div class="comment-open">{BODY}</div><div class="ad"><p>Buy this, it is cheap today.</p></div></form></body>',
+])
+def test_marks_around_a_whole_page(page):
+    assert hx.main_blocks(page) == ["Heading", P1, "Short.", P2]
+
+
+def test_marked_parts_may_be_longer_than_the_article():
+    comments = "".join(f"<p>{P2} {P1} {k}</p>" for k in range(20))
+    for page in (f'<article>{BODY}<div class="comments">{comments}</div></article>', f'<body>{BODY}<section id="comments">{comments}</section>',
+                 f'<div class="menu-open">{BODY}<section id="comments">{comments}</section></div>'):
+        assert hx.main_blocks(page) == ["Heading", P1, "Short.", P2]
+
+
+def test_the_cut_overrules_costs():
+    """Blocks whose own cost is on the wrong side, put right by their neighbours."""
+    page = f"<body>{MENU}<div><h2>A</h2><p>{P1}</p><p>So.</p><p>{P2}</p><p>No</p><p>{P1} Again.</p></div></body>"
+    rows = hx.labelled(page)
+    assert [b.text for b, odds, kept in rows if kept and odds < 0] == ["A", "So.", "No"]
+    assert [b.text for b, odds, kept in rows if not kept] == ["Alpha", "Beta and more"]
+    page = f"<body><div>{BODY}</div><div>" + "".join(f"<p><a href=x>Read on {k}</a></p>" + "<p>More about it here.</p>" * (k == 2) for k in range(6)) + "</div></body>"
+    rows = hx.labelled(page)
+    assert [b.text for b, odds, kept in rows if not kept and odds > 0] == ["More about it here."]
+
+
+def test_results_do_not_rest_on_names(sf_small):
+    import re
+
+    import pyarrow.parquet as pq
+    pages = [p for p in pq.read_table(f"{sf_small}/pages.parquet").column("html").to_pylist() if p]
+    for p in pages:
+        assert hx.main_blocks(re.sub(r'\b(class|id|role)="[^"]*"', r'\1="qwx"', p)) == hx.main_blocks(p)
+
+
+def test_elements_without_ends_take_linear_time():
+    for tag in ("svg", "button", "object", "iframe", "form", "div class=ad"):
+        assert hx.main_blocks(f"<{tag}>" * 4000 + f"<h1>Heading</h1><p>{P1}</p><p>{P2}</p>") == ["Heading", P1, P2]
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<<<>>>", "<p", "<script>never closed <p>x", "<!-- open", "<a href='x", "</div></div>", "&#xZZ;&#0;", "<div " + "a='" * 50, "<p>" * 3000])
 def test_broken_pages_do_not_crash(page):
     hx.main_blocks(page)
