@@ -4,7 +4,7 @@ The index follows the usual frequency-descending string-indexer rule: the
 label on the most line rows gets 0; ties are ordered by the label's text
 (numeric labels compare as text too).
 
-Label joins know the frequency of each label and so which ones are hot: those
+A label's index is its rank, so label joins know the hot labels: the first ones
 are looked up map-side, and their rows do not meet in one task.
 """
 
@@ -18,7 +18,7 @@ from basketlens.session import materialize
 from basketlens.schemas import index_column
 
 
-#: A label on at least one in so many rows is hot. No more than this many labels can be.
+#: The first so many labels are looked up map-side: among them is every label on more than one in so many rows.
 HOT_LABELS = 200
 
 
@@ -86,22 +86,18 @@ def top_indexes(df: DataFrame, sizes: dict[str, int]) -> dict[str, DataFrame]:
     return out
 
 
-def _label_join(df: DataFrame, labels: DataFrame, key: str, value: str) -> DataFrame:
+def _label_join(df: DataFrame, labels: DataFrame, key: str, value: str, rank: str) -> DataFrame:
     """Inner join of ``df`` with the label table on ``key``, which adds ``value``.
 
-    Hot labels (at most ``HOT_LABELS`` rows, whatever the size of the data) are
-    broadcast; a row that finds its label there goes on under a hash of its own
-    instead of its label, so that a label on a third of all rows is spread over
-    all tasks. The other labels are joined by sort-merge. A row without a label
-    finds none and goes before the shuffle. A label table without frequencies is
-    joined as it is.
+    The ``HOT_LABELS`` most frequent labels (that many rows at most, whatever the
+    size of the data) are broadcast; a row that finds its label there goes on under
+    a hash of its own instead of its label, so that a label on a third of all rows
+    is spread over all tasks. The other labels are joined by sort-merge. A row
+    without a label finds none and goes before the shuffle.
     """
-    if "frequency" not in labels.columns:
-        return df.join(labels.select(key, value), key)
-    hot_if = F.col("frequency") * HOT_LABELS >= labels.agg(F.sum("frequency")).scalar()
-    hot = labels.where(hot_if).select(key, F.col(value).alias("_hot"))
+    hot = labels.where(F.col(rank) < HOT_LABELS).select(key, F.col(value).alias("_hot"))
     # One key of both parts: a constant part of its own would be folded out of the join's keys.
-    rest = labels.where(~hot_if).select(F.struct(F.col(key).alias("label"), F.lit(0).cast("long").alias("row")).alias("_at"), F.col(value).alias("_rest"))
+    rest = labels.where(F.col(rank) >= HOT_LABELS).select(F.struct(F.col(key).alias("label"), F.lit(0).cast("long").alias("row")).alias("_at"), F.col(value).alias("_rest"))
     row = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*df.columns).bitwiseOR(F.lit(1))).cast("long")
     found = (df.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left")
              .withColumn("_at", F.struct(F.col(key).alias("label"), row.alias("row")))
@@ -113,14 +109,15 @@ def _label_join(df: DataFrame, labels: DataFrame, key: str, value: str) -> DataF
 
 def index_labels(df: DataFrame, labels: DataFrame, column: str, index_col: str | None = None) -> DataFrame:
     """Attach ``<column>Index`` to ``df`` by joining the label table on the label."""
-    return _label_join(df, labels, column, index_col or index_column(column))
+    index_col = index_col or index_column(column)
+    return _label_join(df, labels, column, index_col, index_col)
 
 
 def restore_labels(df: DataFrame, labels: DataFrame, column: str, index_col: str | None = None,
                    keep_index: bool = False) -> DataFrame:
     """Inverse of the index: join the label back, keeping its original type."""
     index_col = index_col or index_column(column)
-    out = _label_join(df, labels, index_col, column)
+    out = _label_join(df, labels, index_col, column, index_col)
     return out if keep_index else out.drop(index_col)
 
 

@@ -53,9 +53,9 @@ def test_same_rows_as_a_plain_join(spark):
 
 
 def test_hot_labels_are_few(spark):
-    """However the lines are spread, no more labels than the bound are broadcast."""
-    lines = spark.range(1000).select(F.concat(F.lit("c"), (F.col("id") % I.HOT_LABELS).cast("string")).alias("client"), "id")
+    """However the lines are spread, no more labels than the bound are broadcast, and every hot one is."""
+    lines = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % (2 * I.HOT_LABELS)).cast("string"))).alias("client"), "id")
     labels = I.frequency_index(lines, "client")
-    total = labels.agg(F.sum("frequency")).first()[0]
-    assert labels.where(F.col("frequency") * I.HOT_LABELS >= total).count() == I.HOT_LABELS
-    assert I.index_labels(lines, labels, "client").count() == 1000
+    first = [r.client for r in labels.where(F.col("clientIndex") < I.HOT_LABELS).collect()]
+    assert len(first) == I.HOT_LABELS and "hot" in first
+    assert I.index_labels(lines, labels, "client").count() == 3000
