@@ -12,6 +12,7 @@ it.
 A source has about sqrt(words) / SHARD_ROOT shards: number and size of shards
 both grow with the root of the source, so neither the windows over a shard nor
 those over a source's shards hold more than a small part of a hot source.
+Windows without a key hold one row a source.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.functions.row_index import with_row_index
 from basketlens.llm.common import WORD
 from basketlens.session import materialize
 
@@ -87,6 +89,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", F.least("__cap", F.coalesce(F.col("__level.u") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
+def _repeats(counted: DataFrame) -> DataFrame:
+    """``place, again`` of the rows whose id is null or not theirs alone: a number each.
+
+    The number is the row's position among them by id, source, size and text,
+    so reruns agree (rows that agree in all of these stand for each other), and
+    it enters the hash that deals rows to shards: no id brings its rows together.
+    """
+    shared = counted.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    rows = counted.select("place", "doc_id", "source", "size", "text_hash")
+    repeated = rows.filter("doc_id is null").unionByName(rows.filter("doc_id is not null").join(shared, "doc_id", "left_semi"))
+    return with_row_index(repeated, ["doc_id", "source", "size", "text_hash", "place"], "again").select("place", "again")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
         weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(documents, pieces)`` of the mix.
@@ -96,17 +111,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the runs of words that the mix takes (``first`` counted from 0) and how
     often. A null or empty text has size 0 and gives nothing. A null source is
     a source of its own, the last. Rows with equal ids (or null ids) are
-    documents of their own. ``documents`` also has the columns ``carry``; others
+    documents of their own, dealt to shards one by one. An empty table gives an
+    empty mix. ``documents`` also has the columns ``carry``; others
     are ignored; reruns agree.
     """
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
-    counted = materialize(counted, "sizes")
+                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                          F.xxhash64(text_col).alias("text_hash"), *carry)
+    counted = materialize(counted.withColumn("place", F.monotonically_increasing_id()), "sizes")
+    counted = materialize(counted.join(_repeats(counted), "place", "left").drop("text_hash", "place"), "sizes")
     sizes = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = materialize(sizes.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SHARD_ROOT))), "sources")
     placed = counted.join(sources, counted["source"].eqNullSafe(sources["source"])).select(
         counted["doc_id"], counted["source"], "size", "source_size", "target", *carry,
-        (F.conv(F.substring(_digest(seed, "doc_id"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
+        "again", (F.conv(F.substring(_digest(seed, "doc_id", "again"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
     shards = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
                          .withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)), "shards")
     # a source's votes are its target in blocks of its own mean size (about BLOCK words)
@@ -121,7 +139,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .withColumn("rank", F.row_number().over(by_shard.orderBy(_digest(seed, "source", "shard", "block"), "block")))
              .select("source", "shard", "block", F.expr(f"least({int(most)}, given div blocks + if(rank <= given % blocks, 1, 0))").alias("copies"))
              .filter("copies > 0"))
-    order = by_shard.orderBy(_digest(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = by_shard.orderBy(_digest(seed + 1, "doc_id", "again"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("shard_size", F.sum("size").over(by_shard)).withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)).withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size")).withColumn("row", F.monotonically_increasing_id())
     laid = materialize(laid, "laid")
     parts = laid.filter("size > 0").select("row", "source", "shard", "start", "end", "shard_size", "blocks", F.explode(F.expr("sequence(start * blocks div shard_size, (end - 1) * blocks div shard_size)")).alias("block"))
@@ -149,6 +167,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spaced = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     copies = joined.withColumn("__tokens", spaced).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(int(most)))))
     taken = copies.withColumn("__mine", F.expr("filter(__pieces, p -> p.copies >= __copy)")).filter("size(__mine) > 0")
-    part = F.rtrim(F.array_join(F.flatten(F.expr("transform(__mine, p -> slice(__tokens, cast(p.first + 1 as int), cast(p.words as int)))")), ""))
+    part = F.array_join(F.flatten(F.expr("transform(__mine, p -> slice(__tokens, cast(p.first + 1 as int), cast(p.words as int)))")), "")
+    part = F.rtrim(part, F.lit(" \t\n\x0b\x0c\r"))
     whole = F.expr("aggregate(__mine, 0L, (s, p) -> s + p.words) = __size")
     return taken.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(docs.columns)
