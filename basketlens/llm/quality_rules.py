@@ -45,6 +45,8 @@ P = len(FEATURES)
 #: Share of a group that an estimate rests on (the p + 1 rows more that keep a bare scatter
 #: regular are not needed: the floors do that); rows that an estimate needs.
 SUBSET, LEAST_ROWS = 0.5, 60
+#: A group's rows are dealt to parts of about so many rows.
+PART_ROWS = 1000
 #: Rank accuracy of an edge (1 / so much of the rows); relative move below which an edge stands
 #: still (above what the accuracy leaves open); fall of the log determinant that counts as one.
 EDGE_ACCURACY, STILL, FALL = 10_000, 1e-3, 1e-6
@@ -140,14 +142,19 @@ def _products(vector: list[str], over: str = "1D") -> Column:
     return F.array(*[F.expr(f"sum({vector[i]} * {vector[j]} / {over})") for i, j in PAIRS])
 
 
-def _starts(x: DataFrame) -> DataFrame:
+def _to_parts(per_group: DataFrame, parts: DataFrame) -> DataFrame:
+    """A row per group -> the row once for each part that the group's rows are dealt to."""
+    return per_group.join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+
+
+def _starts(x: DataFrame, parts: DataFrame) -> DataFrame:
     """Three starts per group: medians and median deviations, the shortest half of
     each feature, and the medians with the scatter of the rows' directions."""
     middle = len(LEVELS) // 2
     quantiles = x.groupBy("grp").agg(F.array(*[F.percentile_approx(F.col("x")[k], LEVELS, 1000) for k in range(P)]).alias("q"))
-    spread = materialize(x.join(quantiles, "grp").groupBy("grp").agg(
+    spread = materialize(x.join(_to_parts(quantiles, parts), ["grp", "part"]).groupBy("grp").agg(
         F.first("q").alias("q"), F.array(*[F.percentile_approx(F.abs(F.col("x")[k] - F.col("q")[k][middle]), 0.5, 1000) for k in range(P)]).alias("mad")), "spread")
-    z = x.join(spread, "grp").select("grp", "q", "mad", *[F.expr(f"(x[{k}] - q[{k}][{middle}]) / sqrt(pow(1.4826D * mad[{k}], 2) + {FEATURES[k][2] ** 2}D)").alias(f"z{k}") for k in range(P)])
+    z = x.join(_to_parts(spread, parts), ["grp", "part"]).select("grp", "q", "mad", *[F.expr(f"(x[{k}] - q[{k}][{middle}]) / sqrt(pow(1.4826D * mad[{k}], 2) + {FEATURES[k][2] ** 2}D)").alias(f"z{k}") for k in range(P)])
     z = z.withColumn("zz", F.expr("greatest(" + " + ".join(f"z{k} * z{k}" for k in range(P)) + ", 1e-12D)"))
     signs = z.groupBy("grp").agg(F.first("q").alias("q"), F.first("mad").alias("mad"), F.count("*").alias("n"), _products([f"z{k}" for k in range(P)], "zz").alias("signs"))
 
@@ -195,14 +202,20 @@ def _group_estimates(moments: DataFrame) -> DataFrame:
 DISTANCE = " + ".join(f"{1 if i == j else 2}D * inverse[{i * P + j}] * (x[{i}] - centre[{i}]) * (x[{j}] - centre[{j}])" for i, j in PAIRS)
 
 
-def _estimates(x: DataFrame) -> DataFrame:
-    """``grp, x`` -> per group the centre and inverse scatter of least determinant."""
-    state, settled = materialize(_starts(x), "estimate"), []
+def _estimates(x: DataFrame, parts: DataFrame) -> DataFrame:
+    """``grp, part, x`` and ``grp, parts`` -> per group the centre and inverse scatter of least determinant.
+
+    Rows meet what is known of their group part by part, so that a join deals a
+    group to as many tasks as it has parts; sums are then taken per group, each
+    task's own first.
+    """
+    state, settled = materialize(_starts(x, parts), "estimate"), []
     while True:
-        near = x.join(state.filter("moving").select("grp", "start", "centre", "inverse", F.col("logdet").alias("last_logdet"), F.col("edge").alias("last_edge")), "grp")
-        near = near.select("grp", "start", "x", "last_logdet", "last_edge", F.expr(DISTANCE).alias("d"))
+        moving = state.filter("moving").select("grp", "start", "centre", "inverse", F.col("logdet").alias("last_logdet"), F.col("edge").alias("last_edge"))
+        near = x.join(_to_parts(moving, parts), ["grp", "part"])
+        near = near.select("grp", "part", "start", "x", "last_logdet", "last_edge", F.expr(DISTANCE).alias("d"))
         edge = near.groupBy("grp", "start").agg(F.percentile_approx("d", SUBSET, EDGE_ACCURACY).alias("edge"))
-        inner = near.join(edge, ["grp", "start"]).filter("d <= edge")
+        inner = near.join(_to_parts(edge, parts), ["grp", "part", "start"]).filter("d <= edge")
         moments = inner.groupBy("grp", "start").agg(
             F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"), _products([f"x[{i}]" for i in range(P)]).alias("products"),
             F.max("edge").alias("edge"), F.max("last_edge").alias("last_edge"), F.max("last_logdet").alias("last_logdet"))
@@ -229,14 +242,18 @@ def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     base = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "vectors")
     sizes = materialize(base.groupBy("__own", "__first").agg(F.count("*").alias("n")), "sizes")
     whole = sizes.agg(F.sum("n")).first()[0] or 0
-    judges = sizes.join(sizes.groupBy("__first").agg(F.sum("n").alias("of_first")), "__first").select("__own", "__first", F.expr(
+    judges = sizes.join(sizes.groupBy("__first").agg(F.sum("n").alias("of_first")), "__first").select("__own", "__first", "n", "of_first", F.expr(
         f"case when n >= {LEAST_ROWS} then __own when of_first >= {LEAST_ROWS} then __first when {whole} >= {LEAST_ROWS} then '' end").alias("judge"))
     judges = materialize(judges, "judges")
     needed = judges.filter("judge is not null").select(F.col("judge").alias("grp")).distinct()
     # A row takes part in every estimate that some group needs: its own group's, its first key's, the whole table's.
-    part = judges.select("__own", F.explode(F.array("__own", "__first", F.lit(""))).alias("grp")).join(needed, "grp")
+    groups = judges.select("__own", F.explode(F.array(F.struct(F.col("__own").alias("grp"), "n"), F.struct(F.col("__first").alias("grp"), F.col("of_first").alias("n")),
+                                                      F.struct(F.lit("").alias("grp"), F.lit(whole).cast("long").alias("n")))).alias("g")).select("__own", "g.*").distinct()
+    member = groups.join(needed, "grp").withColumn("parts", F.ceil(F.col("n") / PART_ROWS))
+    parts = materialize(member.select("grp", "parts").distinct(), "parts")
     vectors = base.select("__row", "__own", F.array(*[f"__{n}" for n in names]).alias("x"))
-    best = _estimates(materialize(vectors.join(part, "__own").select("grp", "x"), "grouped"))
+    grouped = vectors.join(member, "__own").select("grp", F.pmod(F.xxhash64("__row", F.lit(5)), "parts").alias("part"), "x")
+    best = _estimates(materialize(grouped, "grouped"), parts)
     judged = judges.select("__own", "judge").join(best, F.col("judge") == F.col("grp")).select("__own", "centre", "inverse")
     distances = vectors.join(judged, "__own", "left").select("__row", F.expr(DISTANCE).alias("distance"))
     return base.join(distances, "__row").select(*rows.columns, "distance")
@@ -249,7 +266,8 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     three-word windows, fails and takes no part in the estimates (its distance
     is null). Others are kept unless their distance exceeds ``CUTOFF``. A null
     text has no words; null languages and sources are groups of their own;
-    repeated rows count as often as they come; other columns are ignored.
+    repeated rows count as often as they come; other columns are ignored; an
+    empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     stats = materialize(document_statistics(rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "statistics")
