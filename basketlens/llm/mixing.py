@@ -102,6 +102,21 @@ def _repeats(counted: DataFrame) -> DataFrame:
     return with_row_index(repeated, ["doc_id", "source", "size", "text_hash", "place"], "again").select("place", "again")
 
 
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
+           weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, again, shard`` and ``carry`` of every row: the shard that it is dealt to."""
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                          F.xxhash64(text_col).alias("text_hash"), *carry)
+    counted = materialize(counted.withColumn("place", F.monotonically_increasing_id()), "sizes")
+    counted = materialize(counted.join(_repeats(counted), "place", "left").drop("text_hash", "place"), "sizes")
+    sizes = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    sources = materialize(sizes.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SHARD_ROOT))), "sources")
+    return counted.join(sources, counted["source"].eqNullSafe(sources["source"])).select(
+        counted["doc_id"], counted["source"], "size", "source_size", "target", *carry,
+        "again", (F.conv(F.substring(_digest(seed, "doc_id", "again"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42,
         weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(documents, pieces)`` of the mix.
@@ -115,17 +130,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty mix. ``documents`` also has the columns ``carry``; others
     are ignored; reruns agree.
     """
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                          F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                          F.xxhash64(text_col).alias("text_hash"), *carry)
-    counted = materialize(counted.withColumn("place", F.monotonically_increasing_id()), "sizes")
-    counted = materialize(counted.join(_repeats(counted), "place", "left").drop("text_hash", "place"), "sizes")
-    sizes = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    sources = materialize(sizes.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SHARD_ROOT))), "sources")
-    placed = counted.join(sources, counted["source"].eqNullSafe(sources["source"])).select(
-        counted["doc_id"], counted["source"], "size", "source_size", "target", *carry,
-        "again", (F.conv(F.substring(_digest(seed, "doc_id", "again"), 1, 12), 16, 10).cast("long") % F.col("shards")).alias("shard"))
-    shards = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
+    dealt = placed(docs, id_col, text_col, source_col, seed, weights, share, most, carry)
+    shards = materialize(dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
                          .withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)), "shards")
     # a source's votes are its target in blocks of its own mean size (about BLOCK words)
     votes = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"), F.max("source_size").alias("size"), F.max("target").alias("target")).select(
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .select("source", "shard", "block", F.expr(f"least({int(most)}, given div blocks + if(rank <= given % blocks, 1, 0))").alias("copies"))
              .filter("copies > 0"))
     order = by_shard.orderBy(_digest(seed + 1, "doc_id", "again"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = placed.withColumn("shard_size", F.sum("size").over(by_shard)).withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)).withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size")).withColumn("row", F.monotonically_increasing_id())
+    laid = dealt.withColumn("shard_size", F.sum("size").over(by_shard)).withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)).withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size")).withColumn("row", F.monotonically_increasing_id())
     laid = materialize(laid, "laid")
     parts = laid.filter("size > 0").select("row", "source", "shard", "start", "end", "shard_size", "blocks", F.explode(F.expr("sequence(start * blocks div shard_size, (end - 1) * blocks div shard_size)")).alias("block"))
     joined = parts.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.shard") == F.col("t.shard")) & (F.col("p.block") == F.col("t.block")))

@@ -7,15 +7,19 @@ rows, each view's classifier labels the unlabelled rows that it is surest of
 for the other view, round after round. Both are then calibrated on labelled
 rows kept apart, combined, and every document of the corpus is scored.
 
-The fit uses bounded samples (``FIT_ROWS`` labelled, ``POOL_ROWS`` unlabelled
-rows, the smallest by a hash of the id); scoring covers every row and whole
-texts.
+The labelled rows of the fit are a bounded sample (``FIT_ROWS``, the smallest by
+a hash of the id). The pool is every unlabelled row of the corpus: the features
+of both views are written once, each round scores all of them, and the
+rows that a view is surest of, of all unlabelled rows, pass to the other view, a
+share ``PASSED`` of the labelled rows in number. Rows of equal features count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -24,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import give_back
+from basketlens.session import materialize, scratch_scope
 
-#: Labelled and unlabelled rows that the fit takes at most.
-FIT_ROWS, POOL_ROWS = 6000, 4000
-#: Rounds of co-training; share of the pool that a view labels for the other in a round.
-ROUNDS, EXCHANGED = 5, 0.08
+#: Labelled rows that the fit takes at most.
+FIT_ROWS = 6000
+#: Rounds of co-training; rows that a view labels for the other in a round, as a share of the labelled rows
+#: (so that pseudo-labels stay fewer than labels), both labels by their share.
+ROUNDS, PASSED = 5, 0.05
 #: A pseudo-label needs this calibrated certainty.
 SURE = 0.95
+LEAST_ODDS = math.log(SURE / (1 - SURE))
 #: One labelled row in so many is kept apart for calibration.
 APART = 4
 #: Documents with a lower score are rejected.
@@ -138,8 +145,73 @@ class Model:
         return sigmoid(np.stack([a, b], axis=1) @ self.combine[:-1] + self.combine[-1])
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Co-train on labelled views ``x``, ``m`` with labels ``y`` (0/1, both present) and an unlabelled pool."""
+#: Weights and calibration (slope, intercept) of a view.
+View = tuple[np.ndarray, np.ndarray]
+#: A pool of unlabelled rows: for the two views, the pseudo-labels that each has received (by row) and the most rows
+#: of each label, the rows that each view passes on: ``(row, label, features in the other view)``.
+Pool = Callable[[list[View], list[dict], dict[int, int]], list[list[tuple]]]
+
+
+def _calibrated(features: np.ndarray, view: View) -> np.ndarray:
+    return _odds(features, view[0]) * view[1][0] + view[1][1]
+
+
+def array_pool(pool_x: np.ndarray, pool_m: np.ndarray) -> Pool:
+    """A pool of rows held as arrays."""
+    def surest(views: list[View], given: list[dict], most: dict[int, int]) -> list[list[tuple]]:
+        passed: list[list[tuple]] = [[], []]
+        for view, (own, other) in enumerate(((pool_x, pool_m), (pool_m, pool_x))):
+            odds = _calibrated(own, views[view])
+            fresh = np.array([r not in given[1 - view] for r in range(len(odds))], bool)
+            for label, sure in ((1, odds), (0, -odds)):
+                ready = np.flatnonzero(fresh & (sure >= LEAST_ODDS))
+                passed[view] += [(r, label, other[r]) for r in ready[np.argsort(-sure[ready], kind="stable")][:most[label]].tolist()]
+        return passed
+    return surest
+
+
+def table_pool(features: DataFrame, labelled: DataFrame) -> Pool:
+    """The rows of a written table ``key, x, m`` whose key is not in ``labelled`` (``key``, each once).
+
+    A round scores every row; rows of one key are one row. What reaches the
+    driver is what is passed on: a share ``PASSED`` of the fit's labelled rows.
+    """
+    spark = features.sparkSession
+
+    def surest(views: list[View], given: list[dict], most: dict[int, int]) -> list[list[tuple]]:
+        known = [set(given[1]), set(given[0])]  # what a view need not pass on
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                for view, (column, kind) in enumerate(((1, np.float16), (2, np.float32))):
+                    if keys:
+                        odds = _calibrated(_matrix(batch.column(column).to_pylist(), kind), views[view])
+                        rows = [r for r in np.flatnonzero(np.abs(odds) >= LEAST_ODDS).tolist() if keys[r] not in known[view]]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([keys[r] for r in rows], pa.binary()), pa.array([view] * len(rows), pa.int32()), pa.array(odds[rows].astype(np.float64))], ["key", "view", "odds"])
+
+        found = features.select("key", "x", "m").mapInArrow(run, "key binary, view int, odds double").groupBy("key", "view").agg(F.max("odds").alias("odds"))
+        found = materialize(found.join(labelled, "key", "left_anti"), "surest")
+        sides = [found.filter(f"view = {view} and {sign} * odds > 0").orderBy(F.col("odds") * -sign, "key").limit(most[label])
+                 .select("key", "view", F.lit(label).alias("label")) for view in (0, 1) for label, sign in ((1, 1), (0, -1))]
+        picked = reduce(DataFrame.union, sides).collect()
+        keys = spark.createDataFrame([(k,) for k in {bytes(r["key"]) for r in picked}], "key binary")  # at most 2 * PASSED * FIT_ROWS
+        rows = {bytes(r["key"]): r for r in features.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("x").alias("x"), F.first("m").alias("m")).collect()}
+        passed: list[list[tuple]] = [[], []]
+        for r in picked:
+            of = rows[bytes(r["key"])]
+            other = np.frombuffer(of["m"], np.float32) if r["view"] == 0 else np.frombuffer(of["x"], np.float16).astype(np.float32)
+            passed[r["view"]].append((bytes(r["key"]), r["label"], other))
+        return passed
+    return surest
+
+
+def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray | None = None, pool_m: np.ndarray | None = None, rounds: int = ROUNDS,
+             pool: Pool | None = None, passed: float = PASSED) -> Model:
+    """Co-train on labelled views ``x``, ``m`` with labels ``y`` (0/1, both present) and unlabelled rows: two arrays, or any ``pool``."""
+    if pool is None:
+        pool = array_pool(pool_x, pool_m)
     apart = np.arange(len(y)) % APART == 0
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)  # too few rows to keep any apart: calibrate on the training rows
@@ -147,73 +219,84 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, po
     else:
         check = apart
     train = ~apart
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view, and for the metadata view
+    given: list[dict] = [{}, {}]  # row -> pseudo-label and features, for the text view and for the metadata view
     share = y[train].mean()
+    most = {1: max(1, int(passed * train.sum() * share)), 0: max(1, int(passed * train.sum() * (1 - share)))}
 
-    def fit(view: int) -> tuple[np.ndarray, np.ndarray]:
-        own, pool = ((x, pool_x), (m, pool_m))[view]
-        rows = sorted(given[view])
-        w = logistic(np.concatenate([own[train], pool[rows]]), np.concatenate([y[train], [given[view][r] for r in rows]]))
+    def fit(view: int) -> View:
+        own = (x, m)[view]
+        rows = [given[view][r] for r in sorted(given[view])]
+        w = logistic(np.concatenate([own[train], *[f[None] for _, f in rows]]), np.concatenate([y[train], [label for label, _ in rows]]))
         scale = logistic(_odds(own[check], w)[:, None], y[check], ridge=1e-2)
         return w, scale
 
-    models = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool_x) else 0):
-        for view, pool in ((0, pool_x), (1, pool_m)):
-            w, scale = models[view]
-            p = sigmoid(_odds(pool, w) * scale[0] + scale[1])
-            other = given[1 - view]
-            fresh = np.array([r not in other for r in range(len(p))])
-            for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                ready = np.flatnonzero(fresh & (sure >= SURE))
-                most = max(1, int(EXCHANGED * len(p) * part))
-                for r in ready[np.argsort(-sure[ready], kind="stable")][:most].tolist():
-                    other[r] = label
-        models = [fit(0), fit(1)]
-    (wt, st), (wm, sm) = models
+    views = [fit(0), fit(1)]
+    for _ in range(rounds):
+        fresh = pool(views, given, most)
+        for view in (0, 1):
+            given[1 - view].update({row: (label, features) for row, label, features in fresh[view]})
+        if not any(fresh):
+            break
+        views = [fit(0), fit(1)]
+    (wt, st), (wm, sm) = views
     model = Model(wt, wm, np.zeros(3), st, sm, (len(given[0]), len(given[1])))
     model.combine = logistic(np.stack(model.views(x[check], m[check]), axis=1), y[check], ridge=1e-1)
     return model
 
 
+def _matrix(rows: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float32)
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> list[F.Column]:
     return [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality",
-        fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model | None:
-    """Learn from ``docs`` that have a label (0/1; of several the larger part, a tie is none); None without rows of both labels."""
-    labelled = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
-                .agg(F.avg(F.col(label_col).cast("double")).alias("share")).filter("share <> 0.5").select("id", F.expr("if(share > 0.5, 1, 0)").alias("y")))
-    place = F.xxhash64(F.col("id"), F.lit(11))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
-    chosen = ids.join(labelled, "id").orderBy(place, "id").limit(fit_rows)
-    pool = ids.join(labelled, "id", "left_anti").orderBy(place, "id").limit(pool_rows).withColumn("y", F.lit(-1))
-    picked = F.broadcast(chosen.union(pool))  # at most fit_rows + pool_rows ids
-
+def view_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """``doc_id, key, x, m`` of every row: the features of both views as bytes, and a hash of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
-            texts = [(t or "").encode() for _, t, _, _, _ in rows]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(4), pa.array([text_features(t).astype(np.float16).tobytes() for t in texts], pa.binary()),
-                pa.array([meta_features(s, l, t).tobytes() for (_, _, s, l, _), t in zip(rows, texts)], pa.binary())], ["doc_id", "y", "x", "m"])
-
-    got = docs.select(*_columns(docs, id_col, text_col, source_col, lang_col)).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "source", "lang", "y").mapInArrow(
-        run, "doc_id long, y int, x binary, m binary").collect()
-    unique = {(r["doc_id"], bytes(r["x"]), bytes(r["m"])): r["y"] for r in got}  # a repeated row counts once
+            x, m = [], []
+            for text, source, lang in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                raw = (text or "").encode()
+                x.append(text_features(raw).astype(np.float16).tobytes())
+                m.append(meta_features(source, lang, raw).tobytes())
+            keys = [blake2b(a + b, digest_size=16).digest() for a, b in zip(x, m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.binary()) for v in (keys, x, m))], ["doc_id", "key", "x", "m"])
+        give_back()
+    return docs.select(*_columns(docs, id_col, text_col, source_col, lang_col)).mapInArrow(run, "doc_id long, key binary, x binary, m binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality",
+        fit_rows: int = FIT_ROWS, passed: float = PASSED, rounds: int = ROUNDS) -> Model | None:
+    """Learn from ``docs`` that have a label (0/1; of several the larger part, a tie is none); None without rows of both labels.
+
+    Rows with a null id have no label and are part of the pool. A row that comes
+    more than once counts once. An empty table has no rows of both labels.
+    """
+    with scratch_scope(docs.sparkSession):
+        model = _fit(view_features(docs, id_col, text_col, source_col, lang_col), labels, id_col, label_col, fit_rows, passed, rounds)
+    give_back()  # the driver goes on with little
+    return model
+
+
+def _fit(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, passed: float, rounds: int) -> Model | None:
     import zlib
-    rows = sorted(unique.items(), key=lambda r: (zlib.crc32(str(r[0][0]).encode()), r[0]))
-    y = np.array([v for _, v in rows], np.int64)
+    features = materialize(features, "features")
+    labelled = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
+                .agg(F.avg(F.col(label_col).cast("double")).alias("share")).filter("share <> 0.5").select("doc_id", F.expr("if(share > 0.5, 1, 0)").alias("y")))
+    own = materialize(features.select("doc_id", "key").filter("doc_id is not null").distinct().join(labelled, "doc_id"), "labelled")
+    chosen = own.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "key").limit(fit_rows).collect()
+    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["key"]), r["y"]) for r in chosen)
+    y = np.array([r[3] for r in rows], np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    x = np.stack([np.frombuffer(k[1], np.float16) for k, _ in rows])
-    m = np.stack([np.frombuffer(k[2], np.float32) for k, _ in rows])
-    del got, unique, rows
-    model = co_train(x[y >= 0].astype(np.float32), m[y >= 0], y[y >= 0], x[y < 0].astype(np.float32), m[y < 0], rounds)
-    del x, m
-    give_back()  # the driver goes on with little
-    return model
+    keys = features.sparkSession.createDataFrame([(k,) for k in {r[2] for r in rows}], "key binary")  # at most fit_rows
+    got = {bytes(r["key"]): (r["x"], r["m"]) for r in features.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("x").alias("x"), F.first("m").alias("m")).collect()}
+    x, m = _matrix([bytes(got[r[2]][0]) for r in rows], np.float16), _matrix([bytes(got[r[2]][1]) for r in rows], np.float32)
+    del got, chosen
+    return co_train(x, m, y, rounds=rounds, pool=table_pool(features, own.select("key").distinct()), passed=passed)
 
 
 def _scores(model: Model | None, rows: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -119,3 +119,14 @@ def test_repeated_ids_are_documents_of_their_own(spark):
     assert all(words[i].count(w) <= 2 for i in words for w in set(words[i]))
     total = sum(map(len, text.values()))
     assert abs(sum(map(len, words.values())) - 1.5 * total) <= 140 + 0.004 * total
+
+
+def test_no_id_fills_a_shard(spark):
+    """A third of all rows without an id and a third with one id: their words are spread over the shards like the others'."""
+    rows = [((None, 7, i)[i % 3], "a b c d e f g h " * (20 + i % 5), "s") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    laid = mixing.placed(frame).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert len(laid) > 10 and laid.max() < 2 * laid.median()
+    documents, _ = mixing.mix(frame)
+    total = documents.agg({"taken": "sum", "size": "sum"}).first()
+    assert documents.count() == 3000 and abs(total["sum(taken)"] - 1.5 * total["sum(size)"]) <= 70 + 0.002 * total["sum(size)"]

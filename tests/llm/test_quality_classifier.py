@@ -32,6 +32,23 @@ def test_unlabelled_rows_help():
     assert accuracy(8) >= accuracy(0)
 
 
+def test_pool_of_a_table_is_that_of_arrays(spark):
+    """Every unlabelled row takes part: the surest of a table, copies once, are those of the distinct rows as arrays."""
+    rng = np.random.default_rng(1)
+    x, m = rng.normal(size=(600, 5)).astype(np.float16), rng.normal(size=(600, 4)).astype(np.float32)
+    keys = [f"{i:05d}".encode() for i in range(600)]
+    rows = [(keys[i], x[i].tobytes(), m[i].tobytes()) for i in range(600)]
+    features = spark.createDataFrame(rows + rows[:1] * 300 + [(b"known", x[0].tobytes(), m[0].tobytes())], "key binary, x binary, m binary")
+    views = [(np.array([2.0, -1, 1, 0, 1, 0.1]), np.array([2.0, 0.3])), (np.array([1.0, 2, -2, 1, 0.0]), np.array([1.5, -0.2]))]
+    given = [{keys[i]: 1 for i in range(0, 600, 3)}, {keys[i]: 0 for i in range(0, 600, 4)}]
+    got = qc.table_pool(features, spark.createDataFrame([(b"known",)], "key binary"))(views, given, {1: 40, 0: 25})
+    want = qc.array_pool(x.astype(np.float32), m)(views, [{int(k): v for k, v in g.items()} for g in given], {1: 40, 0: 25})
+    for a, b in zip(got, want):
+        assert len(b) == 65 and {(int(k), label) for k, label, _ in a} == {(r, label) for r, label, _ in b}
+        of = {r: f for r, _, f in b}
+        assert all(np.allclose(f, of[int(k)]) for k, _, f in a)
+
+
 def test_odd_rows(spark):
     good, bad = "A calm line of words that reads well enough. ", "BUY!!! $$$ NOW!!! "
     rows = [(i, (good if i % 2 else bad) * (3 + i % 7), f"s{i % 3}", "en") for i in range(120)]
