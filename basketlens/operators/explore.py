@@ -3,9 +3,9 @@
 Plan shape, chosen for large inputs:
 
 * every report is one aggregation of the line table (partial aggregation
-  map-side, one shuffle on the group key; distinct counts are split by
-  Catalyst into a (key, value) pre-aggregation, so a hot key is spread over
-  many tasks);
+  map-side, one shuffle on the group key; distinct counts become a
+  (key, value) pre-aggregation, so a hot key is spread over many tasks, and
+  several of them share one pass as (column, value) rows: no Expand);
 * client reports group by the raw ``client``, count its lines in the same
   pass, and index the result - one row per client, never all lines;
 * shares of a total read the total as a scalar subquery (one value computed
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens import schemas as S
-from basketlens.functions.columns import money_sum, percent_of, ratio, round_half_even
+from basketlens.functions.columns import ROUNDING_DECIMAL, money_sum, percent_of, ratio, round_half_even
 from basketlens.functions.row_index import with_row_index
 from basketlens.operators.indexing import frequency_order
 from basketlens.session import materialize
@@ -33,13 +33,27 @@ CLIENT_INDEX = S.index_column(S.CLIENT)
 
 
 def totals(lines: DataFrame) -> DataFrame:
-    """One row of global figures."""
-    return lines.agg(
-        F.count_distinct(S.CLIENT).alias("total_clients"),
-        F.count_distinct(S.PRODUCT).alias("total_different_products"),
-        round_half_even(F.sum(S.UNITS), 0).alias("total_products_sold"),
-        round_half_even(money_sum(S.COST), 2).alias("total_earnings"),
-        F.count_distinct(S.TRANSAC).alias("total_transactions"),
+    """One row of global figures, from one pass over the lines.
+
+    The columns whose distinct values are counted become rows (column number,
+    value); grouped by both, each value is one row of a task in the shuffle,
+    however many lines hold it. The sums ride on the rows of the first column.
+    A null is no value of its column, but its line's units and cost count.
+    """
+    counted = [S.CLIENT, S.PRODUCT, S.TRANSAC]
+    units, cost = F.col(S.UNITS), F.col(S.COST).cast(ROUNDING_DECIMAL)
+    rows = lines.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("column"), F.col(c).cast("string").alias("value"),
+                 (units if k == 0 else F.lit(None)).alias("units"), (cost if k == 0 else F.lit(None)).alias("cost"))
+        for k, c in enumerate(counted)])))
+    values = rows.groupBy("column", "value").agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"))
+    different = [F.count(F.when(F.col("column") == k, F.col("value"))) for k in range(len(counted))]
+    return values.agg(
+        different[0].alias("total_clients"),
+        different[1].alias("total_different_products"),
+        round_half_even(F.sum("units"), 0).alias("total_products_sold"),
+        round_half_even(F.sum("cost"), 2).alias("total_earnings"),
+        different[2].alias("total_transactions"),
     )
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens.operators import explore as X
 from basketlens.operators import indexing as I
@@ -28,6 +29,16 @@ def test_totals(lines):
                  "total_earnings": 31.99, "total_transactions": 4}
 
 
+def test_totals_of_nulls_and_nothing(spark, lines):
+    """A null is no value, its line counts; no lines: counts of nothing."""
+    odd = lines.withColumn("client", F.lit(None).cast(lines.schema["client"].dataType))
+    assert X.totals(odd).first().asDict() == {"total_clients": 0, "total_different_products": 5, "total_products_sold": 11.0,
+                                              "total_earnings": 31.99, "total_transactions": 4}
+    assert tuple(X.totals(lines.limit(0)).first()) == (0, 0, None, None, 0)
+    plan = X.totals(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 2
+
+
 def test_totals_by_product(lines):
     p = _by(X.totals_by_product(lines), "prodName")
     assert p["PAN (BARRA) {GRANDE}"] == {"prodName": "PAN (BARRA) {GRANDE}", "avgPrice": 1.83, "udsSold": 6.0,
