@@ -232,7 +232,7 @@ def vertex_out_degree(spark, sf_dir):
 
 def _lazy_walk(spark, sf_dir, link):
     lines, names = _keyed(spark, sf_dir)
-    ms = G.with_link_sizes(G.memberships(lines, S.PRODUCT_KEY, link))
+    ms = G.sized_memberships(lines, S.PRODUCT_KEY, link)
     run = RK.lazy_walk_rank(ms, S.LAZY_WALK_DAMPING, S.LAZY_WALK_TOLERANCE, S.LAZY_WALK_MAX_ITER)
     return (run.ranks.join(names.withColumnRenamed(S.PRODUCT_KEY, "v"), "v")
             .select(F.col(S.PRODUCT).alias("orig"), round_half_even("rank", 6).alias("rank"))
