@@ -6,8 +6,9 @@ vector of a block can give left row u more than ``|u| * longest of the block``
 (Cauchy-Schwarz), so a left row is done at the first block whose bound is below
 its k-th best score so far: all later blocks are shorter still.
 
-Left rows are dealt over units of bounded size. One shuffle brings a unit its
-rows and every block, sorted by falling length; a task holds its unit's rows,
+Left rows are dealt over units of bounded size, as few as keep all cores at work:
+one shuffle brings a unit its rows and every block, sorted by falling length, so
+what is shuffled is the right rows times the units. A task holds its unit's rows,
 their lists and one block at a time.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Right rows of a block, left rows of a unit at most, and at least (where there are more cores than units).
-BLOCK, UNIT, LEAST_UNIT = 512, 65536, 64
+BLOCK, UNIT, LEAST_UNIT = 512, 262_144, 64
 #: Scores are rounded to floats: a bound must be below by more than that.
 SLACK = 1 + 1e-6
 _FOUND = pa.schema([("left", pa.int32()), ("right", pa.int32()), ("score", pa.float32()), ("scored", pa.int64())])
@@ -90,6 +91,12 @@ class Lists:
                 (np.repeat(ids, some.sum(axis=1)), right[some], score[some], first[some]), _FOUND)], schema=_FOUND)
 
 
+def unit_count(left: DataFrame, cores: int) -> DataFrame:
+    """One row ``n``: units of ``left``; more than ``cores`` only where units would be too large."""
+    n = F.count("*")
+    return left.agg(F.greatest(F.lit(1), F.ceil(n / UNIT), F.least(F.lit(cores), F.ceil(n / LEAST_UNIT))).cast("long").alias("n"))
+
+
 def best_partners(left: DataFrame, right: DataFrame, k: int, scored: Observation | None = None) -> DataFrame:
     """``(left, right, score)``: the ``k`` right ids of largest inner product of every left id.
 
@@ -99,11 +106,11 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, scored: Observation
     of pairs that had to be scored.
     """
     spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
     length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     blocks = (right.select("id", "features", length.alias("length")).orderBy(F.col("length").desc(), "id")
               .mapInArrow(_block_rows, "length double, ids array<int>, features array<float>"))
-    units = left.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / UNIT), F.least(F.lit(2 * parts), F.ceil(F.count("*") / LEAST_UNIT))).cast("long").alias("n")).scalar()
+    units = unit_count(left, cores).scalar()
     rows = left.select(F.pmod(F.xxhash64("id"), units).alias("unit"), F.lit(0).alias("kind"), F.lit(0.0).alias("length"), F.array("id").alias("ids"), "features")
     copies = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), units - 1)).alias("unit"), F.lit(1).alias("kind"), "length", "ids", "features")
 
@@ -129,7 +136,7 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, scored: Observation
         if lists is not None:
             yield from lists.found()
 
-    found = (rows.unionByName(copies).repartition(2 * parts, "unit").sortWithinPartitions("unit", "kind", F.col("length").desc())
+    found = (rows.unionByName(copies).repartitionById(16 * cores, F.col("unit").cast("int")).sortWithinPartitions("unit", "kind", F.col("length").desc())
              .mapInArrow(run, "left int, right int, score float, scored long"))
     if scored is not None:
         found = found.observe(scored, F.sum("scored").alias("pairs"))

@@ -96,3 +96,18 @@ def test_blocks_are_skipped_on_proof(spark):
     seen = Observation()
     rows = factor_topk.best_partners(frame(left), frame(right), 10, scored=seen).collect()
     assert len(rows) == 3000 and seen.get["pairs"] < 0.1 * 300 * 20_000
+
+
+def test_right_rows_are_copied_once_a_core(spark):
+    """Units, so copies of the right rows, follow cores and left rows, not the number of shuffle partitions."""
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    frame = lambda n, m=1: spark.range(n).selectExpr("cast(id as int) id", f"array(cast(id % 7 as float), cast({m} as float)) features")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        assert [factor_topk.unit_count(frame(n), cores).first()["n"] for n in (0, 10, 20_000)] == [1, 1, cores]
+        assert factor_topk.best_partners(frame(20_000), frame(30), 3).count() == 60_000
+        sizes = factor_topk.best_partners(frame(20_000), frame(30), 3).groupBy(F.spark_partition_id()).count().count()
+        assert sizes == cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
