@@ -483,4 +483,4 @@ def tickets_shell_back_to_back(spark, sf_dir):
 @query
 def tickets_shell_indented(spark, sf_dir):
     """S2, every line indented, CRLF line ends."""
-    return _shell(spark, sf_dir, lambda v: F.concat(F.lit("    "), F.regexp_replace(v, "\n", "\r\n    "), F.lit("\r")))
+    return _shell(spark, sf_dir, lambda v: F.concat(F.lit("    "), F.replace(v, F.lit("\n"), F.lit("\r\n    ")), F.lit("\r")))

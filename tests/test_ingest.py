@@ -149,3 +149,23 @@ def test_writers_keep_fractions_and_line_separators(spark, tmp_path):
         tickets.write.json(str(tmp_path / f"js{max_items}"))
         for back in (T.read_shell_export(spark, str(tmp_path / f"sh{max_items}")), T.read_tickets(spark, str(tmp_path / f"js{max_items}"))):
             assert sorted(map(str, T.flatten_baskets(back).select(*COLS).collect())) == want
+
+
+def test_a_document_is_parsed_once(spark, tmp_path):
+    """No filter below the parse repeats it, and no pattern is tried from every blank of an indented line."""
+    import contextlib
+    import io
+    import time
+
+    (tmp_path / "a.json").write_text('{"_id" : NumberInt(1), "mall" : null, "date" : null, "items" : [{"net_am" : 1.5, "n_unit" : NumberInt(2), "desc" : "N I NumberInt(3) [x] "}], "client" : NumberLong("7")}')
+    lines = T.flatten_baskets(T.read_shell_export(spark, str(tmp_path)))
+    assert [(r.transac, r.client, r.prodName, r.prodUds, r.prodsCost) for r in lines.collect()] == [(1, 7, "N I NumberInt(3) [x] ", 2.0, 1.5)]
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        lines.explain()
+    assert out.getvalue().count("from_json(") == 1
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    (wide / "a.json").write_text('{"_id" : 1,' + " " * 200_000 + '"client" : 7, "items" : []}')
+    t0 = time.perf_counter()
+    assert T.read_shell_export(spark, str(wide)).count() == 1
+    assert time.perf_counter() - t0 < 10
