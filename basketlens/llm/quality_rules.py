@@ -126,7 +126,7 @@ CUTOFF = chi_square_quantile(1 - TAIL, P)
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 FLOOR = np.diag([f[2] ** 2 for f in FEATURES])
-STATE = "grp string, start int, centre array<double>, inverse array<double>, logdet double, edge double, moving boolean"
+STATE = "grp string, parts long, start int, centre array<double>, inverse array<double>, logdet double, edge double, moving boolean"
 
 
 def _symmetric(values: Iterable[float]) -> np.ndarray:
@@ -142,21 +142,26 @@ def _products(vector: list[str], over: str = "1D") -> Column:
     return F.array(*[F.expr(f"sum({vector[i]} * {vector[j]} / {over})") for i, j in PAIRS])
 
 
-def _to_parts(per_group: DataFrame, parts: DataFrame) -> DataFrame:
-    """A row per group -> the row once for each part that the group's rows are dealt to."""
-    return per_group.join(parts, "grp").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+def _to_parts(per_group: DataFrame) -> DataFrame:
+    """A row per group with its number of ``parts`` -> the row once for each part that the group's rows are dealt to."""
+    return per_group.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
 
 
-def _starts(x: DataFrame, parts: DataFrame) -> DataFrame:
+def _parts() -> Column:
+    """The number of parts of an aggregated group: its rows carry it, so that no join has to fetch it."""
+    return F.first("parts").alias("parts")
+
+
+def _starts(x: DataFrame) -> DataFrame:
     """Three starts per group: medians and median deviations, the shortest half of
     each feature, and the medians with the scatter of the rows' directions."""
     middle = len(LEVELS) // 2
-    quantiles = x.groupBy("grp").agg(F.array(*[F.percentile_approx(F.col("x")[k], LEVELS, 1000) for k in range(P)]).alias("q"))
-    spread = materialize(x.join(_to_parts(quantiles, parts), ["grp", "part"]).groupBy("grp").agg(
-        F.first("q").alias("q"), F.array(*[F.percentile_approx(F.abs(F.col("x")[k] - F.col("q")[k][middle]), 0.5, 1000) for k in range(P)]).alias("mad")), "spread")
-    z = x.join(_to_parts(spread, parts), ["grp", "part"]).select("grp", "q", "mad", *[F.expr(f"(x[{k}] - q[{k}][{middle}]) / sqrt(pow(1.4826D * mad[{k}], 2) + {FEATURES[k][2] ** 2}D)").alias(f"z{k}") for k in range(P)])
+    quantiles = x.groupBy("grp").agg(_parts(), F.array(*[F.percentile_approx(F.col("x")[k], LEVELS, 1000) for k in range(P)]).alias("q"))
+    spread = materialize(x.join(_to_parts(quantiles), ["grp", "part"]).groupBy("grp").agg(
+        _parts(), F.first("q").alias("q"), F.array(*[F.percentile_approx(F.abs(F.col("x")[k] - F.col("q")[k][middle]), 0.5, 1000) for k in range(P)]).alias("mad")), "spread")
+    z = x.join(_to_parts(spread), ["grp", "part"]).select("grp", "parts", "q", "mad", *[F.expr(f"(x[{k}] - q[{k}][{middle}]) / sqrt(pow(1.4826D * mad[{k}], 2) + {FEATURES[k][2] ** 2}D)").alias(f"z{k}") for k in range(P)])
     z = z.withColumn("zz", F.expr("greatest(" + " + ".join(f"z{k} * z{k}" for k in range(P)) + ", 1e-12D)"))
-    signs = z.groupBy("grp").agg(F.first("q").alias("q"), F.first("mad").alias("mad"), F.count("*").alias("n"), _products([f"z{k}" for k in range(P)], "zz").alias("signs"))
+    signs = z.groupBy("grp").agg(_parts(), F.first("q").alias("q"), F.first("mad").alias("mad"), F.count("*").alias("n"), _products([f"z{k}" for k in range(P)], "zz").alias("signs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -172,8 +177,8 @@ def _starts(x: DataFrame, parts: DataFrame) -> DataFrame:
                         (q[:, middle], np.diag(deviation ** 2)),
                         ((low + high) / 2, np.diag(((high - low) * 0.7413) ** 2) + FLOOR),
                         (q[:, middle], directions * np.outer(deviation, deviation))]):
-                    out.append((r.grp, start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), math.inf, math.inf, True))
-            yield pd.DataFrame(out, columns=["grp", "start", "centre", "inverse", "logdet", "edge", "moving"])
+                    out.append((r.grp, r.parts, start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), math.inf, math.inf, True))
+            yield pd.DataFrame(out, columns=["grp", "parts", "start", "centre", "inverse", "logdet", "edge", "moving"])
 
     return signs.mapInPandas(run, STATE)
 
@@ -192,8 +197,8 @@ def _group_estimates(moments: DataFrame) -> DataFrame:
                 scatter = CONSISTENCY * (_symmetric(r.products) / r.n - np.outer(mean, mean)) + FLOOR
                 logdet = float(np.linalg.slogdet(scatter)[1])
                 moving = logdet < r.last_logdet - FALL and abs(r.edge - r.last_edge) > STILL * r.edge
-                out.append((r.grp, r.start, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), logdet, r.edge, moving))
-            yield pd.DataFrame(out, columns=["grp", "start", "centre", "inverse", "logdet", "edge", "moving"])
+                out.append((r.grp, r.parts, r.start, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), logdet, r.edge, moving))
+            yield pd.DataFrame(out, columns=["grp", "parts", "start", "centre", "inverse", "logdet", "edge", "moving"])
 
     return moments.mapInPandas(run, STATE)
 
@@ -202,25 +207,27 @@ def _group_estimates(moments: DataFrame) -> DataFrame:
 DISTANCE = " + ".join(f"{1 if i == j else 2}D * inverse[{i * P + j}] * (x[{i}] - centre[{i}]) * (x[{j}] - centre[{j}])" for i, j in PAIRS)
 
 
-def _estimates(x: DataFrame, parts: DataFrame) -> DataFrame:
-    """``grp, part, x`` and ``grp, parts`` -> per group the centre and inverse scatter of least determinant.
+def _estimates(x: DataFrame) -> DataFrame:
+    """``grp, parts, part, x`` -> per group the centre and inverse scatter of least determinant.
 
     Rows meet what is known of their group part by part, so that a join deals a
     group to as many tasks as it has parts; sums are then taken per group, each
     task's own first.
     """
-    state, settled = materialize(_starts(x, parts), "estimate"), []
+    spark = x.sparkSession
+    state, settled = materialize(_starts(x), "estimate"), []
     while True:
-        moving = state.filter("moving").select("grp", "start", "centre", "inverse", F.col("logdet").alias("last_logdet"), F.col("edge").alias("last_edge"))
-        near = x.join(_to_parts(moving, parts), ["grp", "part"])
-        near = near.select("grp", "part", "start", "x", "last_logdet", "last_edge", F.expr(DISTANCE).alias("d"))
-        edge = near.groupBy("grp", "start").agg(F.percentile_approx("d", SUBSET, EDGE_ACCURACY).alias("edge"))
-        inner = near.join(_to_parts(edge, parts), ["grp", "part", "start"]).filter("d <= edge")
+        moving = state.filter("moving").select("grp", "parts", "start", "centre", "inverse", F.col("logdet").alias("last_logdet"), F.col("edge").alias("last_edge"))
+        near = x.join(_to_parts(moving), ["grp", "part"])
+        near = near.select("grp", "parts", "part", "start", "x", "last_logdet", "last_edge", F.expr(DISTANCE).alias("d"))
+        edge = near.groupBy("grp", "start").agg(_parts(), F.percentile_approx("d", SUBSET, EDGE_ACCURACY).alias("edge"))
+        inner = near.join(_to_parts(edge), ["grp", "part", "start"]).filter("d <= edge")
         moments = inner.groupBy("grp", "start").agg(
-            F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"), _products([f"x[{i}]" for i in range(P)]).alias("products"),
+            _parts(), F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"), _products([f"x[{i}]" for i in range(P)]).alias("products"),
             F.max("edge").alias("edge"), F.max("last_edge").alias("last_edge"), F.max("last_logdet").alias("last_logdet"))
         state = materialize(_group_estimates(moments), "estimate")
         settled.append(state.filter("not moving"))
+        spark._jvm.System.gc()  # plans and broadcasts of the steps so far: the driver goes on with little
         if state.filter("moving").isEmpty():
             break
     best = reduce(DataFrame.unionByName, settled).groupBy("grp").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best"))
@@ -250,10 +257,9 @@ def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     groups = judges.select("__own", F.explode(F.array(F.struct(F.col("__own").alias("grp"), "n"), F.struct(F.col("__first").alias("grp"), F.col("of_first").alias("n")),
                                                       F.struct(F.lit("").alias("grp"), F.lit(whole).cast("long").alias("n")))).alias("g")).select("__own", "g.*").distinct()
     member = groups.join(needed, "grp").withColumn("parts", F.ceil(F.col("n") / PART_ROWS))
-    parts = materialize(member.select("grp", "parts").distinct(), "parts")
     vectors = base.select("__row", "__own", F.array(*[f"__{n}" for n in names]).alias("x"))
-    grouped = vectors.join(member, "__own").select("grp", F.pmod(F.xxhash64("__row", F.lit(5)), "parts").alias("part"), "x")
-    best = _estimates(materialize(grouped, "grouped"), parts)
+    grouped = vectors.join(member, "__own").select("grp", "parts", F.pmod(F.xxhash64("__row", F.lit(5)), "parts").alias("part"), "x")
+    best = _estimates(materialize(grouped, "grouped"))
     judged = judges.select("__own", "judge").join(best, F.col("judge") == F.col("grp")).select("__own", "centre", "inverse")
     distances = vectors.join(judged, "__own", "left").select("__row", F.expr(DISTANCE).alias("distance"))
     return base.join(distances, "__row").select(*rows.columns, "distance")

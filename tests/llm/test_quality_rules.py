@@ -111,3 +111,11 @@ def test_nulls_small_groups_and_empty_table(spark):
     got = [(r.doc_id, r.base_failed, r.kept, r.distance) for r in qr.assess(frame).collect()]
     assert sorted(got, key=str) == sorted([(1, True, False, None), (None, True, False, None), (2, False, True, None), (2, False, True, None), (3, True, False, None)], key=str)
     assert qr.assess(frame.limit(0)).count() == 0
+
+
+def test_a_group_knows_its_parts_without_a_join(spark):
+    """What is known of a group reaches its parts by its own column: the driver plans no join for it."""
+    known = spark.createDataFrame([("a", 3, 1.5), ("b", 1, 2.5)], "grp string, parts long, edge double")
+    dealt = qr._to_parts(known)
+    assert sorted((r.grp, r.part, r.edge) for r in dealt.collect()) == [("a", 0, 1.5), ("a", 1, 1.5), ("a", 2, 1.5), ("b", 0, 2.5)]
+    assert "Join" not in dealt._jdf.queryExecution().toString()
