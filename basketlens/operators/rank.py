@@ -145,16 +145,27 @@ def _replicate(df: DataFrame, count_col: str, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(count_col) - 1))).drop(count_col)
 
 
+def _meet(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, of which each task hashes its part: neither side is sorted."""
+    return rows.join(few.hint("shuffle_hash"), keys, how)
+
+
 def _gather(mem: Memberships, sent: DataFrame) -> DataFrame:
     """``(v, T, AA)``: per vertex, the sum over its links of the link totals of
-    ``sent.x`` and of the number of senders. ``sent``: ``(v, x, cv)`` of senders."""
-    reached = mem.by_vertex.join(sent.select(V, "x"), V).select(L, "x", "cl")
+    ``sent.x`` and of the number of senders. ``sent``: ``(v, x, cv)`` of senders.
+
+    What meets the memberships has one row per vertex or link and is hashed, a
+    bucket at a time; the memberships stream past it, unsorted. The split
+    factors travel only where a link is split.
+    """
+    split = ["cl"] if mem.hot_by_link is not None else []
+    reached = _meet(mem.by_vertex, sent.select(V, "x"), [V]).select(L, "x", *split)
     if mem.hot_by_vertex is not None:
-        reached = reached.unionByName(mem.hot_by_vertex.join(_replicate(sent.where("cv > 1"), "cv", "vs"), [V, "vs"]).select(L, "x", "cl"))
-    per_link = reached.groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A"), F.max("cl").alias("cl"))
-    back = mem.by_link.join(per_link.drop("cl"), L).select(V, "S", "A")
+        reached = reached.unionByName(_meet(mem.hot_by_vertex, _replicate(sent.where("cv > 1"), "cv", "vs"), [V, "vs"]).select(L, "x", *split))
+    per_link = reached.groupBy(L).agg(F.sum("x").alias("S"), F.count(F.lit(1)).alias("A"), *[F.max(c).alias(c) for c in split])
+    back = _meet(mem.by_link, per_link.drop("cl"), [L]).select(V, "S", "A")
     if mem.hot_by_link is not None:
-        back = back.unionByName(mem.hot_by_link.join(_replicate(per_link.where("cl > 1"), "cl", "ls"), [L, "ls"]).select(V, "S", "A"))
+        back = back.unionByName(_meet(mem.hot_by_link, _replicate(per_link.where("cl > 1"), "cl", "ls"), [L, "ls"]).select(V, "S", "A"))
     return back.groupBy(V).agg(F.sum("S").alias("T"), F.sum("A").alias("AA"))
 
 
@@ -171,7 +182,7 @@ def lazy_walk_rank(ms: DataFrame, damping: float = 0.15, tolerance: float = 0.01
             now = state.frame
             got = _gather(mem, now.select(V, (F.col("rank") / F.col("W")).alias("x"), "cv"))
             own = F.col("n") * (F.col("rank") / F.col("W"))
-            new = now.join(got, V).select(
+            new = _meet(now, got, [V]).select(
                 V, "W", "n", "cv", F.col("rank").alias("old"),
                 (F.col("rank") * damping + (F.col("T") - own) * (1.0 - damping)).alias("rank"))
             tol = state.write(new, tol=F.max(F.abs(F.col("old") - F.col("rank"))))["tol"] or 0.0
@@ -203,7 +214,7 @@ def pagerank(ms: DataFrame, vertices: DataFrame, damping: float = 0.85, toleranc
             x = F.col("delta") * (1.0 / F.col("W"))
             got = _gather(mem, now.where(is_sender).select(V, x.alias("x"), "cv"))
             y, s = F.when(is_sender, x).otherwise(F.lit(0.0)), F.when(is_sender, F.lit(1)).otherwise(F.lit(0))
-            joined = now.join(got, V, "left")
+            joined = _meet(now, got, [V], "left")
             receives = F.coalesce(F.col("AA") - F.col("n") * s, F.lit(0)) > 0
             new_pr = F.col("pr") + (F.col("T") - F.col("n") * y) * keep
             new = joined.select(

@@ -79,6 +79,16 @@ def test_rank_steps_shuffle_partial_sums_only(spark, sf_small, name):
         assert keys == ["link", "v"], keys
 
 
+@pytest.mark.parametrize("name", ["lazy_walk_rank", "pagerank"])
+def test_rank_steps_sort_nothing(spark, sf_small, name):
+    """State and sums are hashed, memberships stream past them: no step sorts its memberships."""
+    steps = [p for p in _plans_run(spark, lambda: QUERIES[name](spark, sf_small)) if "rank_state" in p and "Join" in p]
+    assert steps
+    for plan in steps:
+        tree = plan.split("\n\n\n")[0]
+        assert tree.count("ShuffledHashJoin") == 3 and not re.search(r"[ -] Sort \(", tree), tree
+
+
 @pytest.mark.parametrize("name", ["prods_most_sold", "prods_most_popular", "clients_spent_more", "clients_buy_more", "clients_buy_more_reference",
                                   "clients_most_transactions", "clients_variety"])
 def test_share_reports_read_the_lines_once(spark, sf_small, name):
