@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from basketlens import session
 from basketlens.operators import als as A
 from basketlens.operators import factor_topk
 from basketlens.operators import indexing as I
@@ -111,3 +112,19 @@ def test_right_rows_are_copied_once_a_core(spark):
         assert sizes == cores
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", given)
+
+
+def test_blocks_do_not_grow_with_the_shuffles(spark, monkeypatch):
+    """The solver's blocks stay as given while shuffles are sized to the lines; more only for more ratings."""
+    parts = spark.range(100)
+    given = session.given_partitions(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        monkeypatch.setattr(session, "ROWS_PER_TASK", 1)
+        session.size_shuffles(spark, 64)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        assert A.fit_blocks(parts) == given
+        monkeypatch.setattr(A, "RATINGS_PER_BLOCK", 9)
+        assert A.fit_blocks(parts) == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
