@@ -3,9 +3,13 @@
 import random
 import re
 
+import pytest
+
 from basketlens import session
+from basketlens.operators import explore as X
 from basketlens.operators import graph as G
 from basketlens.sources import star
+from basketlens.sources import tickets as T
 from test_plans import _plan
 
 
@@ -25,6 +29,25 @@ def test_shuffles_grow_with_the_lines(spark, sf_small, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == given
 
 
+@pytest.mark.parametrize("given, kept", [("10MB", session.TASK_BYTES), ("256k", 256 << 10), ("-1", -1)])
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark, sf_small, given, kept):
+    """In a session with Spark's own thresholds too, so that a task's memory does not grow with the products or clients."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k) for k in (static, adaptive)}
+    try:
+        spark.conf.set(static, given)
+        spark.conf.unset(adaptive)
+        lines = star.baskets_from_star(spark, sf_small)
+        for frame in (X.totals_by_product(lines), T.tickets_from_baskets(lines), T.shell_export_text(T.tickets_from_baskets(lines))):
+            assert "BroadcastExchange" not in _plan(frame)
+        for _ in range(2):  # again: as before
+            assert spark.conf.get(static) == "-1" and int(spark.conf.get(adaptive)) == kept
+            star.baskets_from_star(spark, sf_small)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _named(spark, mem):
     names = spark.createDataFrame([(v, f"p{97 - v}") for v in range(60)], "number long, name string")
     return spark.createDataFrame(mem, "number long, link long"), names
