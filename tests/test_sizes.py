@@ -1,5 +1,6 @@
 """Shuffles sized to the input, and named pairs that take one shuffle of numbers."""
 
+import os
 import random
 import re
 
@@ -48,6 +49,28 @@ def test_no_side_is_broadcast_by_the_size_of_its_files(spark, sf_small, given, k
             spark.conf.set(k, v)
 
 
+def test_scans_grow_with_the_lines(spark, sf_small, monkeypatch):
+    """A task of a scan gets about so many lines, however many a split of the given size would hold."""
+    given = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path = star.table_path(sf_small, "lineitem")
+    rows = star.read_table(spark, sf_small, "lineitem").count()
+    want = sorted(map(tuple, T.flatten_baskets(T.tickets_from_baskets(star.baskets_from_star(spark, sf_small))).collect()), key=repr)
+    assert int(re.sub("b$", "", spark.conf.get("spark.sql.files.maxPartitionBytes"))) == int(re.sub("b$", "", given))  # few lines: as given
+    monkeypatch.setattr(session, "ROWS_PER_SCAN", 500)
+    try:
+        for _ in range(2):  # again: as before
+            lines = star.baskets_from_star(spark, sf_small)
+            assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= -(-os.path.getsize(path) * 500 // rows)
+            assert star.read_table(spark, sf_small, "lineitem").rdd.getNumPartitions() >= rows // 500
+        got = T.flatten_baskets(T.tickets_from_baskets(lines)).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+        session.size_scans(spark, 0, path)  # no rows: as given
+        assert star.read_table(spark, sf_small, "lineitem").rdd.getNumPartitions() < rows // 500
+    finally:
+        monkeypatch.undo()
+        star.baskets_from_star(spark, sf_small)
+
+
 def _named(spark, mem):
     names = spark.createDataFrame([(v, f"p{97 - v}") for v in range(60)], "number long, name string")
     return spark.createDataFrame(mem, "number long, link long"), names
