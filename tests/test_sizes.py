@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens import session
 from basketlens.operators import explore as X
@@ -49,7 +50,7 @@ def test_no_side_is_broadcast_by_the_size_of_its_files(spark, sf_small, given, k
             spark.conf.set(k, v)
 
 
-def test_scans_grow_with_the_lines(spark, sf_small, monkeypatch):
+def test_scans_grow_with_the_lines(spark, sf_small, monkeypatch, tmp_path):
     """A task of a scan gets about so many lines, however many a split of the given size would hold."""
     given = spark.conf.get("spark.sql.files.maxPartitionBytes")
     path = star.table_path(sf_small, "lineitem")
@@ -64,6 +65,10 @@ def test_scans_grow_with_the_lines(spark, sf_small, monkeypatch):
             assert star.read_table(spark, sf_small, "lineitem").rdd.getNumPartitions() >= rows // 500
         got = T.flatten_baskets(T.tickets_from_baskets(lines)).collect()
         assert sorted(map(tuple, got), key=repr) == want
+        text = T.shell_export_text(T.tickets_from_baskets(lines)).select(F.regexp_replace("value", "\n *", " ").alias("value"))
+        text.coalesce(1).write.text(f"{tmp_path}/sh")  # one document per line, cut into splits anywhere
+        back = T.flatten_baskets(T.read_shell_export(spark, f"{tmp_path}/sh"))
+        assert back.rdd.getNumPartitions() > 4 and sorted(map(tuple, back.collect()), key=repr) == want
         session.size_scans(spark, 0, path)  # no rows: as given
         assert star.read_table(spark, sf_small, "lineitem").rdd.getNumPartitions() < rows // 500
     finally:
