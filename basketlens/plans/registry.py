@@ -455,10 +455,14 @@ def tickets_json_lines(spark, sf_dir):
 
 
 def _shell(spark, sf_dir, layout, line_sep="\n"):
-    """S2 + P1-P4: tickets written in the shell export dialect in one layout, parsed in parallel and flattened."""
+    """S2 + P1-P4: tickets written in the shell export dialect in one layout, parsed in parallel and flattened.
+
+    The text, mostly names of fields and blanks, is written compressed: a file, read
+    by one task, holds what a task of the writer's shuffle held.
+    """
     path = scratch_path(spark, "tickets-shell")
     text = T.shell_export_text(_tickets(spark, sf_dir))
-    text.select(layout(F.col("value")).alias("value")).write.option("lineSep", line_sep).text(path)
+    text.select(layout(F.col("value")).alias("value")).write.option("lineSep", line_sep).option("compression", "gzip").text(path)
     return _flat(T.read_shell_export(spark, path))
 
 

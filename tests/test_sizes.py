@@ -1,5 +1,6 @@
 """Shuffles sized to the input, and named pairs that take one shuffle of numbers."""
 
+import glob
 import os
 import random
 import re
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from basketlens import session
 from basketlens.operators import explore as X
 from basketlens.operators import graph as G
+from basketlens.plans.registry import QUERIES
 from basketlens.sources import star
 from basketlens.sources import tickets as T
 from test_plans import _plan
@@ -122,3 +124,16 @@ def test_cells_are_dealt_to_more_tasks_than_there_are(spark, monkeypatch):
     side = -(-int(100 * (ends / 5) ** 0.5) // 100)
     assert tasks >= 3 * side * (side + 1) / 2
     assert edges.count() == ends
+
+
+@pytest.mark.parametrize("name", ["tickets_shell_indented", "tickets_shell_export", "tickets_shell_back_to_back", "tickets_shell_one_per_line"])
+def test_shell_documents_take_little_disk(spark, sf_small, name):
+    """The files that a layout is written to are a small part of its text, and hold all of it."""
+    with session.recorded_scratch() as paths:
+        lines = QUERIES[name](spark, sf_small)
+    path, = (p for p in paths if "tickets-shell" in p)
+    text = spark.read.option("wholetext", True).text(path).agg(F.sum(F.length("value"))).first()[0]
+    files = sum(os.path.getsize(f) for f in glob.glob(f"{path.removeprefix('file:')}/part-*"))
+    assert text > 80 * star.read_table(spark, sf_small, "lineitem").count() and files < text / 3
+    want = T.flatten_baskets(T.tickets_from_baskets(star.baskets_from_star(spark, sf_small))).drop("date")
+    assert sorted(map(tuple, lines.drop("date").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
