@@ -140,6 +140,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_source = apportion(seats, [], ["source"], "votes", "seats").select(F.col("source").alias("s"), F.col("given").alias("source_seats"))
     quotas = apportion(shards.join(by_source, F.col("source").eqNullSafe(F.col("s"))), ["source"], ["shard"], "blocks", "source_seats").select(
         "source", "shard", "blocks", "given").filter("blocks > 0 and given > 0")
+    # a row per shard becomes one per block: dealt out before that, to tasks that are not merged as so few rows would be
+    quotas = quotas.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "shard")
     by_shard = Window.partitionBy("source", "shard")
     taken = (quotas.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
              .withColumn("rank", F.row_number().over(by_shard.orderBy(_digest(seed, "source", "shard", "block"), "block")))
@@ -149,7 +151,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = dealt.withColumn("shard_size", F.sum("size").over(by_shard)).withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK)).withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size")).withColumn("row", F.monotonically_increasing_id())
     laid = materialize(laid, "laid")
     parts = laid.filter("size > 0").select("row", "source", "shard", "start", "end", "shard_size", "blocks", F.explode(F.expr("sequence(start * blocks div shard_size, (end - 1) * blocks div shard_size)")).alias("block"))
-    joined = parts.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.shard") == F.col("t.shard")) & (F.col("p.block") == F.col("t.block")))
+    # Spark takes a side of blocks to be as small as the shards that they come from, and would send it through the driver
+    joined = parts.alias("p").join(taken.hint("merge").alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.shard") == F.col("t.shard")) & (F.col("p.block") == F.col("t.block")))
     cut = joined.select("row", F.expr("greatest(start, (p.block * shard_size + blocks - 1) div blocks)").alias("from"), F.expr("least(end, ((p.block + 1) * shard_size + blocks - 1) div blocks)").alias("to"), "copies", "start")
     cut = materialize(cut.select("row", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"), "copies"), "cut")
     sums = cut.groupBy("row").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))

@@ -130,3 +130,29 @@ def test_no_id_fills_a_shard(spark):
     documents, _ = mixing.mix(frame)
     total = documents.agg({"taken": "sum", "size": "sum"}).first()
     assert documents.count() == 3000 and abs(total["sum(taken)"] - 1.5 * total["sum(size)"]) <= 70 + 0.002 * total["sum(size)"]
+
+
+def test_blocks_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However few Spark takes the blocks to be: no side of their join is broadcast, and they are made by as many tasks as shuffle."""
+    plans, write = {}, mixing.materialize
+
+    def seen(frame, name="state"):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return write(frame, name)
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    rows = [(i, "a b c d e f g h " * (20 + i % 5), f"s{i % 3}") for i in range(300)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": str(1 << 60)}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        documents, _ = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        sums = documents.agg({"taken": "sum", "size": "sum"}).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    join, = [line for line in plans["cut"].splitlines() if "Join" in line and "block#" in line]
+    assert "SortMergeJoin" in join
+    assert "REPARTITION_BY_NUM" in plans["cut"]
+    assert abs(sums["sum(taken)"] - 1.5 * sums["sum(size)"]) <= 70 + 0.002 * sums["sum(size)"]
